@@ -1,6 +1,6 @@
 """Registered queries, grouped by area."""
 
-from tallyframe.plans import rows, statistics  # noqa: F401
+from tallyframe.plans import business, rows, series, statistics  # noqa: F401
 from tallyframe.plans.base import REGISTRY
 
 __all__ = ["REGISTRY"]
