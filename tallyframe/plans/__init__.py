@@ -1,6 +1,13 @@
 """Registered queries, grouped by area."""
 
-from tallyframe.plans import business, rows, series, statistics  # noqa: F401
+from tallyframe.plans import (  # noqa: F401
+    business,
+    cleaning,
+    profiling,
+    rows,
+    series,
+    statistics,
+)
 from tallyframe.plans.base import REGISTRY
 
 __all__ = ["REGISTRY"]
