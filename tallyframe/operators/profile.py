@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.columns import parse_date
+from tallyframe.functions.columns import DATE_FORMATS
 from tallyframe.functions.vocabulary import (
     DATE_HINTS,
     DOMAIN_WORDS,
@@ -22,7 +22,9 @@ from tallyframe.functions.vocabulary import (
     UNIQUE_HINTS,
 )
 
-BATCH = 100  # columns per aggregate, keeps generated code and planning small
+# From this many columns on, one aggregate per column makes the generated code
+# (not the data) the slow part; the columns are then turned into rows first.
+WIDE = 40
 ROLES = ("identifier", "boolean", "date", "target", "kpi", "numeric", "categorical", "text")
 _ID_END = re.compile(rf"(^|[_\sa-z])({'|'.join(IDENTIFIER_ENDINGS)})s?$", re.IGNORECASE)
 
@@ -46,57 +48,124 @@ def _hint(name: str, words: Sequence[str]) -> bool:
     return any(w in name.lower() for w in words)
 
 
-def _boolean_like(df: DataFrame, name: str) -> Column:
-    """True for values that could stand in a yes/no column."""
-    kind = df.schema[name].dataType
+def _struct_sql(df: DataFrame, name: str, distinct: str) -> str:
+    """Statistics of one column as SQL text: one parse per batch keeps wide tables fast."""
+    field = df.schema[name]
+    c = "`" + name.replace("`", "``") + "`"
+    title = name.replace("\\", "\\\\").replace("'", "\\'")
+    kind = field.dataType
+    fraction = isinstance(kind, (T.DoubleType, T.FloatType))
+    value = f"nullif({c}, double('NaN'))" if fraction else c
+    # With at most two distinct values, all of them lie in the set when the
+    # least and the greatest do; the role test asks for both.
     if isinstance(kind, T.BooleanType):
-        return F.lit(True)
-    if _is_number(kind):
-        return _q(name).isin(0, 1)
-    if isinstance(kind, T.StringType):
-        return _q(name).isin("Yes", "No", "yes", "no")
-    return F.lit(False)
-
-
-def _column_struct(df: DataFrame, name: str, distinct: str) -> Column:
-    missing = _missing(df, name)
-    value = F.when(~missing, _q(name))
-    kind = df.schema[name].dataType
-    n_distinct = F.approx_count_distinct(value) if distinct == "approx" else F.lit(None)
+        yes_no = "true"
+    elif _is_number(kind):
+        yes_no = f"min({value}) in (0, 1) and max({value}) in (0, 1)"
+    elif isinstance(kind, T.StringType):
+        words = "('Yes', 'No', 'yes', 'no')"
+        yes_no = f"min({value}) in {words} and max({value}) in {words}"
+    else:
+        yes_no = f"count({value}) = 0"
     dated = isinstance(kind, T.StringType) and _hint(name, DATE_HINTS)
-    return F.struct(
-        F.lit(name).alias("column"),
-        F.lit(kind.simpleString()).alias("dtype"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(missing).alias("n_null"),
-        n_distinct.cast("long").alias("n_distinct"),
+    signed = _is_number(kind) and _hint(name, NON_NEGATIVE_HINTS)
+    dates = "coalesce(" + ", ".join(f"try_to_timestamp(trim({c}), '{f}')" for f in DATE_FORMATS) + ")"
+    parts = {
+        "column": f"'{title}'",
+        "dtype": f"'{kind.simpleString()}'",
+        "n_rows": "count(1)",
+        "n_null": f"count(1) - count({value})",
+        "n_distinct": f"approx_count_distinct({value})" if distinct == "approx" else "cast(null as bigint)",
         # one distinct value exactly when the least equals the greatest
-        F.coalesce(F.min(value) == F.max(value), F.lit(False)).alias("constant"),
-        (F.count_if(~missing & ~_boolean_like(df, name)) == 0).alias("boolean_like"),
-        (F.count_if(_q(name) < 0) if _is_number(kind) else F.lit(0)).cast("long").alias(
-            "n_negative"
-        ),
-        (F.count(parse_date(_q(name))) if dated else F.lit(0)).cast("long").alias("n_dates"),
+        "constant": f"coalesce(min({value}) = max({value}), false)",
+        "boolean_like": f"coalesce({yes_no}, true)",
+        "n_negative": f"count_if({c} < 0)" if signed else "0L",
+        "n_dates": f"count({dates})" if dated else "0L",
+    }
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")"
+
+
+def _wide_stats(df: DataFrame, names: Sequence[str], distinct: str) -> DataFrame:
+    """The same statistics for a wide table: one cell per row, one small aggregate.
+
+    Cells are combined on the map side to one row per column.
+    """
+
+    def small(kind: T.DataType) -> bool:
+        return _is_number(kind) and not isinstance(kind, (T.LongType, T.DecimalType))
+
+    cells, meta = [], []
+    for n in names:
+        c = "`" + n.replace("`", "``") + "`"
+        kind = df.schema[n].dataType
+        value = f"nullif({c}, double('NaN'))" if isinstance(kind, (T.DoubleType, T.FloatType)) else c
+        num, txt = (f"double({value})", "null") if small(kind) else ("null", f"string({c})")
+        cells.append(f"named_struct('i', {len(meta)}, 'num', double({num}), 'txt', string({txt}))")
+        text = isinstance(kind, T.StringType)
+        meta.append((
+            len(meta), n, kind.simpleString(), _is_number(kind), isinstance(kind, T.BooleanType),
+            text and _hint(n, DATE_HINTS), _is_number(kind) and _hint(n, NON_NEGATIVE_HINTS),
+        ))
+    info = df.sparkSession.createDataFrame(
+        meta, "i int, column string, dtype string, number boolean, flag boolean, dated boolean,"
+        " signed boolean",
+    )
+    dated = [m[0] for m in meta if m[5]] or [-1]
+    dates = "coalesce(" + ", ".join(f"try_to_timestamp(trim(txt), '{f}')" for f in DATE_FORMATS) + ")"
+    hll = "greatest(approx_count_distinct(num), approx_count_distinct(txt))"
+    # one element of the array at a time: a generator, not a wide projection
+    stats = df.select(F.expr(f"inline(array({', '.join(cells)}))")).groupBy("i").agg(
+        F.expr("count(1)").alias("n_rows"),
+        F.expr("count(1) - count(num) - count(txt)").alias("n_null"),
+        F.expr(hll if distinct == "approx" else "cast(null as bigint)").alias("n_distinct"),
+        F.expr("min(num)").alias("lo"),
+        F.expr("max(num)").alias("hi"),
+        F.expr("min(txt)").alias("first"),
+        F.expr("max(txt)").alias("last"),
+        F.expr("count_if(num < 0 or txt like '-%')").alias("n_negative"),
+        F.expr(f"count(case when i in ({', '.join(map(str, dated))}) then {dates} end)").alias("n_dates"),
+    )
+    both = "{lo} in {words} and {hi} in {words}"
+    words = both.format(lo="first", hi="last", words="('Yes', 'No', 'yes', 'no')")
+    zero_one = both.format(lo="lo", hi="hi", words="(0, 1)")
+    zero_one_text = both.format(lo="first", hi="last", words="('0', '1')")
+    yes_no = (
+        f"case when flag or lo is null and first is null then true"
+        f" when number then coalesce({zero_one}, {zero_one_text}, false)"
+        f" else dtype = 'string' and coalesce({words}, false) end"
+    )
+    return info.join(stats, "i", "left").select(
+        "column",
+        "dtype",
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.coalesce("n_null", F.lit(0)).alias("n_null"),
+        "n_distinct",
+        F.expr("coalesce(lo = hi, first = last, false)").alias("constant"),
+        F.expr(yes_no).alias("boolean_like"),
+        F.expr("if(signed, coalesce(n_negative, 0L), 0L)").alias("n_negative"),
+        F.coalesce("n_dates", F.lit(0)).alias("n_dates"),
     )
 
 
 def column_stats(
     df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "approx"
 ) -> DataFrame:
-    """One row of statistics per column, from one pass (per 100 columns).
+    """One row of statistics per column.
+
+    Negative values are counted where the name says there should be none, dates
+    where the name of a text column suggests dates.
 
     ``distinct`` is ``approx`` (a sketch of fixed size per column), ``exact``
     (see :func:`exact_distinct`) or ``none``.
     """
     names = list(columns) if columns is not None else df.columns
-    out: DataFrame | None = None
-    for i in range(0, len(names), BATCH):
-        part = df.agg(
-            F.array(*[_column_struct(df, n, distinct) for n in names[i : i + BATCH]]).alias("s")
-        ).select(F.inline("s"))
-        out = part if out is None else out.unionAll(part)
-    if out is None:
+    if not names:
         return df.sparkSession.createDataFrame([], "column string, n_rows long, n_null long")
+    if len(names) > WIDE:
+        out = _wide_stats(df, names, distinct)
+    else:
+        structs = ", ".join(_struct_sql(df, n, distinct) for n in names)
+        out = df.agg(F.expr(f"array({structs})").alias("s")).select(F.inline("s"))
     if distinct == "exact":
         return out.drop("n_distinct").join(exact_distinct(df, names), "column", "left").withColumn(
             "n_distinct", F.coalesce("n_distinct", F.lit(0))

@@ -41,7 +41,7 @@ def headers(spark, folder):
 _MIXED = {
     "Order_ID": ("cast(o_orderkey as string)", "varchar"),
     "status": ("case when o_orderstatus = 'P' then null else o_orderstatus end", "varchar"),
-    "is_paid": ("case when o_orderstatus = 'F' then 'Yes' else 'No' end", "varchar"),
+    "is_settled": ("case when o_orderstatus = 'F' then 'Yes' else 'No' end", "varchar"),
     "order_day": ("cast(cast(o_orderdate as date) as string)", "varchar"),
     "Target_Value": ("o_totalprice * 1.1e0", "double"),
     "discount_rate": ("cast(o_orderkey % 11 as double) / 100e0", "double"),
@@ -87,10 +87,10 @@ def _role_sql() -> str:
         else:
             body = f"""case when {'true' if 'target' in low else 'false'} then 'target'
                  when {'true' if 'rate' in low else 'false'} then 'kpi' else 'numeric' end"""
-        if low.endswith("id") and not low.endswith("paid"):
-            body = "'identifier'"
-        if low.endswith("paid"):
-            body = "'identifier'"  # the ending rule takes any letter before "id"
+        if low.endswith("id"):
+            body = "max('identifier')"
+        if not body.startswith(("max", "case when count")):
+            body = f"max({body})"
         parts.append(f"select {i} as position, '{name}' as \"column\", {body} as role from t")
     return "with t as (" + _MIXED_SQL + ")\n" + "\nunion all\n".join(parts)
 
@@ -109,9 +109,9 @@ _WIDE_EXPR = "case when (c_custkey + {i}) % {m} = 0 then null else c_acctbal * {
 @query("profile_wide", "with t as (select c_custkey as \"Record_ID\", "
        + ", ".join(f'{_WIDE_EXPR.format(i=i, m=i % 13 + 2)} as "Col_{i}"' for i in range(1, _WIDE + 1))
        + " from customer)\n"
-       + "select 'Record_ID' as \"column\", count(*) as n_rows, 0::bigint as n_null, 0::bigint as n_negative from t\nunion all\n"
+       + "select 'Record_ID' as \"column\", count(*) as n_rows, 0::bigint as n_null, false as constant from t\nunion all\n"
        + _each('''select 'Col_{c}' as "column", count(*) as n_rows, count(*) - count("Col_{c}") as n_null,
-         count(*) filter (where "Col_{c}" < 0) as n_negative from t''',
+         min("Col_{c}") = max("Col_{c}") as constant from t''',
                [str(i) for i in range(1, _WIDE + 1)]))
 def profile_wide(spark, folder):
     df = table(spark, folder, "customer").select(
@@ -119,7 +119,7 @@ def profile_wide(spark, folder):
         *[F.expr(_WIDE_EXPR.format(i=i, m=i % 13 + 2)).alias(f"Col_{i}") for i in range(1, _WIDE + 1)],
     )
     out = profile.column_stats(df, distinct="none")
-    return out.select("column", "n_rows", "n_null", "n_negative")
+    return out.select("column", "n_rows", "n_null", "constant")
 
 
 @query("audit_report", f"""
@@ -128,9 +128,9 @@ s as (select sum(m) as missing, sum(case when m > 0 then 1 else 0 end) as cols,
              sum(case when d = 1 then 1 else 0 end) as constants,
              sum(case when cat and d > 30 then 1 else 0 end) as wide
       from ({_each('''select count(*) - count("{c}") as m, count(distinct "{c}") as d,
-        typeof(any_value("{c}")) = 'VARCHAR' and '{c}' not in ('Order_ID', 'is_paid', 'order_day')
+        typeof(any_value("{c}")) = 'VARCHAR' and '{c}' not in ('Order_ID', 'is_settled', 'order_day')
           and (count(distinct "{c}") < 0.5 * count(*) or count(distinct "{c}") <= 50) as cat from t''', _MIXED)})),
-d as (select sum(n - 1) as dup from (select count(*) as n from t group by all))
+d as (select (select count(*) from t) - (select count(*) from (select distinct * from t)) as dup)
 select unnest(['missing_values', 'missing_columns', 'duplicate_rows', 'constant_columns',
                'high_cardinality_columns', 'quality_score']) as metric,
        unnest([missing, cols, dup, constants, wide, greatest(0, 100 - 5 * cols - 2 * dup)])::double as value
