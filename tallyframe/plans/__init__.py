@@ -7,6 +7,7 @@ from tallyframe.plans import (  # noqa: F401
     rows,
     series,
     statistics,
+    storage,
     targets,
 )
 from tallyframe.plans.base import REGISTRY
