@@ -9,6 +9,7 @@ from tallyframe.plans import (  # noqa: F401
     statistics,
     storage,
     targets,
+    text,
 )
 from tallyframe.plans.base import REGISTRY
 
