@@ -132,21 +132,19 @@ def ngrams(df: DataFrame, text: str = "text", sizes: Sequence[int] = (3, 2, 1))
     """One row per run of one to three words: the other columns, ``n``, ``position``, ``phrase``."""
     keep = [c for c in df.columns if c != text]
     words = df.select(*keep, words_of(text).alias("_w")).filter(F.size("_w") > 0)
-    runs = []
-    for n in sizes:
-        all_starts = F.sequence(F.lit(1), F.size("_w"))
-        starts = F.filter(all_starts, lambda i, n=n: i <= F.size("_w") - (n - 1))
-        runs.append(
-            F.transform(
-                starts,
-                lambda i, n=n: F.struct(
-                    F.lit(n).alias("n"),
-                    i.alias("position"),
-                    F.array_join(F.slice("_w", i, n), " ").alias("phrase"),
-                ),
-            )
+
+    def runs(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: i <= F.size("_w") - (n - 1))
+        return F.transform(
+            starts,
+            lambda i: F.struct(
+                F.lit(n).alias("n"),
+                i.alias("position"),
+                F.array_join(F.slice("_w", i, n), " ").alias("phrase"),
+            ),
         )
-    return words.select(*keep, F.inline(F.concat(*runs)))
+
+    return words.select(*keep, F.inline(F.concat(*[runs(n) for n in sizes])))
 
 
 def last_turns(
