@@ -6,7 +6,7 @@ whole-stage code generation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,7 +21,10 @@ DATE_FORMATS = (
     "MM/dd/yyyy",
     "yyyy-MM-dd HH:mm:ss",
 )
-CURRENCY_CHARS = r"[₹$€£,\s]"
+CURRENCY_CHARS = "₹$€£, \t\n\r\f\x0b"
+# The short form cannot overflow a double, so its value needs no second look.
+SHORT_NUMBER = r"^[+-]?[0-9]{1,100}(\.[0-9]*)?$"
+PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # ----------------------------------------------------------------------------
 
 
@@ -70,10 +73,41 @@ def null_if_token(c: str | Column) -> Column:
     return F.when(F.lower(trimmed).isin(*NULL_TOKENS), F.lit(None)).otherwise(trimmed)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.
+
+    Written out, an expression that is used several times is also generated
+    several times; a long rule then grows beyond what the JVM compiles and runs
+    many times slower.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def finite(c: Column) -> Column:
-    """NULL in place of NaN and infinities."""
-    bad = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    return F.when(~bad, c)
+    """NULL in place of NaN and infinities (NaN compares as the greatest value)."""
+    return let(c, lambda x: F.when(F.abs(x) < float("inf"), x))
+
+
+def _is_plain(text: Column) -> Column:
+    # checked by pattern: a cast would also take a trailing d or f, inf and nan
+    return text.rlike(PLAIN_NUMBER)
+
+
+def _undecorated(bare: Column) -> Column:
+    last = F.lower(F.right(bare, F.lit(1)))
+    shorter = F.substring(bare, F.lit(1), F.length(bare) - 1)
+    factor = F.when(last == "k", 1e3).when(last == "m", 1e6).when(last == "b", 1e9).otherwise(1.0)
+    percent = F.endswith(bare, F.lit("%")) | F.endswith(bare, F.lit("pct"))
+    digits = (
+        F.when(percent, F.regexp_replace(bare, "[%pct]+$", ""))
+        .when(last.isin("k", "m", "b"), shorter)
+        .otherwise(bare)
+    )
+    return let(digits, lambda d: F.when(_is_plain(d), d.try_cast("double"))) * factor
+
+
+def _decorated_number(text: Column) -> Column:
+    return let(F.translate(text, CURRENCY_CHARS, ""), _undecorated)
 
 
 def parse_number(c: str | Column) -> Column:
@@ -81,38 +115,44 @@ def parse_number(c: str | Column) -> Column:
 
     A percent sign is dropped without dividing by 100.
     """
-    bare = F.regexp_replace(F.trim(col(c).cast("string")), CURRENCY_CHARS, "")
-    last = F.lower(F.right(bare, F.lit(1)))
-    factor = (
-        F.when(last == "k", 1e3).when(last == "m", 1e6).when(last == "b", 1e9).otherwise(1.0)
+    text = F.trim(col(c).cast("string"))
+    # decorated text also covers plain numbers in any other form
+    return F.when(text.rlike(SHORT_NUMBER), text.try_cast("double")).otherwise(
+        finite(_decorated_number(text))
     )
-    digits = F.when(
-        bare.rlike("(%|pct)$"), F.regexp_replace(bare, "[%pct]+$", "")
-    ).otherwise(F.regexp_replace(bare, "[kKmMbB]$", ""))
-    # Java would also read a trailing d or f as part of a number
-    plain = digits.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-    return finite(F.when(plain, digits.try_cast("double")) * factor)
 
 
 def needs_sanitizing(c: str | Column) -> Column:
     """True where the text is a number only after removing signs or suffixes."""
-    plain = F.trim(col(c).cast("string")).rlike(
-        r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-    )
-    return F.coalesce(parse_number(c).isNotNull() & ~plain, F.lit(False))
+    text = F.trim(col(c).cast("string"))
+    return F.coalesce(~_is_plain(text) & _decorated_number(text).isNotNull(), F.lit(False))
+
+
+def _shape(fmt: str) -> str:
+    """Pattern of the texts that a fixed-width date format describes."""
+    out = fmt.replace("yyyy", "[0-9]{4}").replace("MM", "[0-9]{2}").replace("dd", "[0-9]{2}")
+    return "^" + out.replace("HH", "([01][0-9]|2[0-3])").replace("mm", "[0-5][0-9]").replace(
+        "ss", "[0-5][0-9]"
+    ) + "$"
+
+
+def _by_format(text: Column, fmt: str) -> Column:
+    """Date by position.  A failed format parse throws inside Spark for every
+    value, which is slow on dirty columns; a cast of an ISO text does not."""
+    y, m, d = (fmt.index(p) + 1 for p in ("yyyy", "MM", "dd"))
+    iso = F.concat_ws("-", F.substring(text, y, 4), F.substring(text, m, 2), F.substring(text, d, 2))
+    return F.when(text.rlike(_shape(fmt)), iso.try_cast("date"))
 
 
 def parse_date(c: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """First format that fits wins; text that fits none gives NULL."""
     text = F.trim(col(c).cast("string"))
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in formats])
+    return let(text, lambda t: F.coalesce(*[_by_format(t, f) for f in formats]))
 
 
 def iso_day(c: str | Column) -> Column:
     """Date from the first ten characters of an ISO text."""
-    return F.to_date(
-        F.try_to_timestamp(F.substring(col(c).cast("string"), 1, 10), F.lit("yyyy-MM-dd"))
-    )
+    return _by_format(F.substring(col(c).cast("string"), 1, 10), "yyyy-MM-dd")
 
 
 def squash(c: str | Column) -> Column:

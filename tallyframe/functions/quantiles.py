@@ -71,7 +71,8 @@ def exact_quantiles(
     for i in range(len(ps)):
         low, high = F.col("edges")[2 * i], F.col("edges")[2 * i + 1]
         inside = inside | F.col("_v").between(low, high)
-    below = F.array_max(F.filter("edges", lambda e: e < F.col("_v")))
+    edge = F.col("edges")
+    below = F.greatest(*[F.when(edge[i] < F.col("_v"), edge[i]) for i in range(2 * len(ps))])
     counts = (
         placed.select(
             *keys,

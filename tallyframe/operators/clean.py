@@ -13,6 +13,7 @@ from tallyframe.functions.columns import needs_sanitizing, null_if_token, parse_
 from tallyframe.functions.quantiles import exact_quantiles
 from tallyframe.functions.vocabulary import ZERO_FILL_HINTS
 from tallyframe.operators.profile import Profile, duplicate_rows, profile
+from tallyframe.session import scratch_path
 
 
 def _q(name: str) -> Column:
@@ -179,9 +180,20 @@ def _typed(df: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
 
 
 def clean(df: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """The whole pipeline."""
+    """The whole pipeline.
+
+    The medians need the deduplicated rows before those rows can be filled.
+    The table is therefore written once, below the shared folder, instead of
+    being deduplicated again for every use; the medians then read their columns
+    alone.
+    """
     plan = plan or plan_cleaning(df)
-    return impute(_typed(df, plan)[1], plan.dates, plan.nulls)
+    typed = _typed(df, plan)[1]
+    if any(_fill_kind(typed, c, plan.dates) == "median" for c in plan.nulls):
+        path = scratch_path(df.sparkSession, "typed")
+        typed.write.parquet(path)
+        typed = df.sparkSession.read.schema(typed.schema).parquet(path)
+    return impute(typed, plan.dates, plan.nulls)
 
 
 def _sum(counts: Sequence[Column]) -> Column:

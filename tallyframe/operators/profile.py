@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.columns import DATE_FORMATS
+from tallyframe.functions.columns import parse_date
 from tallyframe.functions.vocabulary import (
     DATE_HINTS,
     DOMAIN_WORDS,
@@ -48,6 +48,14 @@ def _hint(name: str, words: Sequence[str]) -> bool:
     return any(w in name.lower() for w in words)
 
 
+def _may_hold_dates(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.StringType) and _hint(name, DATE_HINTS)
+
+
+def _as_date(name: str) -> str:
+    return f"as date {name}".replace("`", "")
+
+
 def _struct_sql(df: DataFrame, name: str, distinct: str) -> str:
     """Statistics of one column as SQL text: one parse per batch keeps wide tables fast."""
     field = df.schema[name]
@@ -67,9 +75,8 @@ def _struct_sql(df: DataFrame, name: str, distinct: str) -> str:
         yes_no = f"min({value}) in {words} and max({value}) in {words}"
     else:
         yes_no = f"count({value}) = 0"
-    dated = isinstance(kind, T.StringType) and _hint(name, DATE_HINTS)
+    dated = _may_hold_dates(df, name)
     signed = _is_number(kind) and _hint(name, NON_NEGATIVE_HINTS)
-    dates = "coalesce(" + ", ".join(f"try_to_timestamp(trim({c}), '{f}')" for f in DATE_FORMATS) + ")"
     parts = {
         "column": f"'{title}'",
         "dtype": f"'{kind.simpleString()}'",
@@ -80,7 +87,7 @@ def _struct_sql(df: DataFrame, name: str, distinct: str) -> str:
         "constant": f"coalesce(min({value}) = max({value}), false)",
         "boolean_like": f"coalesce({yes_no}, true)",
         "n_negative": f"count_if({c} < 0)" if signed else "0L",
-        "n_dates": f"count({dates})" if dated else "0L",
+        "n_dates": f"count(`{_as_date(name)}`)" if dated else "0L",
     }
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")"
 
@@ -100,18 +107,18 @@ def _wide_stats(df: DataFrame, names: Sequence[str], distinct: str) -> DataFrame
         kind = df.schema[n].dataType
         value = f"nullif({c}, double('NaN'))" if isinstance(kind, (T.DoubleType, T.FloatType)) else c
         num, txt = (f"double({value})", "null") if small(kind) else ("null", f"string({c})")
-        cells.append(f"named_struct('i', {len(meta)}, 'num', double({num}), 'txt', string({txt}))")
-        text = isinstance(kind, T.StringType)
+        day = f"`{_as_date(n)}`" if _may_hold_dates(df, n) else "null"
+        cells.append(
+            f"named_struct('i', {len(meta)}, 'num', double({num}), 'txt', string({txt}),"
+            f" 'day', date({day}))"
+        )
         meta.append((
             len(meta), n, kind.simpleString(), _is_number(kind), isinstance(kind, T.BooleanType),
-            text and _hint(n, DATE_HINTS), _is_number(kind) and _hint(n, NON_NEGATIVE_HINTS),
+            _is_number(kind) and _hint(n, NON_NEGATIVE_HINTS),
         ))
     info = df.sparkSession.createDataFrame(
-        meta, "i int, column string, dtype string, number boolean, flag boolean, dated boolean,"
-        " signed boolean",
+        meta, "i int, column string, dtype string, number boolean, flag boolean, signed boolean"
     )
-    dated = [m[0] for m in meta if m[5]] or [-1]
-    dates = "coalesce(" + ", ".join(f"try_to_timestamp(trim(txt), '{f}')" for f in DATE_FORMATS) + ")"
     hll = "greatest(approx_count_distinct(num), approx_count_distinct(txt))"
     # one element of the array at a time: a generator, not a wide projection
     stats = df.select(F.expr(f"inline(array({', '.join(cells)}))")).groupBy("i").agg(
@@ -123,7 +130,7 @@ def _wide_stats(df: DataFrame, names: Sequence[str], distinct: str) -> DataFrame
         F.expr("min(txt)").alias("first"),
         F.expr("max(txt)").alias("last"),
         F.expr("count_if(num < 0 or txt like '-%')").alias("n_negative"),
-        F.expr(f"count(case when i in ({', '.join(map(str, dated))}) then {dates} end)").alias("n_dates"),
+        F.expr("count(day)").alias("n_dates"),
     )
     both = "{lo} in {words} and {hi} in {words}"
     words = both.format(lo="first", hi="last", words="('Yes', 'No', 'yes', 'no')")
@@ -161,6 +168,9 @@ def column_stats(
     names = list(columns) if columns is not None else df.columns
     if not names:
         return df.sparkSession.createDataFrame([], "column string, n_rows long, n_null long")
+    df = df.withColumns(
+        {_as_date(n): parse_date(_q(n)) for n in names if _may_hold_dates(df, n)}
+    )
     if len(names) > WIDE:
         out = _wide_stats(df, names, distinct)
     else:

@@ -35,7 +35,7 @@ def _definitions_text(spark_side: bool) -> dict[str, str]:
         "metric_column": _pick(_METRIC, "s_suppkey / 8 % 4 + 1" if spark_side else "s_suppkey // 8 % 4 + 1", spark_side),
         "calculation": "case when s_suppkey % 16 = 15 then null else "
         + _pick(_HOW, "s_suppkey % 8 + 1", spark_side) + " end",
-        "target_value": "case when s_suppkey % 20 = 19 then 0e0 else abs(s_acctbal) * 100 end",
+        "target_value": "case when s_suppkey % 20 = 19 then 0e0 else round(abs(s_acctbal) * 100) end",
         "start_date": f"case when s_suppkey % 10 = 1 then null else {start} end",
         "end_date": f"case when s_suppkey % 10 in (1, 2) then null else {end} end",
         "alert_threshold_pct": "case when s_suppkey % 4 = 0 then null else 5e0 + s_suppkey % 7 end",
@@ -62,9 +62,9 @@ kpis as (select id, dataset_id, kpi_name, metric_column, upper(coalesce(calculat
 )
 
 
-def _r(text: str, n: int = 2) -> str:
+def _r(text: str, n: int = 2, digits: int = 15) -> str:
     """Decimal rounding, so that halves round the same way on both sides."""
-    return f"cast(round(cast({text} as decimal(38, 15)), {n}) as double)"
+    return f"cast(round(cast({text} as decimal(38, {digits})), {n}) as double)"
 
 
 @query("kpi_definitions_normalize", f"with {_KPIS_SQL} select * from kpis")
@@ -110,7 +110,7 @@ s as (select id, sum(v) as s, avg(v) as a, median(v) as m, min(v) as lo, max(v)
 x as (select k.*, date '1998-06-15' as as_of,
              case when k.metric_column = 'absent_column' then null else
              {_r('''coalesce(case calculation when 'AVERAGE' then a when 'RATE' then a when 'MEDIAN' then m
-               when 'MIN' then lo when 'MAX' then hi when 'COUNT' then n::double else s end, 0)''')} end as actual_value
+               when 'MIN' then lo when 'MAX' then hi when 'COUNT' then n::double else s end, 0)''', digits=9)} end as actual_value
       from active k left join s using (id)),
 {_RATED}
 select id as kpi_id, kpi_name, metric_column, calculation, target_value, actual_value,
@@ -136,7 +136,7 @@ _SNAP = {
     "kpi_name": "'KPI ' || cast(user_id as string)",
     "snapshot_time": "ts",
     "actual_value": "cast(round(value * 4, 2) as double)",
-    "target_value": "cast(80 + user_id % 40 as double)",
+    "target_value": "80.7e0 + (user_id % 40) * 1.3e0",
     "recipients": "case when user_id % 3 = 0 then '' when user_id % 3 = 1 then 'x@y.org, z'"
     " else null end",
     "alert_threshold_pct": "10e0",
