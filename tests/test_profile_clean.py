@@ -53,7 +53,7 @@ def test_wide_table_matches_narrow_statistics(spark):
     info = profile.profile(df)
     assert len(info.numerics) == 500 and info.identifiers == ["Record_ID"]
     mixed = df.select("Record_ID", "Col_1", F.lit("x").alias("t"), F.lit(None).cast("double").alias("n"),
-                      F.when(F.col("id") > 4, True).alias("b"), F.lit(0).alias("z"),
+                      F.when(F.col("Record_ID") > 4, True).alias("b"), F.lit(0).alias("z"),
                       F.lit("2024-01-01").alias("some_date"), (-F.col("Col_2")).alias("cost"))
     narrow = {r["column"]: r for r in profile.column_stats(mixed).collect()}
     wide = {r["column"]: r for r in profile._wide_stats(
