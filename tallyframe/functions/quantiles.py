@@ -39,8 +39,8 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """One row per key (one row in all without keys): the keys, ``n``, ``min``,
-    ``max`` and an array ``q`` with the exact quantile for every entry of ``ps``.
+    """One row per key (one row in all without keys): the keys, the number ``n``
+    of values and an array ``q`` with the exact quantile for every entry of ``ps``.
 
     Null values and null keys are left out.  A group without values gives no
     row; without keys there is always one row.
@@ -55,44 +55,44 @@ def exact_quantiles(
         rows = rows.filter(F.col(k).isNotNull())
 
     bounds = rows.groupBy(*keys).agg(
-        F.count("_v").alias("n"),
-        F.min("_v").alias("min"),
-        F.max("_v").alias("max"),
-        _bracket_columns(ps, accuracy).alias("edges"),
+        F.count("_v").alias("_n"),
+        _bracket_columns(ps, accuracy).alias("_edges"),
     )
     if keys:
         placed = rows.join(bounds, keys)
     else:
         placed = rows.withColumn(
-            "_b", bounds.select(F.struct("n", "min", "max", "edges")).scalar()
+            "_b", bounds.select(F.struct("_n", "_edges")).scalar()
         ).select("_v", "_b.*")
 
     inside = F.lit(False)
     for i in range(len(ps)):
-        low, high = F.col("edges")[2 * i], F.col("edges")[2 * i + 1]
+        low, high = F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]
         inside = inside | F.col("_v").between(low, high)
-    edge = F.col("edges")
+    edge = F.col("_edges")
     below = F.greatest(*[F.when(edge[i] < F.col("_v"), edge[i]) for i in range(2 * len(ps))])
     counts = (
         placed.select(
             *keys,
-            F.struct("n", "min", "max").alias("_s"),
+            "_n",
             F.when(inside, F.col("_v")).otherwise(below).alias("_at"),
             (~inside).alias("_gap"),
             "_v",
         )
-        .groupBy(*keys, "_s", "_at", "_gap")
+        .groupBy(*keys, "_n", "_at", "_gap")
         .agg(F.count("*").alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last"))
     )
 
     # A wanted rank is inside a bracket or, for groups too small for the slack
     # to reach one row, the row next to it: the first or last of a gap.
-    w = Window.partitionBy(*keys, "_s").orderBy(F.col("_at").asc_nulls_first(), "_gap")
+    w = Window.partitionBy(*keys, "_n").orderBy(F.col("_at").asc_nulls_first(), "_gap").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     ranked = counts.withColumn("_end", F.sum("_c").over(w))
     start = F.col("_end") - F.col("_c")
     parts = []
     for i, p in enumerate(ps):
-        rank = F.lit(p) * (F.col("_s.n") - 1)
+        rank = F.lit(p) * (F.col("_n") - 1)
         for tag, r in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
             here = (
                 F.when(~F.col("_gap") | (r == start), F.col("_first"))
@@ -102,25 +102,14 @@ def exact_quantiles(
             parts.append(
                 F.max(F.when((r >= start) & (r < F.col("_end")), here)).alias(f"_{tag}{i}")
             )
-    picked = ranked.groupBy(*keys, "_s").agg(*parts)
+    picked = ranked.groupBy(*keys, "_n").agg(*parts)
     quantiles = []
     for i, p in enumerate(ps):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        rank = F.lit(p) * (F.col("_s.n") - 1)
+        rank = F.lit(p) * (F.col("_n") - 1)
         quantiles.append(lo + (hi - lo) * (rank - F.floor(rank)))
-    result = picked.select(
-        *keys,
-        F.col("_s.n").alias("n"),
-        F.col("_s.min").alias("min"),
-        F.col("_s.max").alias("max"),
-        F.array(*quantiles).alias("q"),
-    )
+    result = picked.select(*keys, F.col("_n").alias("n"), F.array(*quantiles).alias("q"))
     if keys:
         return result
-    # an empty column still answers with one row of nulls
-    return result.agg(
-        F.coalesce(F.max("n"), F.lit(0)).alias("n"),
-        F.max("min").alias("min"),
-        F.max("max").alias("max"),
-        F.max("q").alias("q"),
-    )
+    # an empty column still answers with one row
+    return result.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("q").alias("q"))
