@@ -152,7 +152,8 @@ def parse_date(c: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column
 
 def iso_day(c: str | Column) -> Column:
     """Date from the first ten characters of an ISO text."""
-    return _by_format(F.substring(col(c).cast("string"), 1, 10), "yyyy-MM-dd")
+    text = F.substring(col(c).cast("string"), 1, 10)
+    return let(text, lambda t: _by_format(t, "yyyy-MM-dd"))
 
 
 def squash(c: str | Column) -> Column:

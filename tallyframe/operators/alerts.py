@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.columns import recipient_list
+from tallyframe.functions.columns import let, recipient_list
 
 HISTORY = (
     "id string, kpi_id string, kpi_name string, alert_type string, severity string, "
@@ -52,28 +52,28 @@ def message(
         F.lit("'"), name, F.lit("' is currently ON TRACK with a performance gap of "),
         _signed(gap), F.lit("."),
     )
-    return (
-        F.when(status == "CRITICAL", critical)
-        .when(status == "AT RISK", risk)
-        .when(status == "EXCEEDED", exceeded)
-        .otherwise(fine)
+    return let(
+        status,
+        lambda s: F.when(s == "CRITICAL", critical)
+        .when(s == "AT RISK", risk)
+        .when(s == "EXCEEDED", exceeded)
+        .otherwise(fine),
     )
 
 
+def _by_status(status: Column, answers: dict[str, str]) -> Column:
+    pairs = [F.lit(x) for pair in answers.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), status)
+
+
 def alert_type(status: Column) -> Column:
-    return (
-        F.when(status == "CRITICAL", "CRITICAL")
-        .when(status == "AT RISK", "AT_RISK")
-        .when(status == "EXCEEDED", "TARGET_EXCEEDED")
+    return _by_status(
+        status, {"CRITICAL": "CRITICAL", "AT RISK": "AT_RISK", "EXCEEDED": "TARGET_EXCEEDED"}
     )
 
 
 def severity(status: Column) -> Column:
-    return (
-        F.when(status == "CRITICAL", "CRITICAL")
-        .when(status == "AT RISK", "WARNING")
-        .when(status == "EXCEEDED", "INFO")
-    )
+    return _by_status(status, {"CRITICAL": "CRITICAL", "AT RISK": "WARNING", "EXCEEDED": "INFO"})
 
 
 def alerts_from(snapshots: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.functions.columns import iso_day, pct0
+from tallyframe.functions.columns import iso_day, let, pct0
 from tallyframe.functions.quantiles import exact_quantiles
 
 DEFINITIONS = (
@@ -187,10 +187,14 @@ def progress(df: DataFrame, as_of: str | Column) -> DataFrame:
     Without a window of two valid, ascending dates all of it counts as passed.
     """
     today = F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of
-    start, end = iso_day("start_date"), iso_day("end_date")
-    passed = F.greatest(F.lit(0), F.datediff(today, start))
-    share = F.least(F.lit(100.0), passed / F.datediff(end, start) * 100.0)
-    expected = F.when(end > start, F.round(share, 2)).otherwise(100.0)
+    window = F.struct(iso_day("start_date").alias("s"), iso_day("end_date").alias("e"))
+
+    def share(w: Column) -> Column:
+        passed = F.greatest(F.lit(0), F.datediff(today, w["s"]))
+        done = F.least(F.lit(100.0), passed / F.datediff(w["e"], w["s"]) * 100.0)
+        return F.when(w["e"] > w["s"], F.round(done, 2)).otherwise(100.0)
+
+    expected = let(window, share)
     return (
         df.withColumn("expected_progress_pct", expected)
         .withColumn("actual_progress_pct", F.col("achievement_pct"))
@@ -201,11 +205,16 @@ def progress(df: DataFrame, as_of: str | Column) -> DataFrame:
 
 
 def status(achievement: Column, gap: Column, threshold: Column) -> Column:
-    return (
-        F.when(achievement >= 100, "EXCEEDED")
-        .when((gap >= 0) | (achievement >= 100.0 - F.coalesce(threshold, F.lit(10.0))), "ON TRACK")
-        .when((gap >= -15) | (achievement >= 70), "AT RISK")
-        .otherwise("CRITICAL")
+    """The first rule that fits, best status first."""
+    parts = F.struct(
+        achievement.alias("a"), gap.alias("g"), F.coalesce(threshold, F.lit(10.0)).alias("t")
+    )
+    return let(
+        parts,
+        lambda x: F.when(x["a"] >= 100, "EXCEEDED")
+        .when((x["g"] >= 0) | (x["a"] >= 100.0 - x["t"]), "ON TRACK")
+        .when((x["g"] >= -15) | (x["a"] >= 70), "AT RISK")
+        .otherwise("CRITICAL"),
     )
 
 
