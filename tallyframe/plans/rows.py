@@ -133,8 +133,8 @@ def preview_sample(spark, folder):
 
 
 @query("sales_fact", f"""
-select region, category, line_status, count(*) as n_rows, round(sum(sales), 2) as sales,
-       round(sum(profit), 2) as profit, round(sum(quantity), 2) as quantity
+select region, category, line_status, count(*) as n_rows, round(sum(sales), 4) as sales,
+       round(sum(profit), 4) as profit, round(sum(quantity), 4) as quantity
 from ({STAR}) group by all""")
 def sales_fact(spark, folder):
     df = facts.sales_fact(
@@ -146,6 +146,5 @@ def sales_fact(spark, folder):
             F.sum("sales").alias("sales"),
             F.sum("profit").alias("profit"),
             F.sum("quantity").alias("quantity"),
-        ),
-        2,
+        )
     )
