@@ -51,10 +51,6 @@ def growth_pct(now: Column, before: Column) -> Column:
     return F.try_divide(now - before, before) * 100.0
 
 
-def ratio_expr(text: str) -> str:
-    return f"coalesce(try_divide({text}), 0D)"
-
-
 def as_text(c: str | Column) -> Column:
     return F.lower(F.trim(col(c).cast("string")))
 

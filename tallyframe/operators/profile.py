@@ -25,7 +25,6 @@ from tallyframe.functions.vocabulary import (
 # From this many columns on, one aggregate per column makes the generated code
 # (not the data) the slow part; the columns are then turned into rows first.
 WIDE = 40
-ROLES = ("identifier", "boolean", "date", "target", "kpi", "numeric", "categorical", "text")
 _ID_END = re.compile(rf"(^|[_\sa-z])({'|'.join(IDENTIFIER_ENDINGS)})s?$", re.IGNORECASE)
 
 

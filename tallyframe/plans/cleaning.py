@@ -25,7 +25,6 @@ _PRICE = """case o_orderkey % 8
  else '  ' || cast(o_totalprice as string) end"""
 _PRIORITY = """case when o_orderpriority = '1-URGENT' then ' n/a' when o_orderpriority = '2-HIGH' then '?'
  when o_orderpriority = '5-LOW' then '' else '  ' || o_orderpriority || ' ' end"""
-_DAY = "{f}(o_orderdate, {y})"
 
 
 def _day(spark_side: bool) -> str:

@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.operators import kpi
-from tallyframe.plans.base import query, rounded
-from tallyframe.plans.targets import _KPIS_SQL, definitions
-from tallyframe.plans.base import REGISTRY
+from tallyframe.plans.base import REGISTRY, query, rounded
+from tallyframe.plans.targets import definitions
 from tallyframe.session import scratch_path
 from tallyframe.sources import catalog, files, records
 from tallyframe.sources.tables import table
