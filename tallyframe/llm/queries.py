@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import kneser_ney, nbsvm
+from tallyframe.llm import kneser_ney, mixing, nbsvm
 from tallyframe.llm.labelled import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,48 @@ def _scores(module, label: str, folds: int, fold: int, threshold: float) -> Quer
 
 query("op5_toxicity")(_scores(kneser_ney, "toxic", 5, 0, 0.5))
 query("op9_quality_classifier")(_scores(nbsvm, "quality", 4, 2, 0.7))
+
+
+_MIX = r"""
+with d as (
+  select doc_id, source, coalesce(text, '') as body,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size
+  from documents
+), s as (
+  select source, sum(size)::bigint as source_size,
+         row_number() over (order by source nulls last) - 1 as place
+  from d group by source
+), w as (
+  select *, [5.0::double, 2.0, 1.0][(place % 3) + 1] as w, 2 * source_size as cap,
+         sum(source_size) over ()::bigint * 1.5::double as goal
+  from s
+), f as (
+  select *, cap * sum(w) over (order by cap / w, place rows between current row and unbounded following)
+         <= (goal - coalesce(sum(cap) over (order by cap / w, place rows between unbounded preceding and 1 preceding), 0)::bigint) * w
+         as filled
+  from w
+), t as (
+  select source, source_size,
+         case when filled then cap::double
+              else (goal - coalesce(sum(case when filled then cap end) over (), 0)::bigint)
+                   / (sum(case when not filled then w end) over ()) * w end as target
+  from f
+), p as (
+  select d.*, t.source_size, t.target, round(t.target)::bigint as wanted,
+         coalesce(sum(size) over (partition by d.source
+           order by md5(coalesce(doc_id::varchar, '')), doc_id, size
+           rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from d join t on d.source is not distinct from t.source
+)
+select doc_id, size::bigint as size, source_size, target,
+       case when size = 0 then 0 else
+         (wanted // source_size) * size
+         + greatest(0, least(start + size, wanted % source_size) - start) end::bigint as taken,
+       source
+from p
+"""
+
+
+@query("op1_mixing", _MIX)
+def op1_mixing(spark, folder):
+    return mixing.words_taken(read(spark, folder, "documents"))
