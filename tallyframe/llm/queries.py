@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import kneser_ney, mixing, nbsvm
+from tallyframe.llm import kneser_ney, mixing, nbsvm, sharding
 from tallyframe.llm.labelled import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,24 @@ from p
 @query("op1_mixing", _MIX)
 def op1_mixing(spark, folder):
     return mixing.words_taken(read(spark, folder, "documents"))
+
+
+def shard_sql(limit: int) -> str:
+    """The shards of ``documents`` with distinct ids; a larger document is a page by itself."""
+    return f"""
+with d as (
+  select doc_id, strlen(coalesce(text, ''))::bigint as bytes,
+         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h
+  from documents
+), b as (select *, lpad(bin(h), 60, '0') as bits from d where bytes <= {limit}),
+l as (select doc_id, bytes, bits, unnest(range(0, 61)) as depth from b),
+s as (select *, sum(bytes) over (partition by depth, substr(bits, 1, depth))::bigint as shard_bytes from l)
+select doc_id, bytes, substr(bits, 1, depth) as shard, depth::int as depth, shard_bytes
+from s where shard_bytes <= {limit}
+qualify row_number() over (partition by doc_id order by depth) = 1
+"""
+
+
+@query("op3_sharding", shard_sql(sharding.LIMIT))
+def op3_sharding(spark, folder):
+    return sharding.shard_table(read(spark, folder, "documents"))
