@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import kneser_ney, mixing, nbsvm, sharding
+from tallyframe.llm import decontaminate, kneser_ney, mixing, nbsvm, sharding
 from tallyframe.llm.labelled import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,34 @@ qualify row_number() over (partition by doc_id order by depth) = 1
 @query("op3_sharding", shard_sql(sharding.LIMIT))
 def op3_sharding(spark, folder):
     return sharding.shard_table(read(spark, folder, "documents"))
+
+
+def leak_sql(n: int) -> str:
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    pick = rf"regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+with b as (select distinct item_id, {pick} as w from benchmark where text is not null),
+g as (
+  select distinct item_id, w[i + 1 : i + least(len(w), {n})] as gram
+  from (select item_id, w, unnest(range(0, greatest(len(w) - {n} + 1, 1))) as i from b where len(w) > 0)
+),
+d as (select row_number() over () as r, doc_id, coalesce({pick}, []) as w from documents),
+v as (
+  select r, i, k, w[i + 1 : i + k] as gram
+  from (select r, w, k, unnest(range(0, greatest(len(w) - k + 1, 0))) as i
+        from d, (select distinct len(gram) as k from g))
+),
+h as (select v.r, v.i, v.k, g.item_id from v join g using (gram)),
+c as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + k)) as p from h) group by r),
+m as (select r, count(*) as n_items, string_agg(id, ',' order by id) as ids
+      from (select distinct r, item_id::varchar as id from h) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+       coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       n_hit is not null as contaminated
+from d left join c using (r) left join m using (r)
+"""
+
+
+@query("op7_decontamination", leak_sql(decontaminate.N))
+def op7_decontamination(spark, folder):
+    return decontaminate.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
