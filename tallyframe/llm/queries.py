@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, kneser_ney, mixing, nbsvm, sharding
+from tallyframe.llm import decontaminate, isolation, kneser_ney, mixing, nbsvm, sharding
 from tallyframe.llm.labelled import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,8 @@ from d left join c using (r) left join m using (r)
 @query("op7_decontamination", leak_sql(decontaminate.N))
 def op7_decontamination(spark, folder):
     return decontaminate.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark, folder):
+    return isolation.verdicts(read(spark, folder, "documents"), read(spark, folder, "labels"))
