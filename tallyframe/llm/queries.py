@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, isolation, kneser_ney, mixing, nbsvm, sharding
+from tallyframe.llm import decontaminate, isolation, kneser_ney, mixing, nbsvm, sharding, warc
 from tallyframe.llm.labelled import held_out
+from tallyframe.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,3 +145,25 @@ def op7_decontamination(spark, folder):
 @query("op2_quality_rules")
 def op2_quality_rules(spark, folder):
     return isolation.verdicts(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = " || ".join(
+    f"substr('{_ALPHABET}', (('0x' || substr(h, {1 + 5 * part}, 5))::int // {32 ** (3 - digit)}) % 32 + 1, 1)"
+    for part in range(8)
+    for digit in range(4)
+)
+
+
+@query("op6_warc", f"""
+with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
+f as (select *, min(page_id) over (partition by h) as first from p)
+select page_id, strlen(body)::bigint as payload_bytes, {_BASE32} as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from f
+""")
+def op6_warc(spark, folder):
+    path = scratch_path(spark, "warc")
+    warc.write_pages(read(spark, folder, "pages"), path)
+    return warc.page_digests(warc.read_archive(spark, path))
