@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, isolation, kneser_ney, mixing, nbsvm, sharding, warc
+from tallyframe.llm import cross_entropy, decontaminate, isolation, kneser_ney, mixing, nbsvm, sharding, warc
 from tallyframe.llm.labelled import held_out
 from tallyframe.session import scratch_path
 
@@ -167,3 +167,12 @@ def op6_warc(spark, folder):
     path = scratch_path(spark, "warc")
     warc.write_pages(read(spark, folder, "pages"), path)
     return warc.page_digests(warc.read_archive(spark, path))
+
+
+@query("op8_lm_scoring")
+def op8_lm_scoring(spark, folder):
+    """The target are the documents labelled as of high quality."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    good = read(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    model = cross_entropy.fit(cross_entropy.marked_documents(docs, good))
+    return cross_entropy.scored(docs, model).drop("text")
