@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import cross_entropy, decontaminate, isolation, kneser_ney, mixing, nbsvm, sharding, warc
+from tallyframe.llm import cross_entropy, decontaminate, isolation, kneser_ney, lsh_forest, mixing, nbsvm, sharding, warc
 from tallyframe.llm.labelled import held_out
 from tallyframe.session import scratch_path
 
@@ -176,3 +176,38 @@ def op8_lm_scoring(spark, folder):
     good = read(spark, folder, "labels").filter("quality = 1").select("doc_id")
     model = cross_entropy.fit(cross_entropy.marked_documents(docs, good))
     return cross_entropy.scored(docs, model).drop("text")
+
+
+def near_sql(width: int, percent: int) -> str:
+    return rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w
+  from documents
+), s as (
+  select doc_id, list_distinct(list_transform(range(0, greatest(len(w) - {width} + 1, least(len(w), 1))),
+         lambda i : array_to_string(w[i + 1 : i + {width}], ' '))) as s from w
+), r as (select s, min(doc_id) as id, len(s) as n from (select doc_id, list_sort(s) as s from s) where len(s) > 0 group by s),
+e as (select id, n, unnest(s) as g from r),
+c as (
+  select x.id as a, y.id as b, count(*) as common, any_value(x.n) as na, any_value(y.n) as nb
+  from e x join e y on x.g = y.g and x.id < y.id
+   and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n
+  group by 1, 2
+), l as (select a, b from c where 100 * common >= {percent} * (na + nb - common)),
+reach as (
+  select id as node, id as root from r
+  union
+  select case when l.a = reach.node then l.b else l.a end, reach.root
+  from reach join l on l.a = reach.node or l.b = reach.node
+), k as (select node, min(root) as root from reach group by node)
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(k.root, s.doc_id) as component_id,
+       s.doc_id = coalesce(k.root, s.doc_id) as kept
+from s left join r on r.s = list_sort(s.s) left join k on k.node = r.id
+"""
+
+
+@query("op4_near_dedup", near_sql(lsh_forest.WIDTH, lsh_forest.SIMILAR))
+def op4_near_dedup(spark, folder):
+    return lsh_forest.classes(read(spark, folder, "documents"))
