@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.native import free_name
+from tallyframe.llm.native import computed_once, free_name, staged
 
 N = 10
 BROADCAST_WINDOWS = 2_000_000
@@ -91,8 +91,9 @@ def hits(docs: DataFrame, grams: DataFrame, widths: list[int], key: str) -> Data
     if few.count() <= BROADCAST_WINDOWS:
         few = F.broadcast(few)
     hashed = _with_windows(docs, widths)
+    # outer: else the optimizer adds a size filter, which repeats all the hashing
     all_windows = hashed.select(key, F.size("words").alias("n"), F.concat(*(F.col(f"w{w}") for w in widths)).alias("w"))
-    seen = all_windows.select(key, "n", F.posexplode("w").alias("place", "gram")).join(few, "gram", "left_semi")
+    seen = all_windows.select(key, "n", F.posexplode_outer("w").alias("place", "gram")).join(few, "gram", "left_semi")
     seen = seen.distinct().join(known, "gram")
     before = F.lit(0)
     at = F.lit(None).cast("int")
@@ -124,12 +125,13 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N) -> tuple[DataFrame,
     """
     grams, widths = item_windows(benchmark, n)
     key = F.xxhash64("doc_id", "text")
-    found = hits(docs.select(key.alias("key"), words(F.col("text")).alias("words")), grams, widths, "key")
+    split = computed_once(docs.select(key.alias("key"), "text"), "words", words(F.col("text"))).drop("text")
+    found = hits(split, grams, widths, "key")
     per_doc = found.groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("at", "width", "gram", "gram_words"))).alias("hits")
     )
     rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("d"), key.alias("key"))
-    met = rows.join(per_doc, "key", "left").withColumn("words", words(F.col("d.text")))
+    met = computed_once(rows.join(per_doc, "key", "left"), "words", words(F.col("d.text")))
 
     def same(h: Column) -> Column:
         return F.forall(
@@ -138,7 +140,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N) -> tuple[DataFrame,
         )
 
     none = F.array().cast(per_doc.schema["hits"].dataType)
-    met = met.withColumn("spans", F.filter(F.coalesce("hits", none), same))
+    met = computed_once(met, "spans", F.filter(F.coalesce("hits", none), same))
     return met.select("d", "key", "words", "spans"), grams
 
 
@@ -150,6 +152,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
         _covered(F.col("spans")).alias("n_hit"),
         F.array_distinct(F.transform("spans", lambda s: F.struct(s["gram"], s["gram_words"]))).alias("grams"),
     )
+    lines = staged(lines)
     hit = lines.filter("n_hit > 0").select("key", F.explode("grams").alias("g"))
     owners = grams.select(F.struct("gram", "gram_words").alias("g"), "item_id").distinct()
     of_doc = hit.distinct().join(owners, "g").groupBy("key").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))

@@ -63,3 +63,12 @@ def running(df: DataFrame, by: list[str], bucket: str, order: list[str], value:
     joined = df.alias("l").join(bases.alias("r"), same).select("l.*", f"r.{base}")
     inside = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return joined.withColumn(out, F.col(base) + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop(base)
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column whose expression no later filter or lambda pulls in again.
+
+    It comes out of a generator (of one element), which the optimizer does not
+    merge with what stands above it.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(value)))
