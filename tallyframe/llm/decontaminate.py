@@ -27,7 +27,7 @@ from tallyframe.llm.native import computed_once, free_name, staged
 
 N = 10
 BROADCAST_WINDOWS = 2_000_000
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
 _ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
