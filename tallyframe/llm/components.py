@@ -11,22 +11,19 @@ from tallyframe.llm.native import staged
 def _stars(edges: DataFrame, smaller: bool) -> DataFrame:
     """Hang the larger (or, if ``smaller``, the smaller) neighbours of each node on its least one.
 
-    Minima are combined before the shuffle; a node of very many edges meets its
+    Edges (a, b) have the larger node first.  Minima are combined before the shuffle; a node of very many edges meets its
     minimum in a join that adaptive execution may split.
     """
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    a, b, least = F.col("a"), F.col("b"), F.col("least")
     if smaller:
-        sides = edges
+        sides, hung = edges, F.array(pair(b, least), pair(a, least))
     else:
-        sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    met = sides.join(least, "a")
-    if smaller:
-        hung = met.select(F.col("b").alias("x"), F.col("least").alias("y")).unionByName(
-            met.select(F.col("a").alias("x"), F.col("least").alias("y"))
-        )
-    else:
-        hung = met.filter("b > a").select(F.col("b").alias("x"), F.col("least").alias("y"))
-    return hung.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        sides = edges.select(F.inline(F.array(pair(a, b), pair(b, a))))
+        hung = F.when(b > a, F.array(pair(b, least)))
+    minima = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    met = sides.join(minima, "a")
+    return staged(met.select(F.inline(hung)).filter("a <> b").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,10 +33,12 @@ def components(edges: DataFrame) -> DataFrame:
     each round is written to the shared folder, so lost executors cost a round at
     most.  Loops are ignored: a node of loops alone is not returned.
     """
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    now = staged(
+        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    )
     mark = None
     while True:
-        now = staged(_stars(_stars(now, False), True))
+        now = _stars(_stars(now, False), True)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == mark or not row[0]:
             break
