@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import cross_entropy, decontaminate, isolation, kneser_ney, lsh_forest, mixing, nbsvm, sharding, warc
+from tallyframe.llm import cross_entropy, debruijn, decontaminate, isolation, kneser_ney, lsh_forest, mixing, nbsvm, sharding, warc
 from tallyframe.llm.labelled import held_out
 from tallyframe.session import scratch_path
 
@@ -211,3 +211,33 @@ from s left join r on r.s = list_sort(s.s) left join k on k.node = r.id
 @query("op4_near_dedup", near_sql(lsh_forest.WIDTH, lsh_forest.SIMILAR))
 def op4_near_dedup(spark, folder):
     return lsh_forest.classes(read(spark, folder, "documents"))
+
+
+def repeat_sql(window: int) -> str:
+    return rf"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), v as (
+  select doc_id, i, w[i + 1 : i + {window}] as g
+  from (select doc_id, w, unnest(range(0, greatest(len(w) - {window} + 1, 0))) as i from w)
+), r as (
+  select doc_id, i from v
+  qualify row_number() over (partition by g order by doc_id nulls last, i) > 1
+), c as (select doc_id, list(distinct p) as gone from (select doc_id, unnest(range(i, i + {window})) as p from r) group by doc_id),
+k as (
+  select w.doc_id, w.w as w, coalesce(gone, []) as gone from w left join c on c.doc_id is not distinct from w.doc_id
+), p as (select doc_id, w, gone, unnest(range(0, greatest(len(w), 1))) as i from k),
+t as (
+  select doc_id, string_agg(w[i + 1], ' ' order by i) filter (where i < len(w) and x is null) as kept
+  from (select p.doc_id, p.w, p.i, x.i as x from p left join
+        (select doc_id, unnest(gone) as i from c) x on x.doc_id is not distinct from p.doc_id and x.i = p.i)
+  group by doc_id
+)
+select k.doc_id, len(w)::bigint as n_words, len(gone)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from k join t on t.doc_id is not distinct from k.doc_id
+"""
+
+
+@query("op10_substring_dedup", repeat_sql(debruijn.WINDOW))
+def op10_substring_dedup(spark, folder):
+    return debruijn.report(read(spark, folder, "documents"))
