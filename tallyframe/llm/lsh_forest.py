@@ -254,5 +254,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Documents without an id are kept.  Of rows that share a kept id, all stay.
     """
-    dropped = classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("gone"), "left_anti")
+    (gone,) = free_name(docs, "gone")
+    dropped = classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
