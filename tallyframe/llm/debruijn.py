@@ -33,8 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tallyframe.llm import words as W
 from tallyframe.llm.native import staged
@@ -69,6 +71,18 @@ def _least(values: np.ndarray, reach: int) -> np.ndarray:
     return best
 
 
+@F.arrow_udf(BinaryType())
+def packed(texts: pa.Array) -> pa.Array:
+    """Texts compressed for the way to their places, a third below what shuffles make of them."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([pack(t or b"") for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(t) for t in column.to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
 class Nodes:
     """Occurrences of nodes in a piece: text, position, first and last window, hashes."""
 
@@ -193,7 +207,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, tie, wanted = np.asarray(batch.column("id")), np.asarray(batch.column("tie")), batch.column("places")
         held: list[tuple[np.ndarray, ...]] = []
-        for piece in W.pieces(batch.column("text")):
+        for piece in W.pieces(_unpacked(batch.column("text"))):
             n = Nodes(piece)
             given = wanted.slice(piece.first, piece.texts)
             owner = np.repeat(np.arange(piece.texts), np.asarray(pc.list_value_length(given)))
@@ -237,7 +251,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """id, at of repeated windows: a place with the reach of its windows around it."""
     texts = located(docs)
     nodes = staged(_by_node(texts.mapInArrow(_edges, _KEYED)).mapInArrow(_branches, _KEYED))
-    to_compare = _met(texts, nodes.filter("kind = 2").select("id", "at"), "inner").select("id", "tie", "text", "places")
+    to_compare = _met(texts.withColumn("text", packed("text")), nodes.filter("kind = 2").select("id", "at"), "inner").select("id", "tie", "text", "places")
     later = _by_node(to_compare.mapInArrow(_window_rows, _KEYED)).mapInArrow(_later, _KEYED)
     return nodes.filter("kind = 1").select("id", "at").unionByName(later.select("id", "at"))
 
@@ -260,7 +274,7 @@ def _keep(piece: W.Piece, places: pa.Array) -> tuple[W.Words, np.ndarray]:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, digests, counts = [], [], []
-        for piece in W.pieces(batch.column("text")):
+        for piece in W.pieces(_unpacked(batch.column("text"))):
             words, left = _keep(piece, batch.column("places"))
             data = piece.data.tobytes()
             firsts = words.firsts(piece.texts)
@@ -279,7 +293,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for piece in W.pieces(batch.column("text")):
+        for piece in W.pieces(_unpacked(batch.column("text"))):
             words, left = _keep(piece, batch.column("places"))
             data, firsts = piece.data.tobytes(), words.firsts(piece.texts)
             for t in range(piece.texts):
@@ -297,12 +311,12 @@ def _with_places(docs: DataFrame, columns: list[Column]) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (kept words joined by a blank) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    met = _with_places(docs, [F.col("doc_id"), F.col("text")])
+    met = _with_places(docs, [F.col("doc_id"), packed("text").alias("text")])
     return met.mapInArrow(_digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text: the kept words of every document, joined by a blank."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    met = _with_places(docs, [F.col("doc_id"), F.col("text")])
+    met = _with_places(docs, [F.col("doc_id"), packed("text").alias("text")])
     return met.mapInArrow(_cut, f"doc_id {kind}, text string")
