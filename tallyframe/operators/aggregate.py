@@ -39,11 +39,12 @@ def nunique(df: DataFrame, column: str, approx: bool = False, name: str = "value
     return df.agg(f(F.col(column)).alias(name))
 
 
-def distinct_values(df: DataFrame, column: str, n: int = 30) -> DataFrame:
-    """The first ``n`` values in order, with the count of all distinct ones."""
+def distinct_values(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """The values in order (the first ``n``, if given), with the count of all distinct ones."""
     values = df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
     total = values.agg(F.count("*").alias("c")).scalar()
-    return values.orderBy("value").limit(n).withColumn("distinct_count", total)
+    ordered = values.orderBy("value")
+    return (ordered if n is None else ordered.limit(n)).withColumn("distinct_count", total)
 
 
 def percentile(
@@ -165,10 +166,11 @@ def group_by(
     keys: Sequence[str],
     column: str | None,
     op: str = "sum",
-    limit: int = 10,
+    limit: int | None = None,
     ascending: bool = False,
     name: str = "value",
 ) -> DataFrame:
-    """Groups by value, largest first, keys break ties; ``limit`` rows."""
+    """All groups by value, largest first, keys break ties; the first ``limit``, if given."""
     order = F.col(name).asc() if ascending else F.col(name).desc()
-    return group_totals(df, keys, column, op, name).orderBy(order, *keys).limit(limit)
+    groups = group_totals(df, keys, column, op, name).orderBy(order, *keys)
+    return groups if limit is None else groups.limit(limit)

@@ -58,7 +58,7 @@ def average_order_value(df: DataFrame, sales: str, order: str | None = None) ->
     )
 
 
-def contribution(df: DataFrame, key: str, column: str, limit: int = 10) -> DataFrame:
+def contribution(df: DataFrame, key: str, column: str, limit: int | None = None) -> DataFrame:
     """Group share of the grand total; rows without a key count in the total.
 
     The grand total is a scalar subquery over the group sums, so no window pulls
@@ -66,13 +66,13 @@ def contribution(df: DataFrame, key: str, column: str, limit: int = 10) -> DataF
     """
     sums = df.groupBy(key).agg(F.sum(column).alias("value"))
     grand = sums.agg(sum0("value").alias("t")).scalar()
-    return (
+    shares = (
         sums.filter(F.col(key).isNotNull())
         .withColumn("value", F.coalesce("value", F.lit(0.0)))
         .withColumn("percentage", pct0(F.col("value"), grand))
         .orderBy(F.col("percentage").desc(), key)
-        .limit(limit)
     )
+    return shares if limit is None else shares.limit(limit)
 
 
 def group_difference(
@@ -133,7 +133,7 @@ def top_n_contribution(df: DataFrame, key: str, column: str, n: int = 3) -> Data
     )
 
 
-def above_average(df: DataFrame, key: str, column: str, limit: int = 10) -> DataFrame:
+def above_average(df: DataFrame, key: str, column: str, limit: int | None = None) -> DataFrame:
     """Groups above the mean of all group totals, with threshold and counts."""
     totals = group_totals(df, [key], column)
     mean = totals.agg(F.avg("value").alias("m")).scalar()
@@ -144,10 +144,9 @@ def above_average(df: DataFrame, key: str, column: str, limit: int = 10) -> Data
             F.count("*").alias("n"),
         ).alias("s")
     ).scalar()
+    above = tested.filter(F.col("value") > F.col("average_threshold")).orderBy(F.col("value").desc(), key)
     return (
-        tested.filter(F.col("value") > F.col("average_threshold"))
-        .orderBy(F.col("value").desc(), key)
-        .limit(limit)
+        (above if limit is None else above.limit(limit))
         .withColumn("_c", counts)
         .select(key, "value", "average_threshold", F.col("_c.q").alias("qualifying_count"),
                 F.col("_c.n").alias("total_count"))

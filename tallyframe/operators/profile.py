@@ -22,9 +22,11 @@ from tallyframe.functions.vocabulary import (
     UNIQUE_HINTS,
 )
 
-# From this many columns on, one aggregate per column makes the generated code
-# (not the data) the slow part; the columns are then turned into rows first.
-WIDE = 40
+# Columns of one aggregate.  Wider tables are read in several aggregates of the
+# same formulas, each over its own columns, as generated code grows with its width.
+BATCH = 40
+# relative error of the distinct sketch
+SKETCH = 0.01
 _ID_END = re.compile(rf"(^|[_\sa-z])({'|'.join(IDENTIFIER_ENDINGS)})s?$", re.IGNORECASE)
 
 
@@ -81,7 +83,7 @@ def _struct_sql(df: DataFrame, name: str, distinct: str) -> str:
         "dtype": f"'{kind.simpleString()}'",
         "n_rows": "count(1)",
         "n_null": f"count(1) - count({value})",
-        "n_distinct": f"approx_count_distinct({value})" if distinct == "approx" else "cast(null as bigint)",
+        "n_distinct": f"approx_count_distinct({value}, {SKETCH})" if distinct == "approx" else "cast(null as bigint)",
         # one distinct value exactly when the least equals the greatest
         "constant": f"coalesce(min({value}) = max({value}), false)",
         "boolean_like": f"coalesce({yes_no}, true)",
@@ -91,68 +93,6 @@ def _struct_sql(df: DataFrame, name: str, distinct: str) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")"
 
 
-def _wide_stats(df: DataFrame, names: Sequence[str], distinct: str) -> DataFrame:
-    """The same statistics for a wide table: one cell per row, one small aggregate.
-
-    Cells are combined on the map side to one row per column.
-    """
-
-    def small(kind: T.DataType) -> bool:
-        return _is_number(kind) and not isinstance(kind, (T.LongType, T.DecimalType))
-
-    cells, meta = [], []
-    for n in names:
-        c = "`" + n.replace("`", "``") + "`"
-        kind = df.schema[n].dataType
-        value = f"nullif({c}, double('NaN'))" if isinstance(kind, (T.DoubleType, T.FloatType)) else c
-        num, txt = (f"double({value})", "null") if small(kind) else ("null", f"string({c})")
-        day = f"`{_as_date(n)}`" if _may_hold_dates(df, n) else "null"
-        cells.append(
-            f"named_struct('i', {len(meta)}, 'num', double({num}), 'txt', string({txt}),"
-            f" 'day', date({day}))"
-        )
-        meta.append((
-            len(meta), n, kind.simpleString(), _is_number(kind), isinstance(kind, T.BooleanType),
-            _is_number(kind) and _hint(n, NON_NEGATIVE_HINTS),
-        ))
-    info = df.sparkSession.createDataFrame(
-        meta, "i int, column string, dtype string, number boolean, flag boolean, signed boolean"
-    )
-    hll = "greatest(approx_count_distinct(num), approx_count_distinct(txt))"
-    # one element of the array at a time: a generator, not a wide projection
-    stats = df.select(F.expr(f"inline(array({', '.join(cells)}))")).groupBy("i").agg(
-        F.expr("count(1)").alias("n_rows"),
-        F.expr("count(1) - count(num) - count(txt)").alias("n_null"),
-        F.expr(hll if distinct == "approx" else "cast(null as bigint)").alias("n_distinct"),
-        F.expr("min(num)").alias("lo"),
-        F.expr("max(num)").alias("hi"),
-        F.expr("min(txt)").alias("first"),
-        F.expr("max(txt)").alias("last"),
-        F.expr("count_if(num < 0 or txt like '-%')").alias("n_negative"),
-        F.expr("count(day)").alias("n_dates"),
-    )
-    both = "{lo} in {words} and {hi} in {words}"
-    words = both.format(lo="first", hi="last", words="('Yes', 'No', 'yes', 'no')")
-    zero_one = both.format(lo="lo", hi="hi", words="(0, 1)")
-    zero_one_text = both.format(lo="first", hi="last", words="('0', '1')")
-    yes_no = (
-        f"case when flag or lo is null and first is null then true"
-        f" when number then coalesce({zero_one}, {zero_one_text}, false)"
-        f" else dtype = 'string' and coalesce({words}, false) end"
-    )
-    return info.join(stats, "i", "left").select(
-        "column",
-        "dtype",
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-        F.coalesce("n_null", F.lit(0)).alias("n_null"),
-        "n_distinct",
-        F.expr("coalesce(lo = hi, first = last, false)").alias("constant"),
-        F.expr(yes_no).alias("boolean_like"),
-        F.expr("if(signed, coalesce(n_negative, 0L), 0L)").alias("n_negative"),
-        F.coalesce("n_dates", F.lit(0)).alias("n_dates"),
-    )
-
-
 def column_stats(
     df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "approx"
 ) -> DataFrame:
@@ -170,11 +110,11 @@ def column_stats(
     df = df.withColumns(
         {_as_date(n): parse_date(_q(n)) for n in names if _may_hold_dates(df, n)}
     )
-    if len(names) > WIDE:
-        out = _wide_stats(df, names, distinct)
-    else:
-        structs = ", ".join(_struct_sql(df, n, distinct) for n in names)
-        out = df.agg(F.expr(f"array({structs})").alias("s")).select(F.inline("s"))
+    out = None
+    for at in range(0, len(names), BATCH):
+        structs = ", ".join(_struct_sql(df, n, distinct) for n in names[at : at + BATCH])
+        part = df.agg(F.expr(f"array({structs})").alias("s")).select(F.inline("s"))
+        out = part if out is None else out.unionAll(part)
     if distinct == "exact":
         return out.drop("n_distinct").join(exact_distinct(df, names), "column", "left").withColumn(
             "n_distinct", F.coalesce("n_distinct", F.lit(0))
@@ -249,8 +189,8 @@ def named_like_identifier(name: str) -> bool:
 
 
 def _near(estimate: int, threshold: float) -> bool:
-    """The sketch has a relative error of 5 %; three times that is a safe margin."""
-    return abs(estimate - threshold) <= 0.15 * max(threshold, estimate) + 1
+    """Within fifteen standard errors of the sketch: beyond, a rule can't come out otherwise."""
+    return abs(estimate - threshold) <= 15 * SKETCH * max(threshold, estimate) + 1
 
 
 def _role(name: str, kind: T.DataType, s: Mapping, n_distinct: int) -> str:
@@ -389,8 +329,8 @@ def domain_scores(headers: DataFrame, samples: DataFrame | None = None) -> DataF
     """Score every domain for every table of a catalog.
 
     ``headers`` has ``table_id, header``; ``samples`` (optional) has
-    ``table_id, column, value``, a few values of up to two text columns.  A word
-    found in some header of the table counts 2, a word found in the sample of a
+    ``table_id, column, value``, values of text columns, as many as there are.  A
+    word found in some header of the table counts 2, a word found in a value of a
     column counts 1.  The words are literals of the expression: one pass over
     the headers, no join.
     """

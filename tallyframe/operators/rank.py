@@ -26,7 +26,7 @@ def ranking(
     keys: Sequence[str],
     column: str,
     op: str = "sum",
-    limit: int | None = 10,
+    limit: int | None = None,
     ascending: bool = False,
     name: str = "value",
 ) -> DataFrame:

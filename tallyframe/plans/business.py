@@ -66,7 +66,7 @@ def average_order_value(spark, folder):
 select k as segment, round(v, 2) as value, round(v / t * 100, 6) as percentage
 from (select case when brand = 'Brand#7' then null else brand end as k, sum(sales) as v,
              sum(sum(sales)) over () as t from ({STAR}) group by 1)
-where k is not null order by percentage desc, k limit 10""")
+where k is not null""")
 def pct_contribution(spark, folder):
     df = facts.sales_rollup(spark, folder, ["brand"]).select(
         F.when(F.col("brand") != "Brand#7", F.col("brand")).alias("segment"), "sales"
@@ -125,7 +125,7 @@ with g as (select o_custkey, sum(o_totalprice) as v from orders group by 1),
      m as (select avg(v) as m, count(*) as n from g)
 select o_custkey, round(v, 2) as value, round(m, 4) as average_threshold,
        (select count(*) from g, m where v > m) as qualifying_count, n as total_count
-from g, m where v > m order by v desc, o_custkey limit 10""")
+from g, m where v > m""")
 def above_average(spark, folder):
     out = biz.above_average(table(spark, folder, "orders"), "o_custkey", "o_totalprice")
     return rounded(out, 2, average_threshold=4)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators import profile
@@ -109,17 +108,17 @@ _WIDE_EXPR = "case when (c_custkey + {i}) % {m} = 0 then null else c_acctbal * {
 @query("profile_wide", "with t as (select c_custkey as \"Record_ID\", "
        + ", ".join(f'{_WIDE_EXPR.format(i=i, m=i % 13 + 2)} as "Col_{i}"' for i in range(1, _WIDE + 1))
        + " from customer)\n"
-       + "select 'Record_ID' as \"column\", count(*) as n_rows, 0::bigint as n_null, false as constant from t\nunion all\n"
+       + "select 'Record_ID' as \"column\", count(*) as n_rows, 0::bigint as n_null, false as constant, count(distinct \"Record_ID\") as n_distinct from t\nunion all\n"
        + _each('''select 'Col_{c}' as "column", count(*) as n_rows, count(*) - count("Col_{c}") as n_null,
-         min("Col_{c}") = max("Col_{c}") as constant from t''',
+         min("Col_{c}") = max("Col_{c}") as constant, count(distinct "Col_{c}") as n_distinct from t''',
                [str(i) for i in range(1, _WIDE + 1)]))
 def profile_wide(spark, folder):
     df = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("Record_ID"),
         *[F.expr(_WIDE_EXPR.format(i=i, m=i % 13 + 2)).alias(f"Col_{i}") for i in range(1, _WIDE + 1)],
     )
-    out = profile.column_stats(df, distinct="none")
-    return out.select("column", "n_rows", "n_null", "constant")
+    out = profile.column_stats(df, distinct="exact")
+    return out.select("column", "n_rows", "n_null", "constant", "n_distinct")
 
 
 @query("audit_report", f"""
@@ -163,17 +162,13 @@ def audit_negatives(spark, folder):
     return profile.negatives(mixed(spark, folder))
 
 
-def _samples(spark, folder):
-    """Ten values per table: the part names with the least keys."""
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return (
-        table(spark, folder, "part")
-        .withColumn("n", F.row_number().over(w))
-        .filter("n <= 10")
-        .select(F.col("p_brand").alias("table_id"), F.lit("p_name").alias("column"),
-                F.concat("p_name", F.lit(" "), F.element_at(
-                    F.array(F.lit("store"), F.lit("lead"), F.lit("none")),
-                    (F.col("p_partkey") % 3 + 1).cast("int"))).alias("value"))
+def _values(spark, folder):
+    """All values of a text column per table: the part names of each brand."""
+    return table(spark, folder, "part").select(
+        F.col("p_brand").alias("table_id"), F.lit("p_name").alias("column"),
+        F.concat("p_name", F.lit(" "), F.element_at(
+            F.array(F.lit("store"), F.lit("lead"), F.lit("none")),
+            (F.col("p_partkey") % 3 + 1).cast("int"))).alias("value"),
     )
 
 
@@ -186,10 +181,8 @@ def _domain_sql() -> str:
     return f"""
 w(domain, place, word) as (values {words}),
 h as ({HEADERS_SQL}),
-smp as (select table_id, v from (
-  select p_brand as table_id, p_name || ' ' || list_extract(['store', 'lead', 'none'],
-           cast(p_partkey % 3 + 1 as integer)) as v,
-         row_number() over (partition by p_brand order by p_partkey) as n from part) where n <= 10),
+smp as (select p_brand as table_id, p_name || ' ' || list_extract(['store', 'lead', 'none'],
+           cast(p_partkey % 3 + 1 as integer)) as v from part),
 p as (select table_id, domain, place, sum(pts) as score from (
         select distinct table_id, domain, place, word, 2 as pts, 'h' as src from h, w
         where contains(lower(header), word)
@@ -202,7 +195,7 @@ p as (select table_id, domain, place, sum(pts) as score from (
 with {_domain_sql()}
 select table_id, domain, score::bigint as score from p""")
 def domain_score(spark, folder):
-    return profile.domain_scores(headers(spark, folder), _samples(spark, folder))
+    return profile.domain_scores(headers(spark, folder), _values(spark, folder))
 
 
 @query("domain_detect", f"""
@@ -215,4 +208,4 @@ select table_id, max(case when n = 1 then domain end) as primary_domain,
             else least(round(max(score) / 10.0, 2), 0.99) end::double as confidence
 from r group by 1""")
 def domain_detect(spark, folder):
-    return rounded(profile.detect_domains(headers(spark, folder), _samples(spark, folder)))
+    return rounded(profile.detect_domains(headers(spark, folder), _values(spark, folder)))

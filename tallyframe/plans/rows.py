@@ -8,7 +8,7 @@ from tallyframe.operators import facts, filters
 from tallyframe.plans.base import STAR, query, rounded
 from tallyframe.sources.tables import table
 
-_ORDER_COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
+_ORDER_COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 
 
 def _orders(spark, folder):
@@ -103,13 +103,13 @@ def op_sort_rows(spark, folder):
 
 
 @query("search_any_column", """
-select p_partkey, p_name, p_brand, p_type, p_size from part
+select * from part
 where contains(lower(p_name), 'brand#1') or contains(lower(p_brand), 'brand#1')
    or contains(lower(p_type), 'brand#1') or contains(cast(p_size as varchar), 'brand#1')
-   or contains(cast(p_partkey as varchar), 'brand#1')""")
+   or contains(cast(p_partkey as varchar), 'brand#1')
+   or contains(cast(p_retailprice as varchar), 'brand#1')""")
 def search_any_column(spark, folder):
-    df = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    return filters.search_any(df, "Brand#1")
+    return filters.search_any(table(spark, folder, "part"), "Brand#1")
 
 
 @query("page_slice", f"""
@@ -122,12 +122,13 @@ def page_slice(spark, folder):
 
 @query("preview_sample", """
 select coalesce(cast(doc_id as varchar), '') as doc_id, coalesce(lang, '') as lang,
-       coalesce(source, '') as source, coalesce(cast(long_text as varchar), '') as long_text
-from (select doc_id, lang, source, case when n_chars > 1000 then n_chars end as long_text
+       coalesce(source, '') as source, coalesce(text, '') as text,
+       coalesce(cast(long_text as varchar), '') as long_text
+from (select doc_id, lang, source, text, case when n_chars > 1000 then n_chars end as long_text
       from documents order by doc_id limit 100)""")
 def preview_sample(spark, folder):
     df = table(spark, folder, "documents").select(
-        "doc_id", "lang", "source", F.when(F.col("n_chars") > 1000, F.col("n_chars")).alias("long_text")
+        "doc_id", "lang", "source", "text", F.when(F.col("n_chars") > 1000, F.col("n_chars")).alias("long_text")
     )
     return filters.preview(df, ["doc_id"], 100)
 

@@ -48,7 +48,7 @@ def agg_count(spark, folder):
 
 @query("agg_distinct_values", """
 select value, (select count(distinct p_name) from part) as distinct_count
-from (select distinct p_name as value from part order by value limit 30)""")
+from (select distinct p_name as value from part)""")
 def agg_distinct_values(spark, folder):
     return aggregate.distinct_values(table(spark, folder, "part"), "p_name")
 
@@ -128,7 +128,7 @@ def col_formula(spark, folder):
 
 @query("group_sum", f"""
 select brand, round(sum(sales), 2) as value from ({STAR})
-group by brand order by 2 desc, 1 limit 10""")
+group by brand order by 2 desc, 1""")
 def group_sum(spark, folder):
     df = facts.sales_rollup(spark, folder, ["brand"])
     return rounded(aggregate.group_by(df, ["brand"], "sales"), 2)
@@ -136,14 +136,14 @@ def group_sum(spark, folder):
 
 @query("group_mean", f"""
 select supplier_id, round(avg(sales), 4) as value from ({LINE})
-group by supplier_id order by avg(sales) desc, 1 limit 10""")
+group by supplier_id order by avg(sales) desc, 1""")
 def group_mean(spark, folder):
     return rounded(aggregate.group_by(_line(spark, folder), ["supplier_id"], "sales", "mean"))
 
 
 @query("group_count", """
 select o_orderpriority, count(o_totalprice) as value from orders
-group by 1 order by 2 desc, 1 limit 10""")
+group by 1 order by 2 desc, 1""")
 def group_count(spark, folder):
     return aggregate.group_by(
         table(spark, folder, "orders"), ["o_orderpriority"], "o_totalprice", "count"
@@ -151,22 +151,35 @@ def group_count(spark, folder):
 
 
 @query("group_median", f"""
-select supplier_id, round(quantile_cont(sales, 0.5), 4) as value from ({LINE})
-group by 1 order by quantile_cont(sales, 0.5) desc, 1 limit 10""")
+select supplier_id, round(quantile_cont(sales, 0.5), 3) as value from ({LINE})
+group by 1 order by quantile_cont(sales, 0.5) desc, 1""")
 def group_median(spark, folder):
-    return rounded(aggregate.group_by(_line(spark, folder), ["supplier_id"], "sales", "median"))
+    return rounded(aggregate.group_by(_line(spark, folder), ["supplier_id"], "sales", "median"), 3)
 
 
 @query("group_multi_key", f"""
 select return_flag, line_status, return_flag || ' - ' || line_status as label,
        round(sum(sales), 2) as value
-from ({LINE}) group by 1, 2 order by 4, 1, 2 limit 10""")
+from ({LINE}) group by 1, 2 order by 4, 1, 2""")
 def group_multi_key(spark, folder):
     keys = ["return_flag", "line_status"]
     out = aggregate.group_by(_line(spark, folder), keys, "sales", ascending=True)
     return rounded(out.withColumn("label", aggregate.label(keys)), 2)
 
 
+_GROUPED = ("min", "max", "nunique")
+
+
+@query("group_extremes", f"""
+select supplier_id, round(min(sales), 4) as min, round(max(sales), 4) as max, count(distinct sales) as nunique
+from ({LINE}) group by 1""")
+def group_extremes(spark, folder):
+    """Least, largest and number of different sales of each supplier, each an operator by itself."""
+    line = _line(spark, folder)
+    parts = [aggregate.group_totals(line, ["supplier_id"], "sales", op, op) for op in _GROUPED]
+    return rounded(parts[0].join(parts[1], "supplier_id").join(parts[2], "supplier_id"))
+
+
 @query("rank_winner", f"""
 with t as (select return_flag, sum(sales) as value from ({LINE}) group by 1)
 select 'highest' as side, arg_max(return_flag, value) as name, round(max(value), 2) as value from t
@@ -213,7 +226,7 @@ from (select o_custkey as customer_id, sum(o_totalprice) as v from orders group
 order by v desc, customer_id limit 10""")
 def ranking(spark, folder):
     df = table(spark, folder, "orders").withColumnRenamed("o_custkey", "customer_id")
-    return rounded(rank.ranking(df, ["customer_id"], "o_totalprice"), 2)
+    return rounded(rank.ranking(df, ["customer_id"], "o_totalprice", limit=10), 2)
 
 
 @query("ranking_all", """
@@ -221,7 +234,7 @@ select customer_id, round(v, 2) as value, row_number() over (order by v desc, cu
 from (select o_custkey as customer_id, sum(o_totalprice) as v from orders group by 1)""")
 def ranking_all(spark, folder):
     df = table(spark, folder, "orders").withColumnRenamed("o_custkey", "customer_id")
-    return rounded(rank.ranking(df, ["customer_id"], "o_totalprice", limit=None), 2)
+    return rounded(rank.ranking(df, ["customer_id"], "o_totalprice"), 2)
 
 
 def _inside(name, ascending):

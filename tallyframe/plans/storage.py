@@ -17,10 +17,10 @@ from tallyframe.streaming import live, sync
 
 
 @query("csv_roundtrip_scan", """
-select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders""")
+select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders""")
 def csv_roundtrip_scan(spark, folder):
     path = scratch_path(spark, "orders-csv")
-    orders = table(spark, folder, "orders").drop("o_orderdate")
+    orders = table(spark, folder, "orders")
     # headers with blanks around them, as they come in practice
     files.write_csv(orders.toDF(*[f" {c} " for c in orders.columns]), path)
     return files.read_csv(spark, path)

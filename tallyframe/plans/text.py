@@ -106,10 +106,10 @@ with {QUESTIONS_SQL},
 w as (select {_WORDS_SQL} as w from q),
 g as (select n, array_to_string(list_slice(w, i, i + n - 1), ' ') as phrase
       from (select w, n, unnest(generate_series(1, len(w) - n + 1)) as i from w, (values (1), (2), (3)) v(n)))
-select n, phrase, count(*) as uses from g group by all having count(*) > 1""")
+select n, phrase, count(*) as uses from g group by all""")
 def question_ngrams(spark, folder):
     runs = questions.ngrams(log(spark, folder).select("text"))
-    return runs.groupBy("n", "phrase").agg(F.count("*").alias("uses")).filter("uses > 1")
+    return runs.groupBy("n", "phrase").agg(F.count("*").alias("uses"))
 
 
 @query("session_context_last5", f"""
