@@ -92,27 +92,32 @@ class Model:
 
 def log_count_ratios(rows: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     """Smoothed log of the share of a feature among class 1 against class 0."""
-    total = []
-    for c in (1, 0):
-        mine = [r for r, y in zip(rows, label) if y == c]
-        n = np.bincount(np.concatenate(mine), minlength=1 << BITS) + 1.0
-        total.append(n / n.sum())
-    return np.log(total[0] / total[1])
+    n = np.ones((2, 1 << BITS))
+    for r, y in zip(rows, label):
+        n[y][r] += 1  # a row names a feature once
+    share = n / n.sum(1, keepdims=True)
+    return np.log(share[1] / share[0])
 
 
 def dual_descent(
-    rows: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, cost: float = 1.0, epochs: int = 12
+    rows: list[np.ndarray], ratio: np.ndarray, label: np.ndarray, cost: float = 1.0, epochs: int = 12
 ) -> tuple[np.ndarray, float]:
-    """Weights and offset of a linear hinge-loss model with L2 penalty."""
+    """Weights and offset of a linear hinge-loss model with L2 penalty.
+
+    A row's values are the ratios of its features, brought to length 1; they are
+    made anew at each visit, so that memory holds the feature numbers only.
+    """
     sign = np.where(label == 1, 1.0, -1.0)
     weight, offset = np.zeros(1 << BITS), 0.0
     alpha = np.zeros(len(rows))
-    square = np.array([float(v @ v) + 1 for v in values])  # 1 is the offset's feature
+    scale = np.array([1 / max(float(np.sqrt(ratio[r] @ ratio[r])), 1e-9) for r in rows])
+    square = np.array([float(ratio[r] @ ratio[r]) * k * k + 1 for r, k in zip(rows, scale)])  # 1: the offset's feature
     order = np.random.default_rng(7)
     for _ in range(epochs):
         most = 0.0
         for i in order.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = ratio[r] * scale[i]
             slack = sign[i] * (weight[r] @ v + offset) - 1
             new = min(max(alpha[i] - slack / square[i], 0.0), cost)
             change = (new - alpha[i]) * sign[i]
@@ -128,11 +133,7 @@ def dual_descent(
 
 def _fit(rows: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     ratio = log_count_ratios(rows, label)
-    values = []
-    for r in rows:
-        v = ratio[r]
-        values.append(v / max(float(np.sqrt(v @ v)), 1e-9))
-    weight, offset = dual_descent(rows, values, label)
+    weight, offset = dual_descent(rows, ratio, label)
     return weight * ratio, ratio**2, offset
 
 
@@ -170,8 +171,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: in
         .toArrow()
         .sort_by([("place", "ascending"), ("doc_id", "ascending")])
     )
-    lists = [np.asarray(x.values) for x in found.column("features")]
-    return train(lists, np.asarray(found.column("label")))
+    label = np.asarray(found.column("label"))
+    column = found.column("features").combine_chunks()
+    flat, bounds = np.asarray(column.values), np.asarray(column.offsets)
+    model = train([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])], label)
+    del found, column, flat
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def classify(
