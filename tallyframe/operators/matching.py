@@ -2,24 +2,23 @@
 
 Five tiers, the first that hits wins: same text, same letters and digits,
 synonym (same, or one inside the other), substring, and similar spelling.
-Containment and similarity run as equi-joins on short pieces of the names, so
+Containment and similarity run as equi-joins on pieces or letters of the names, so
 terms and names of a table are never paired off one by one.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import squash
 from tallyframe.functions.vocabulary import SYNONYMS
 
-CUTOFF = 0.75
+CUTOFF = 0.60
+_RARE_FIRST = "9876543210zqxjkvbpygfwmucldrhsnioate"
 MIN_SYNONYM = 4
 MIN_TERM = 3
 
@@ -105,45 +104,54 @@ def _named_matches(requests: DataFrame, names: DataFrame) -> DataFrame:
     return exact.unionByName(exact_letters).unionByName(partial)
 
 
-def _ratio(term: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series(
-        [difflib.SequenceMatcher(None, n, t).ratio() for t, n in zip(term, name)], dtype="float64"
+def _tokens(norm: Column) -> Column:
+    """Letters of a word with their occurrence number, rarest first, as one order for all words."""
+    letters = F.split(norm, "")
+    numbered = F.transform(
+        letters,
+        lambda x, i: F.struct(
+            # second and later occurrences are rarer than first ones, and rare letters than frequent ones
+            (-F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x))).alias("again"),
+            F.call_function("locate", x, F.lit(_RARE_FIRST)).alias("rank"),
+            x.alias("letter"),
+        ),
     )
+    return F.array_sort(numbered)
 
 
-def _similar_pairs(terms: DataFrame, names: DataFrame) -> DataFrame:
-    """``table_id, norm, other`` that can reach a likeness of 0.75.
+def _alike(terms: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
+    """``table_id, norm, other, likeness`` of all words of a table that are alike enough.
 
-    Enough common letters in few runs means a common pair of letters, except
-    for very short words (eight letters in all), which must share a letter.
+    Likeness is 1 - distance / longer length.  Words within reach share at least
+    that part of the longer word's letters, so they share one among the rarest
+    ``length - needed + 1`` letters of each: no pair is lost, none is made twice.
     """
 
-    def pieces(df: DataFrame) -> DataFrame:
-        single = F.when(F.length("norm") <= 5, _grams("norm", 1)).otherwise(
-            F.array().cast("array<string>")
-        )
-        return df.select("table_id", "norm", F.explode(F.concat(_grams("norm", 2), single)).alias("gram"))
+    def prefix(df: DataFrame) -> DataFrame:
+        tokens = _tokens(F.col("norm"))
+        keep = F.size(tokens) - F.ceil(F.lit(cutoff) * F.size(tokens) - 1e-9).cast("int") + 1
+        words = df.select("table_id", "norm").filter("norm <> ''").distinct()
+        return words.select("table_id", "norm", F.explode(F.slice(tokens, F.lit(1), keep)).alias("token"))
 
-    a = pieces(terms.select("table_id", "norm").distinct())
-    b = pieces(names.select("table_id", "norm").filter("norm <> ''").distinct()).withColumnRenamed(
-        "norm", "other"
-    )
-    shorter = F.least(F.length("norm"), F.length("other"))
-    longest = F.length("norm") + F.length("other")
+    longer = F.greatest(F.length("norm"), F.length("other"))
+    gap = F.abs(F.length("norm") - F.length("other"))
     return (
-        a.join(b, ["table_id", "gram"])
-        .filter(2 * shorter >= CUTOFF * longest)
-        .filter((F.length("gram") == 2) | (longest <= 8))
+        prefix(terms).join(prefix(names).withColumnRenamed("norm", "other"), ["table_id", "token"])
+        .filter(1 - gap / longer >= cutoff)
         .select("table_id", "norm", "other")
         .distinct()
+        .withColumn("likeness", 1 - F.levenshtein("norm", "other") / longer)
+        .filter(F.col("likeness") >= cutoff)
     )
 
 
-def match_columns(requests: DataFrame, headers: DataFrame, similar: bool = True) -> DataFrame:
+def match_columns(
+    requests: DataFrame, headers: DataFrame, similar: bool = True, cutoff: float = CUTOFF
+) -> DataFrame:
     """``table_id, term, header, tier`` for every request that finds a column.
 
     ``requests`` has ``table_id, term``; ``headers`` has ``table_id, position,
-    header``.  ``similar`` adds the fifth tier.
+    header``.  ``similar`` adds the fifth tier, spellings of that likeness or more.
     """
     wanted = requests.select("table_id", "term").distinct()
     names = _prepared(headers)
@@ -161,64 +169,30 @@ def match_columns(requests: DataFrame, headers: DataFrame, similar: bool = True)
         .withColumn("norm", squash("term"))
         .filter(F.length("norm") >= MIN_TERM)
     )
-    pairs = _similar_pairs(open_terms, names)
-    scores = (
-        pairs.select("norm", "other").distinct()
-        .withColumn("score", F.pandas_udf(_ratio, "double")("norm", "other"))
-        .filter(F.col("score") >= CUTOFF)
-    )
-    nearest = (
-        pairs.join(scores, ["norm", "other"])
-        .groupBy("table_id", "norm")
-        .agg(F.max_by("other", F.struct("score", "other")).alias("other"))
-    )
-    last = names.groupBy("table_id", F.col("norm").alias("other")).agg(
-        F.max_by("header", F.struct("position", "header")).alias("header")
-    )
-    found = (
-        open_terms.join(nearest, ["table_id", "norm"])
-        .join(last, ["table_id", "other"])
-        .select("table_id", "term", "header", F.lit(5).alias("tier"))
-    )
-    return best.unionByName(found)
-
+    nearest = _nearest(open_terms, names, cutoff)
+    return best.unionByName(nearest.select("table_id", "term", "header", F.lit(5).alias("tier")))
 
-def match_by_edits(requests: DataFrame, headers: DataFrame, cutoff: float = 0.60) -> DataFrame:
-    """Best header per term by edit distance, without any Python.
 
-    Likeness is 1 - distance / longer length, taken over pairs that share two
-    neighbouring letters.  Ties go to the earlier header.
-    """
-    def pieces(df: DataFrame, *extra: str) -> DataFrame:
-        return df.select(*extra, "norm", F.explode(_grams("norm", 2)).alias("gram"))
-
-    terms = requests.select("table_id", "term").distinct().withColumn("norm", squash("term"))
-    a = pieces(terms.select("norm").distinct())
-    vocabulary = _prepared(headers).groupBy("table_id", "norm").agg(
-        F.min_by(F.struct("position", "header"), F.struct("position", "header")).alias("h")
-    )
-    b = pieces(vocabulary.select("norm").distinct()).withColumnRenamed("norm", "other")
-    longer = F.greatest(F.length("norm"), F.length("other"))
-    gap = F.abs(F.length("norm") - F.length("other"))
-    # pairs of distinct spellings, whatever the number of tables they occur in
-    pairs = (
-        a.join(b, "gram")
-        .filter(1 - gap / longer >= cutoff)
-        .select("norm", "other")
-        .distinct()
-        .withColumn("likeness", 1 - F.levenshtein("norm", "other") / longer)
-        .filter(F.col("likeness") >= cutoff)
+def _nearest(terms: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
+    """The most similar header per (table_id, term, norm); ties go to the earlier header."""
+    vocabulary = names.groupBy("table_id", F.col("norm").alias("other")).agg(
+        F.min(F.struct("position", "header")).alias("h")
     )
     return (
-        terms.join(pairs, "norm")
-        .join(vocabulary.withColumnRenamed("norm", "other"), ["table_id", "other"])
+        terms.join(_alike(terms, names, cutoff), ["table_id", "norm"])
+        .join(vocabulary, ["table_id", "other"])
         .groupBy("table_id", "term")
-        .agg(F.min_by(F.struct("h.header", "likeness"),
-                      F.struct(-F.col("likeness"), "h.position")).alias("m"))
+        .agg(F.min_by(F.struct("h.header", "likeness"), F.struct(-F.col("likeness"), "h.position")).alias("m"))
         .select("table_id", "term", "m.header", "m.likeness")
     )
 
 
+def match_by_edits(requests: DataFrame, headers: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """Best header per term by edit distance: 1 - distance / longer length."""
+    terms = requests.select("table_id", "term").distinct().withColumn("norm", squash("term"))
+    return _nearest(terms, _prepared(headers), cutoff)
+
+
 def concept_map(headers: DataFrame, similar: bool = True) -> DataFrame:
     """Per table the concepts that have a column, with that column."""
     concepts = F.array(*[F.lit(c) for c in SYNONYMS])

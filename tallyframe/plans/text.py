@@ -192,9 +192,27 @@ def column_match(spark, folder):
     return matching.match_columns(_requests(spark, folder), headers(spark, folder), similar=False)
 
 
-@query("column_match_similar")
+# Every open term against every header of its table by edit distance.
+_TIERS_SQL = f"""{_MATCH_SQL},
+alike as (
+  select r.table_id, term, header, position, 1 - levenshtein(tn, hn)::double / greatest(length(tn), length(hn)) as likeness
+  from r join (select table_id, hn, min(position) as position, arg_min(header, position) as header
+               from h where hn <> '' group by 1, 2) h using (table_id)
+  where length(tn) >= 3 and not exists (select 1 from m where m.table_id = r.table_id and m.term = r.term)),
+best as (
+  select table_id, term, header, tier from m where n = 1
+  union all
+  select table_id, term, header, 5 from (
+    select *, row_number() over (partition by table_id, term order by likeness desc, position) as place
+    from alike where likeness >= 0.6) where place = 1)"""
+
+
+@query("column_match_similar", f"""
+with {_REQ_SQL},
+{_TIERS_SQL}
+select table_id, term, header, tier from best""")
 def column_match_similar(spark, folder):
-    """All five tiers; the likeness of the fifth is not expressible in SQL."""
+    """All five tiers."""
     return matching.match_columns(_requests(spark, folder), headers(spark, folder))
 
 
@@ -205,9 +223,7 @@ h as (select table_id, {_bare('header')} as hn, min(position) as position, arg_m
       from ({HEADERS_SQL}) group by 1, 2),
 c as (select r.table_id, term, header, position,
              1 - levenshtein(tn, hn)::double / greatest(length(tn), length(hn)) as likeness
-      from r join h using (table_id)
-      where exists (select 1 from (select unnest(generate_series(1, length(tn) - 1)) as i) g
-                    where contains(hn, substr(tn, i, 2)))),
+      from r join h using (table_id) where tn <> '' and hn <> ''),
 m as (select *, row_number() over (partition by table_id, term order by likeness desc, position) as n
       from c where likeness >= 0.6)
 select table_id, term, header, round(likeness, 6) as likeness from m where n = 1""")
@@ -218,10 +234,10 @@ def column_match_fuzzy(spark, folder):
 @query("concept_map", f"""
 with req as (select t.table_id, c.term from (select distinct p_brand as table_id from part) t,
   (values {', '.join(f"('{c}')" for c in SYNONYMS)}) c(term)),
-{_MATCH_SQL}
-select table_id, term as concept, header, tier from m where n = 1""")
+{_TIERS_SQL}
+select table_id, term as concept, header, tier from best""")
 def concept_map(spark, folder):
-    return matching.concept_map(headers(spark, folder), similar=False)
+    return matching.concept_map(headers(spark, folder))
 
 
 @query("question_missing_concept", f"""
