@@ -231,18 +231,11 @@ def stream_sessions(spark, folder):
 select event_id as id, coalesce(ts - lag(ts) over (partition by user_id, event_type order by ts, event_id)
        <= interval '24 hour', false) as suppressed from events""")
 def stream_cooldown(spark, folder):
-    path, check = scratch_path(spark, "cooldown"), scratch_path(spark, "checkpoint")
-    schema = table(spark, folder, "events").schema
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(
-        provider,
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    try:
-        stream = live.file_stream(spark, f"{folder}/events.parquet*", schema)
-        log = stream.withColumnRenamed("event_id", "id")
-        live.run_to_end(live.live_cooldown(log, ["user_id", "event_type"], "ts"), path, check)
-    finally:
-        spark.conf.set(provider, before)
-    return spark.read.schema("id long, suppressed boolean").parquet(path)
+    path, check, source = (scratch_path(spark, n) for n in ("cooldown", "checkpoint", "alerts"))
+    events = table(spark, folder, "events")
+    # the alerts arrive shuffled, in several files and triggers
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(source)
+    stream = live.file_stream(spark, source, events.schema, files_per_trigger=1)
+    log = stream.withColumnRenamed("event_id", "id")
+    live.live_cooldown(log, ["user_id", "event_type"], path, check, "ts", once=True).awaitTermination()
+    return live.cooldown_verdicts(spark, path)

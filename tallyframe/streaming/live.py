@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tallyframe.operators import alerts
+
 INTERVAL = "300 seconds"
 
 
@@ -68,14 +71,51 @@ def alert_sessions(
     )
 
 
-class CooldownProcessor(StatefulProcessor):
-    """Remembers the last alert time of a key; emits each alert with its verdict."""
+def live_cooldown(
+    stream: DataFrame, keys: Sequence[str], folder: str, checkpoint: str,
+    time: str = "triggered_at", hours: int = 24, once: bool = False,
+) -> StreamingQuery:
+    """Keeps an alert log and its verdicts up to date as alerts (``id``, keys, time) arrive.
+
+    A batch is added to the log below ``folder``; then all alerts within ``hours``
+    of it are judged again by :func:`alerts.cooldown`, so an alert that arrives
+    late also changes the verdict of the one that follows it.  Only that part of
+    the log is read.  Folders carry the batch number: a repeated batch writes the
+    same place again.  Read the result with :func:`cooldown_verdicts`.
+    """
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = event_time(batch, time).select("id", *keys, time)
+        rows.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
+        log = spark.read.parquet(f"{folder}/log").filter(F.col("batch") <= batch_id)
+        ends = log.filter(F.col("batch") == batch_id).agg(F.min(time).alias("low"), F.max(time).alias("high")).first()
+        if ends["low"] is None:
+            return
+        span = timedelta(hours=hours)
+        # verdicts look back ``hours`` from alerts up to ``hours`` after the batch
+        near = log.filter(F.col(time).between(ends["low"] - span, ends["high"] + span))
+        judged = alerts.cooldown(near.drop("batch"), hours, keys, time)
+        judged.filter(F.col(time) >= F.lit(ends["low"])).select("id", "suppressed").write.mode("overwrite").parquet(
+            f"{folder}/verdicts/batch={batch_id}"
+        )
 
-    def __init__(self, hours: int, keys: Sequence[str], time: str, fixed: bool = False):
+    return monitor(stream, judge, checkpoint, once)
+
+
+def cooldown_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, suppressed`` of every alert so far, by its newest verdict."""
+    found = spark.read.parquet(f"{folder}/verdicts")
+    return found.groupBy("id").agg(F.max(F.struct("batch", "suppressed")).alias("v")).select("id", "v.suppressed")
+
+
+class FixedCooldown(StatefulProcessor):
+    """Remembers the last alert of a key that went out; emits each alert with its verdict."""
+
+    def __init__(self, hours: int, keys: Sequence[str], time: str):
         self._gap = pd.Timedelta(hours=hours)
         self._keys = list(keys)
         self._time = time
-        self._fixed = fixed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getValueState("last", "at timestamp")
@@ -83,17 +123,15 @@ class CooldownProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         last = self._last.get()[0] if self._last.exists() else None
         last = None if last is None else pd.Timestamp(last)
-        # the batches of one trigger together hold the new alerts of the key
-        for pdf in rows:
-            pdf = pdf.sort_values([self._time, "id"])
-            verdicts = []
-            for at in pdf[self._time]:
-                near = last is not None and at - last <= self._gap
-                verdicts.append(bool(near))
-                # sliding: every alert counts; fixed: only one that went out
-                if not (self._fixed and near):
-                    last = at if last is None else max(last, at)
-            yield pdf.assign(suppressed=verdicts)[["id", *self._keys, self._time, "suppressed"]]
+        # all batches of a key and trigger at once: a verdict must not depend on how they were cut
+        pdf = pd.concat(list(rows)).sort_values([self._time, "id"])
+        verdicts = []
+        for at in pdf[self._time]:
+            near = last is not None and at - last <= self._gap
+            verdicts.append(bool(near))
+            if not near:
+                last = at if last is None else max(last, at)
+        yield pdf.assign(suppressed=verdicts)[["id", *self._keys, self._time, "suppressed"]]
         if last is not None:
             self._last.update((last.to_pydatetime(),))
 
@@ -101,15 +139,14 @@ class CooldownProcessor(StatefulProcessor):
         pass
 
 
-def live_cooldown(
-    df: DataFrame, keys: Sequence[str], time: str = "triggered_at", hours: int = 24,
-    fixed: bool = False,
+def fixed_cooldown(
+    df: DataFrame, keys: Sequence[str], time: str = "triggered_at", hours: int = 24
 ) -> DataFrame:
-    """Verdict per alert as it arrives.  Needs the RocksDB state store.
+    """Verdict per alert as it arrives; only alerts that went out start a quiet time.
 
-    State is one time per key.  Alerts must arrive in time order across
-    triggers and, for a key whose alerts of one trigger exceed one Arrow batch,
-    within the trigger too.
+    Needs the RocksDB state store; state is one time per key.  Each verdict hangs on
+    the one before, so a key's alerts of a trigger are judged in one task, and
+    alerts must arrive in time order across triggers.
     """
     timed = event_time(df, time)
     kinds = {f.name: f.dataType for f in timed.schema.fields}
@@ -122,7 +159,7 @@ def live_cooldown(
         timed.select("id", *keys, time)
         .groupBy(*keys)
         .transformWithStateInPandas(
-            CooldownProcessor(hours, keys, time, fixed), out, "Append", "None"
+            FixedCooldown(hours, keys, time), out, "Append", "None"
         )
     )
 

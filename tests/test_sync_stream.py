@@ -102,20 +102,33 @@ def test_stream_in_many_triggers_equals_batch(spark, folder):
     assert key(spark.read.parquet(out)) == key(live.window_totals(events, "ts", "value", ["event_type"]))
 
 
-@pytest.mark.parametrize("fixed,want", [(False, [False, True, True, False]), (True, [False, True, False, False])])
-def test_live_cooldown(spark, fixed, want):
+def _alert_files(spark, hours, order):
+    """One file per alert, written in the given order."""
+    source = scratch_path(spark, "alerts")
+    base = dt.datetime(2026, 1, 1)
+    schema = "id long, kpi_id string, alert_type string, severity string, triggered_at timestamp"
+    for i in order:
+        row = [(i, "k", "CRITICAL", "CRITICAL", base + dt.timedelta(hours=hours[i]))]
+        spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(source)
+    return live.file_stream(spark, source, spark.read.parquet(source).schema, files_per_trigger=1)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)])
+def test_live_cooldown_in_any_order(spark, order):
+    stream, out = _alert_files(spark, (0, 20, 40, 70), order), scratch_path(spark, "out")
+    live.live_cooldown(stream, alerts.ALERT_KEY, out, scratch_path(spark, "cp"), once=True).awaitTermination()
+    got = [r["suppressed"] for r in live.cooldown_verdicts(spark, out).orderBy("id").collect()]
+    assert got == [False, True, True, False]
+
+
+def test_fixed_cooldown(spark):
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        source, out = scratch_path(spark, "alerts"), scratch_path(spark, "out")
-        base = dt.datetime(2026, 1, 1)
-        schema = "id long, kpi_id string, alert_type string, severity string, triggered_at timestamp"
-        for i, h in enumerate((0, 20, 40, 70)):
-            row = [(i, "k", "CRITICAL", "CRITICAL", base + dt.timedelta(hours=h))]
-            spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(source)
-        stream = live.file_stream(spark, source, spark.read.parquet(source).schema, files_per_trigger=1)
-        live.run_to_end(live.live_cooldown(stream, alerts.ALERT_KEY, fixed=fixed), out, scratch_path(spark, "cp"))
-        assert [r["suppressed"] for r in spark.read.parquet(out).orderBy("id").collect()] == want
+        stream, out = _alert_files(spark, (0, 20, 40, 70), range(4)), scratch_path(spark, "out")
+        live.run_to_end(live.fixed_cooldown(stream, alerts.ALERT_KEY), out, scratch_path(spark, "cp"))
+        assert [r["suppressed"] for r in spark.read.parquet(out).orderBy("id").collect()] == [False, True, False, False]
     finally:
         spark.conf.set(provider, before)
+
