@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import let, recipient_list
 
-HISTORY = (
-    "id string, kpi_id string, kpi_name string, alert_type string, severity string, "
-    "actual_value double, target_value double, variance double, performance_gap double, "
-    "message string, recipients string, email_sent int, email_error string, triggered_at timestamp"
-)
 ALERT_KEY = ("kpi_id", "alert_type", "severity")
 DEFAULT_HOURS = 24
 
@@ -33,25 +28,14 @@ def _signed(c: Column) -> Column:
 def message(
     status: Column, name: Column, actual: Column, target: Column, achievement: Column, gap: Column
 ) -> Column:
-    critical = F.concat(
-        F.lit("Critical performance breach on '"), name, F.lit("'. Current achievement is "),
-        _percent(achievement), F.lit(" ("), _money(actual), F.lit(" of "), _money(target),
-        F.lit(" target). Performance gap is "), _signed(gap), F.lit(" against expected progress."),
-    )
-    risk = F.concat(
-        F.lit("'"), name, F.lit("' is currently at risk. Achievement stands at "),
-        _percent(achievement), F.lit(", lagging expected progress by "), _percent(F.abs(gap)),
-        F.lit("."),
-    )
-    exceeded = F.concat(
-        F.lit("Target exceeded for '"), name, F.lit("'! Actual value "), _money(actual),
-        F.lit(" reached "), _percent(achievement), F.lit(" of the "), _money(target),
-        F.lit(" target."),
-    )
-    fine = F.concat(
-        F.lit("'"), name, F.lit("' is currently ON TRACK with a performance gap of "),
-        _signed(gap), F.lit("."),
-    )
+    """A sentence per status with achievement, actual and target value, and gap to the plan."""
+    done = F.concat(F.lit(": "), _percent(achievement), F.lit(" done"))
+    values = F.concat(F.lit(" ("), _money(actual), F.lit(" / "), _money(target), F.lit(")"))
+    plan = F.concat(F.lit(", "), _signed(gap), F.lit(" to plan"))
+    critical = F.concat(F.lit("Far behind plan, "), name, done, values, plan)
+    risk = F.concat(F.lit("Behind plan, "), name, done, F.lit(", short by "), _percent(F.abs(gap)))
+    exceeded = F.concat(F.lit("Beyond target, "), name, done, values)
+    fine = F.concat(F.lit("As planned, "), name, plan)
     return let(
         status,
         lambda s: F.when(s == "CRITICAL", critical)
@@ -163,7 +147,7 @@ def notify(alerts: DataFrame, hours: int | None = DEFAULT_HOURS) -> DataFrame:
     has = F.coalesce(F.size(to) > 0, F.lit(False))
     reason = F.when(
         F.col("suppressed"),
-        f"Suppressed: Identical alert sent within {hours or DEFAULT_HOURS}h cooldown period.",
+        f"Same alert within the last {hours or DEFAULT_HOURS} hours",
     ).when(~has, "No recipient")
     return (
         alerts.withColumn("send_to", F.when(has, F.array_join(to, ",")))

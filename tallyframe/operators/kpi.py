@@ -11,16 +11,6 @@ from pyspark.sql import types as T
 from tallyframe.functions.columns import iso_day, let, pct0
 from tallyframe.functions.quantiles import exact_quantiles
 
-DEFINITIONS = (
-    "id string, dataset_id string, kpi_name string, metric_column string, calculation string, "
-    "target_value double, period string, start_date string, end_date string, "
-    "alert_threshold_pct double, recipients string, status string, created_at timestamp"
-)
-SNAPSHOTS = (
-    "id string, kpi_id string, snapshot_time timestamp, actual_value double, target_value double, "
-    "variance double, variance_pct double, achievement_pct double, expected_progress_pct double, "
-    "actual_progress_pct double, performance_gap double, status string"
-)
 _FAR_PAST, _FAR_FUTURE = "0001-01-01", "9999-12-31"
 
 

@@ -258,14 +258,13 @@ def _money(x: str) -> str:
 @query("alert_message", f"""
 with {_ALERTS_SQL}
 select id, case status
-  when 'CRITICAL' then 'Critical performance breach on ''' || kpi_name || '''. Current achievement is '
-    || {_one('achievement_pct')} || '% (' || {_money('actual_value')} || ' of ' || {_money('target_value')}
-    || ' target). Performance gap is ' || case when performance_gap < 0 then '-' else '+' end
-    || {_one('abs(performance_gap)')} || '% against expected progress.'
-  when 'AT RISK' then '''' || kpi_name || ''' is currently at risk. Achievement stands at '
-    || {_one('achievement_pct')} || '%, lagging expected progress by ' || {_one('abs(performance_gap)')} || '%.'
-  else 'Target exceeded for ''' || kpi_name || '''! Actual value ' || {_money('actual_value')} || ' reached '
-    || {_one('achievement_pct')} || '% of the ' || {_money('target_value')} || ' target.' end as message
+  when 'CRITICAL' then 'Far behind plan, ' || kpi_name || ': ' || {_one('achievement_pct')} || '% done ('
+    || {_money('actual_value')} || ' / ' || {_money('target_value')} || '), '
+    || case when performance_gap < 0 then '-' else '+' end || {_one('abs(performance_gap)')} || '% to plan'
+  when 'AT RISK' then 'Behind plan, ' || kpi_name || ': ' || {_one('achievement_pct')} || '% done, short by '
+    || {_one('abs(performance_gap)')} || '%'
+  else 'Beyond target, ' || kpi_name || ': ' || {_one('achievement_pct')} || '% done ('
+    || {_money('actual_value')} || ' / ' || {_money('target_value')} || ')' end as message
 from al""")
 def alert_message(spark, folder):
     return alerts.alerts_from(snapshots(spark, folder)).select("id", "message")
@@ -298,7 +297,7 @@ def alert_cooldown(spark, folder):
 @query("alert_notify", f"""
 with {_PREVIOUS_SQL}
 select id, not suppressed and coalesce(contains(recipients, '@'), false) as notify,
-       case when suppressed then 'Suppressed: Identical alert sent within 24h cooldown period.'
+       case when suppressed then 'Same alert within the last 24 hours'
             when not coalesce(contains(recipients, '@'), false) then 'No recipient' end as reason,
        case when contains(recipients, '@') then 'x@y.org' end as send_to
 from cd""")

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FINGERPRINT = "path string, sha256 string, mtime double, length long"
-
 
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None

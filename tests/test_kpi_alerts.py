@@ -135,8 +135,8 @@ def test_messages_and_rules(spark):
     df = spark.createDataFrame(rows, "kpi_id string, kpi_name string, status string, actual_value double, target_value double, achievement_pct double, performance_gap double")
     got = {r["alert_type"]: (r["severity"], r["message"]) for r in alerts.alerts_from(df).collect()}
     assert set(got) == {"CRITICAL", "TARGET_EXCEEDED", "AT_RISK"}
-    assert got["CRITICAL"] == ("CRITICAL", "Critical performance breach on 'Profit'. Current achievement is 10.0% (10,000.00 of 100,000.00 target). Performance gap is -41.7% against expected progress.")
-    assert "1,234,567.89 reached" in got["TARGET_EXCEEDED"][1]
+    assert got["CRITICAL"] == ("CRITICAL", "Far behind plan, Profit: 10.0% done (10,000.00 / 100,000.00), -41.7% to plan")
+    assert "1,234,567.89 / 1,000.00" in got["TARGET_EXCEEDED"][1]
     assert got["AT_RISK"][0] == "WARNING"
 
 
