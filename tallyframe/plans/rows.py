@@ -120,6 +120,13 @@ def page_slice(spark, folder):
     )
 
 
+@query("page_after_key", f"""
+select {_ORDER_COLS} from orders where o_orderkey > 1000 order by o_orderkey limit 20""")
+def page_after_key(spark, folder):
+    """The page that follows a key (a page is what the operator is for)."""
+    return filters.page_after(_orders(spark, folder), "o_orderkey", 1000, 20)
+
+
 @query("preview_sample", """
 select coalesce(cast(doc_id as varchar), '') as doc_id, coalesce(lang, '') as lang,
        coalesce(source, '') as source, coalesce(text, '') as text,

@@ -342,10 +342,12 @@ def alert_latest_five(spark, folder):
 
 @query("kpi_delete_anti", f"""
 with {_KPIS_SQL}, gone as (select id from kpis where status = 'PAUSED'),
-{_SNAP_SQL}
+{_ALERTS_SQL}
 select 'kpi_definitions' as source, count(*) as kept from kpis where id not in (select id from gone)
 union all
-select 'kpi_snapshots', count(*) from rated where kpi_id not in (select id from gone)""")
+select 'kpi_snapshots', count(*) from rated where kpi_id not in (select id from gone)
+union all
+select 'alert_log', count(*) from al where kpi_id not in (select id from gone)""")
 def kpi_delete_anti(spark, folder):
     from tallyframe.sources.catalog import without_kpis
 
@@ -356,5 +358,6 @@ def kpi_delete_anti(spark, folder):
         without_kpis(snapshots(spark, folder), gone).agg(
             F.lit("kpi_snapshots").alias("source"), F.count("*").alias("kept")
         ),
+        without_kpis(_alert_log(spark, folder), gone).agg(F.lit("alert_log").alias("source"), F.count("*").alias("kept")),
     ]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
