@@ -6,12 +6,12 @@ target those that a condition marks.  A document's score is its mean loss per
 word under the target less that under the background: the lower, the more like
 the target.
 
-Counts cover all words and bigrams of all whole texts, as Spark aggregations.
-The vocabulary is every word that makes up at least ``WORD_SHARE`` of all words,
-which by itself bounds it to ``1 / WORD_SHARE`` words; all other words are one
-word "rare".  Bigrams of at least ``PAIR_SHARE`` of all are kept, which bounds them
-alike; others back off to single words.  So the model that tasks get has a size
-bound that holds for any corpus.
+``corpus_scored`` counts and scores one corpus with every word and every bigram
+(see there).  ``fit`` and ``scored`` are for other texts than those counted: a
+model that every task holds, cut to a bound that holds for any corpus.  Its
+vocabulary is every word that makes up at least ``WORD_SHARE`` of all words; all
+other words are one word "rare".  Bigrams of at least ``PAIR_SHARE`` of all are
+kept; others back off to single words.
 
 Words are runs outside blanks, A-Z in lower case, told apart by 64-bit hashes.
 Null and empty texts have losses and score 0.  Without a marked document the
@@ -25,17 +25,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tallyframe.llm import words as W
-from tallyframe.llm.native import free_name
+from tallyframe.llm.native import free_name, staged
+from tallyframe.session import scratch_path
 
 WORD_SHARE = 10_000  # a vocabulary word is at least one in so many words
 PAIR_SHARE = 1_000_000  # a kept bigram is at least one in so many
 DISCOUNT = 0.75
 BROADCAST_IDS = 1_000_000
+FREQUENT = 500_000  # words whose counts every task of corpus_scored holds, at most
+COMMON = 50_000  # a bigram of at least one in so many stays off the shuffle
+SAMPLE = 0.05  # of the rows, to find such bigrams
+BUCKET = 4_000_000  # words of a bucket
+_CHUNK = 1_000_000
 _RESULT = StructType(
     [StructField("n_words", LongType()), StructField("target_loss", DoubleType()), StructField("background_loss", DoubleType())]
 )
@@ -189,3 +195,346 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         *(f"`{c}`" for c in docs.columns), *(F.col(s)[c].alias(c) for c in added[:3]),
         (F.col(s)["target_loss"] - F.col(s)["background_loss"]).alias("score"),
     )
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """int64 columns, compressed byte place by byte place."""
+    raw = b"".join(np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, lengths: list[int]) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, 8 * sum(lengths), "zstd", asbytes=True), np.uint8)
+    parts = np.split(raw, 8 * np.cumsum(lengths)[:-1])
+    return [np.ascontiguousarray(p.reshape(8, -1).T).view(np.int64).ravel() for p in parts]
+
+
+def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sum of each value by key."""
+    found, at = np.unique(key, return_inverse=True)
+    return found, *(np.bincount(at, v, len(found)) for v in values)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted number in ascending ``keys``, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+@dataclass
+class Routes:
+    """Where the bigrams of a corpus are counted.
+
+    A frequent word is numbered by its place in ``words``; "start" is the number
+    after them; any other word is a negative number made of its hash.
+    """
+
+    words: np.ndarray
+    common: np.ndarray  # bigrams of frequent words that stay off the shuffle, ascending
+    buckets: int
+
+    @property
+    def size(self) -> int:
+        return len(self.words) + 1
+
+    def pairs(self, piece: W.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, number of the word before, number of the word; for every word."""
+        found, h = _word_hashes(piece)
+        at = _found(self.words, h)
+        number = np.where(at >= 0, at, h | np.int64(-(1 << 63)))
+        before = np.empty_like(number)
+        before[1:] = number[:-1]
+        firsts = found.firsts(piece.texts)[:-1]
+        before[firsts[firsts < len(number)]] = len(self.words)
+        return found.text, before, number
+
+    def place(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place among the common bigrams, or -1."""
+        return np.where((before >= 0) & (word >= 0), _found(self.common, before * self.size + word), -1)
+
+    def bucket(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """All rows of a bigram are in one bucket, and all of a rare second word."""
+        key = np.where(word < 0, word, np.where(before < 0, before, before * self.size + word))
+        return (W.mix(key.view(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+
+    def dealt(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(bucket, m, k, data): m bigrams of k texts; k = -1 for counts of common bigrams."""
+
+        def flush(text, before, word, keys, marked) -> pa.RecordBatch:
+            order = np.lexsort((text, word, before))
+            text, before, word = text[order], before[order], word[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1]) | (before[1:] != before[:-1])
+            n = np.diff(np.append(np.flatnonzero(new), len(text)))
+            text, before, word = text[new], before[new], word[new]
+            rows = []
+            place = self.place(before, word)
+            met = place >= 0
+            found, c, c_target = _sums(place[met], n[met], n[met] * marked[text[met]])
+            for b in np.unique(found % self.buckets):
+                own = found % self.buckets == b
+                rows.append((b, own.sum(), -1, _pack([found[own], c[own], c_target[own]])))
+            text, before, word, n = text[~met], before[~met], word[~met], n[~met]
+            bucket = self.bucket(before, word)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            for own in np.split(order, cuts) if len(order) else []:
+                texts, at = np.unique(text[own], return_inverse=True)
+                steps = np.diff(before[own], prepend=np.int64(0))
+                data = _pack([steps, word[own], at, n[own], keys[texts], marked[texts]])
+                rows.append((bucket[own[0]], len(own), len(texts), data))
+            b, m, k, data = zip(*rows) if rows else ((), (), (), ())
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            return pa.record_batch([pa.array(x, t) for x, t in zip((b, m, k, data), kinds)], names=["bucket", "m", "k", "data"])
+
+        for batch in batches:
+            keys = np.asarray(batch.column("text_key"))
+            marked = np.asarray(batch.column("marked").cast(pa.int8())).astype(np.int64)
+            parts, held = [], 0
+            for piece in W.pieces(batch.column("text")):
+                text, before, word = self.pairs(piece)
+                parts.append((text + piece.first, before, word))
+                held += len(text)
+                if held > _CHUNK:
+                    yield flush(*map(np.concatenate, zip(*parts)), keys, marked)
+                    parts, held = [], 0
+            if held:
+                yield flush(*map(np.concatenate, zip(*parts)), keys, marked)
+
+
+@dataclass
+class Bucket:
+    """The bigrams of a bucket by text, with the counts of each in the corpus and among marked texts."""
+
+    before: np.ndarray
+    word: np.ndarray
+    n: np.ndarray
+    key: np.ndarray  # of the text
+    pair: np.ndarray  # number of the bigram
+    first: np.ndarray  # a row of each bigram
+    counts: np.ndarray  # (model, bigram)
+    words: tuple[np.ndarray, ...]  # rare second words with their counts in both models
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, int, bytes]]) -> Bucket:
+        parts = []
+        for m, k, data in rows:
+            steps, word, at, n, keys, marked = _unpack(data, [m] * 4 + [k] * 2)
+            parts.append((np.cumsum(steps), word, n, keys[at], n * marked[at]))
+        before, word, n, key, n_target = (
+            np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64) for _ in range(5)
+        )
+        order = np.lexsort((word, before))
+        before, word, n, key, n_target = before[order], word[order], n[order], key[order], n_target[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1])
+        pair, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        counts = np.stack([np.bincount(pair, x, len(first)) for x in (n_target, n)])
+        rare = word < 0
+        return cls(before, word, n, key, pair, first, counts, _sums(word[rare], n_target[rare], n[rare]))
+
+    def histories(self) -> tuple[np.ndarray, ...]:
+        """Words before, and of each: rows and different bigrams, in both models."""
+        target, every = self.counts
+        return _sums(self.before[self.first], target, every, target > 0, every > 0)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each bucket; buckets arrive one after the other."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and row[0] != at:
+                yield at, rows
+                rows = []
+            at = row[0]
+            rows.append(row[1:])
+    if rows:
+        yield at, rows
+
+
+_PARTS = ["c_target", "c", "d_target", "d"]
+
+
+def _histories(frequent: bool):
+    """Rows (kind, bucket, key, *_PARTS): kind 0 histories, kind 1 common bigrams (with ``frequent`` only)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            parts = [(0, Bucket.of([r for r in rows if r[1] >= 0]).histories())]
+            tallies = [_unpack(data, [m] * 3) for m, k, data in rows if k < 0] if frequent else []
+            if tallies:
+                key, c, c_target = (np.concatenate(x) for x in zip(*tallies))
+                key, c, c_target = _sums(key, c, c_target)
+                parts.append((1, (key, c_target, c, c * 0, c * 0)))
+            for kind, columns in parts:
+                own = columns[0] >= 0 if frequent else columns[0] < 0
+                columns = [pa.array(x[own].astype(np.int64)) for x in columns]
+                n = len(columns[0])
+                yield pa.record_batch(
+                    [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), *columns],
+                    names=["kind", "bucket", "key", *_PARTS],
+                )
+
+    return run
+
+
+@dataclass
+class Counts:
+    """What every task holds: totals, and counts of frequent words and histories."""
+
+    total: np.ndarray  # (model)
+    distinct: int
+    words: np.ndarray  # (model, word)
+    histories: np.ndarray  # (rows or different bigrams, model, word)
+
+    def losses(self, counts, rows, kinds, single) -> list[np.ndarray]:
+        """Loss of bigrams under both models, from the counts of bigram, history and word."""
+        out = []
+        for k in (0, 1):
+            all_rows = np.maximum(rows[k], 1)
+            share = np.maximum(counts[k] - DISCOUNT, 0) / all_rows
+            rest = np.maximum(1 - (rows[k] - DISCOUNT * kinds[k]) / all_rows, 1e-9)
+            out.append(-np.log(share + rest * (single[k] + 0.5) / (self.total[k] + 0.5 * (self.distinct + 1))))
+        return out
+
+    def bucket_losses(self, bucket: Bucket, rare: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+        """Loss of each bigram of a bucket; ``rare`` has the histories outside the frequent words."""
+        before, word = bucket.before[bucket.first], bucket.word[bucket.first]
+        history = np.empty((4, len(before)))
+        low = before < 0
+        history[:, ~low] = self.histories.reshape(4, -1)[:, before[~low]]
+        history[:, low] = np.stack(rare[1:])[:, _found(rare[0], before[low])]
+        single = np.empty((2, len(word)))
+        low = word < 0
+        single[:, ~low] = self.words[:, word[~low]]
+        single[:, low] = np.stack(bucket.words[1:])[:, _found(bucket.words[0], word[low])]
+        return self.losses(bucket.counts, history[:2], history[2:], single)
+
+
+_SUMS = "text_key long, n long, target double, background double"
+
+
+def _loss_rows(key, n, target, background) -> pa.RecordBatch:
+    found, *sums = _sums(key, n, n * target, n * background)
+    return pa.record_batch(
+        [pa.array(found), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])],
+        names=["text_key", "n", "target", "background"],
+    )
+
+
+@F.arrow_udf(LongType())
+def _word_count(texts: pa.Array) -> pa.Array:
+    counts = [W.split(piece).counts(piece.texts) for piece in W.pieces(texts)]
+    return pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
+
+
+def corpus_scored(
+    docs: DataFrame, ids: DataFrame, frequent: int = FREQUENT, common: int = COMMON, sample: float = SAMPLE, bucket: int = BUCKET
+) -> DataFrame:
+    """``docs`` scored by models of all their own words and bigrams, as ``scored`` does.
+
+    No word and no bigram is left out; the arguments after ``ids`` only choose what
+    is counted where.  Tasks hold the counts of at most ``frequent`` words, and of
+    bigrams that make up one in ``common`` of a sample.  All other bigrams are
+    dealt to buckets by hash, packed with their text's hash; a bucket counts its
+    bigrams, gets the counts of the rare words before them by a shuffle, and sends
+    back one sum of losses for each text.  Rows of one text have the same losses.
+    """
+    spark = docs.sparkSession
+    texts = marked_documents(docs, ids).select("text", "marked", F.xxhash64("text").alias("text_key"))
+    by_hash = lambda piece: (lambda found, h: (found.text, h))(*_word_hashes(piece))
+    counted = _counted(texts, by_hash).persist()
+    try:
+        zero = F.lit(0)
+        total, total_target, distinct = counted.agg(
+            F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("n_target"), zero), F.count("*")
+        ).first()
+        # the least count that at most ``frequent`` words have
+        steps = counted.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words")).collect()
+        held, low = 0, 1 << 20
+        for step in sorted(steps, key=lambda r: -r["step"]):
+            held += step["words"]
+            if held > frequent:
+                break
+            low = step["step"]
+        words = counted.filter(F.floor(F.log2("n") * 8) >= low).toArrow().sort_by("key")
+    finally:
+        counted.unpersist()
+    routes = Routes(np.asarray(words.column("key")), np.zeros(0, np.int64), max(1, -(-total // bucket)))
+
+    def frequent_pairs(piece: W.Piece) -> tuple[np.ndarray, np.ndarray]:
+        text, before, word = routes.pairs(piece)
+        own = (before >= 0) & (word >= 0)
+        return text[own], before[own] * routes.size + word[own]
+
+    some = _counted(texts.sample(sample, seed=1) if sample < 1 else texts, frequent_pairs)
+    often = some.filter(F.col("n") * common >= F.lit(int(total * sample))).select("key").toArrow()
+    routes.common = np.sort(np.asarray(often.column("key")))
+
+    # written once, as buckets are read three times
+    path = scratch_path(spark, "bigrams")
+    dealt = texts.mapInArrow(routes.dealt, "bucket int, m int, k int, data binary")
+    dealt.write.option("compression", "none").parquet(path)
+    packed = spark.read.parquet(path)
+    parts = "kind int, bucket int, key long, c_target long, c long, d_target long, d long"
+    grouped = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    seen = grouped(packed).mapInArrow(_histories(True), parts)
+    seen = seen.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in _PARTS)).toArrow()
+    kind, key = np.asarray(seen.column("kind")), np.asarray(seen.column("key"))
+    sums = np.stack([np.asarray(seen.column(c)).astype(float) for c in _PARTS])
+    histories, tallies = np.zeros((4, routes.size)), np.zeros((2, len(routes.common)))
+    histories[:, key[kind == 0]] = sums[:, kind == 0]
+    tallies[:, key[kind == 1]] = sums[:2, kind == 1]
+    before, word = np.divmod(routes.common, routes.size)
+    for k in (0, 1):
+        np.add.at(histories[k], before, tallies[k])
+        np.add.at(histories[2 + k], before, tallies[k] > 0)
+    counts = Counts(
+        np.array([total_target, total]), distinct,
+        np.stack([np.asarray(words.column(c)).astype(float) for c in ("n_target", "n")]), histories.reshape(2, 2, -1),
+    )
+    common_losses = counts.losses(tallies, counts.histories[0][:, before], counts.histories[1][:, before], counts.words[:, word])
+
+    # a rare history may stand in several buckets; each gets its counts over all of them
+    rare = grouped(packed).mapInArrow(_histories(False), parts)
+    same = Window.partitionBy("key")
+    rare = rare.select("bucket", "key", *(F.sum(c).over(same).alias(c) for c in _PARTS))
+    none = [F.lit(None).cast("long").alias(c) for c in ("key", *_PARTS)]
+    met = packed.select("bucket", "m", "k", "data", *none).unionByName(rare, allowMissingColumns=True)
+
+    def bucket_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            own = Bucket.of([r[:3] for r in rows if r[2] is not None and r[1] >= 0])
+            low = np.array([r[3:] for r in rows if r[2] is None], np.int64).reshape(-1, 5)
+            low = low[np.argsort(low[:, 0])]
+            target, background = counts.bucket_losses(own, tuple(low.T))
+            yield _loss_rows(own.key, own.n, target[own.pair], background[own.pair])
+
+    def common_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch.column("text_key"))
+            for piece in W.pieces(batch.column("text")):
+                text, before, word = routes.pairs(piece)
+                place = routes.place(before, word)
+                text, place = text[place >= 0] + piece.first, place[place >= 0]
+                yield _loss_rows(keys[text], np.ones(len(text)), *(x[place] for x in common_losses))
+
+    losses = grouped(met).mapInArrow(bucket_sums, _SUMS).unionByName(
+        texts.select("text", "text_key").mapInArrow(common_sums, _SUMS)
+    )
+    losses = staged(losses.groupBy("text_key").agg(*(F.sum(c).alias(c) for c in ("n", "target", "background"))))
+    added = ["n_words", "target_loss", "background_loss", "score"]
+    docs = docs.drop(*added)
+    key, n, target, background, size = free_name(docs, "text_key", "n", "target", "background", "size")
+    losses = losses.select(F.col("text_key").alias(f"r{key}"), F.col("n").alias(n), F.col("target").alias(target),
+                           F.col("background").alias(background))
+    out = docs.withColumn(key, F.xxhash64("text")).withColumn(size, _word_count("text"))
+    out = out.join(losses, F.col(key) == F.col(f"r{key}"), "left")
+    mean = lambda c: F.coalesce(F.col(c) / F.col(n), F.lit(0.0))
+    return out.select(
+        *(f"`{c}`" for c in docs.columns), F.col(size).alias("n_words"), mean(target).alias("target_loss"),
+        mean(background).alias("background_loss"), (mean(target) - mean(background)).alias("score"),
+    )

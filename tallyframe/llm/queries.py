@@ -174,8 +174,7 @@ def op8_lm_scoring(spark, folder):
     """The target are the documents labelled as of high quality."""
     docs = read(spark, folder, "documents").select("doc_id", "text")
     good = read(spark, folder, "labels").filter("quality = 1").select("doc_id")
-    model = cross_entropy.fit(cross_entropy.marked_documents(docs, good))
-    return cross_entropy.scored(docs, model).drop("text")
+    return cross_entropy.corpus_scored(docs, good).drop("text")
 
 
 def near_sql(width: int, percent: int) -> str:

@@ -167,3 +167,32 @@ def test_no_documents_for_the_models(spark):
     ids = spark.createDataFrame([], "doc_id long")
     model = cross_entropy.fit(cross_entropy.marked_documents(empty(spark), ids))
     assert cross_entropy.scored(hard(spark), model).count() == len(hard_rows())
+
+
+@pytest.mark.parametrize("marked", [[], [1, 2, 11], list(range(20))])
+@pytest.mark.parametrize("split", [{}, {"frequent": 0}, {"frequent": 30, "common": 300, "sample": 1.0, "bucket": 500}, {"common": 300, "sample": 1.0}])
+def test_corpus_losses_leave_out_no_word(spark, marked, split):
+    docs = clashing(hard(spark)).drop("n_words")
+    ids = spark.createDataFrame([(i,) for i in marked], "doc_id long")
+    got = cross_entropy.corpus_scored(docs, ids, **split)
+    assert got.columns == [*(c for c in docs.columns if c != "score"), "n_words", "target_loss", "background_loss", "score"]
+    got = got.collect()
+    assert len(got) == len(hard_rows())
+    plain = losses([(t, i in marked) for i, t, *_ in hard_rows()], math.inf, math.inf)
+    want = {(r[0], r[1]): p for r, p in zip(hard_rows(), plain)}
+    for r in got:
+        n, target, background = want[r["doc_id"], r["text"]]
+        assert r["n_words"] == n
+        assert r["target_loss"] == pytest.approx(target, abs=1e-9)
+        assert r["background_loss"] == pytest.approx(background, abs=1e-9)
+        assert r["score"] == pytest.approx(target - background, abs=1e-9)
+
+
+def test_query_tells_rare_words_apart(spark, tmp_path):
+    texts = ["common " * 6000 + "goodword"] + ["goodword", "badword"]
+    docs = spark.createDataFrame(list(enumerate(["common " * 20000, *texts])), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    score = {r["doc_id"]: r["score"] for r in QUERIES["op8_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert score[2] < score[3]
+    assert cross_entropy.corpus_scored(empty(spark), spark.createDataFrame([], "doc_id long")).count() == 0
