@@ -193,6 +193,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             firsts = np.searchsorted(text, np.arange(piece.texts + 1))
             for t in range(piece.texts):
                 at = piece.first + t
+                if firsts[t] == firsts[t + 1]:  # a blank text has no link
+                    continue
                 if rows and rows[0][0] != keys[at]:
                     yield close(rows)
                     rows = []
@@ -207,7 +209,7 @@ def _links(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     members = staged(clusters.join(sizes, "cluster"))
     if members.count() <= BROADCAST_IDS:
         members = F.broadcast(members)
-    # rows that share an id have one text each in a cluster; the set's own row is told by its size
+    # rows that share an id have one text each in a cluster; blank ones are left out by _confirm
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

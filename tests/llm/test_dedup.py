@@ -150,3 +150,12 @@ def test_long_groups_are_streamed():
     parts = pa.Table.from_batches(debruijn._branches(iter([batch.slice(i, 100) for i in range(0, n, 100)])))
     assert whole.equals(parts)
     assert (np.asarray(whole.column("kind")) == 2).sum() == len(set(edge.tolist()))
+
+
+@pytest.mark.parametrize("blanks", [[None, ""], ["", " \n", None, None]])
+def test_blank_rows_that_share_the_id_of_a_cluster(spark, blanks):
+    base = " ".join(f"word{i}" for i in range(80))
+    texts = [(1, base), (2, base + " more")] + [(i, b) for b in blanks for i in (1, 2)]
+    got = lsh_forest.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(1, 1, True), (2, 1, False)}
