@@ -114,27 +114,37 @@ def schedule(layout: DataFrame) -> DataFrame:
     return running(slots, ["place"], "bucket", ["slot"], "one", "turn").select("place", "slot", "turn")
 
 
-def _stream(docs: DataFrame) -> DataFrame:
-    """One row per kind of document row: source, doc_id, text_hash, size, copies, words."""
-    rows = docs.select("source", "doc_id", F.xxhash64("text").alias("text_hash"), n_words(F.col("text")).alias("size"))
-    kinds = rows.groupBy("source", "doc_id", "text_hash", "size").agg(F.count("*").alias("copies"))
+def row_hash(docs: DataFrame, of: str = "") -> Column:
+    """Hash of all columns, of any type; a null in one column is not a null in another."""
+    values = []
+    for name, kind in docs.dtypes:
+        value = F.col(f"{of}`{name}`")
+        values += [value.isNull(), F.to_json(value) if "<" in kind else value]
+    return F.xxhash64(*values)
+
+
+def _stream(docs: DataFrame, row: Column) -> DataFrame:
+    """One row per kind of document row: source, doc_id, text_hash, row, size, copies, words."""
+    rows = docs.select("source", "doc_id", F.xxhash64("text").alias("text_hash"), row.alias("row"),
+                       n_words(F.col("text")).alias("size"))
+    kinds = rows.groupBy("source", "doc_id", "text_hash", "row", "size").agg(F.count("*").alias("copies"))
     return kinds.withColumn("words", F.col("size") * F.col("copies"))
 
 
-def mix(docs: DataFrame, block: int = BLOCK, **goals) -> DataFrame:
+def mix(docs: DataFrame, block: int = BLOCK, row: Column | None = None, **goals) -> DataFrame:
     """What the mix takes of every document copy, slot by slot.
 
-    Rows: source, doc_id, text_hash, size, copy, source_size, target, and for each
-    slot that takes words of it: slot, round (how often the source was used up
+    Rows: source, doc_id, text_hash, row, size, copy, source_size, target, and for
+    each slot that takes words of it: slot, round (how often the source was used up
     before), taken.  A copy that is never taken has one row with slot null and
-    taken 0.
+    taken 0.  ``row`` tells rows of one source, id and text apart (default: not).
     """
-    kinds = staged(_stream(docs))
+    kinds = staged(_stream(docs, F.lit(0).cast("long") if row is None else row))
     layout = staged(with_blocks(targets(kinds, **goals), block))
     digits = max(0, math.ceil(math.log(max(kinds.count(), 1) / _BUCKET_ROWS, 16)))
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     kinds = kinds.withColumn("key", order).withColumn("bucket", F.substring("key", 1, digits))
-    laid = running(kinds, ["source"], "bucket", ["key", "doc_id", "size", "text_hash"], "words", "start")
+    laid = running(kinds, ["source"], "bucket", ["key", "doc_id", "size", "text_hash", "row"], "words", "start")
     copies = numbered(laid.drop("key", "bucket", "words"), "copies", "copy").withColumn(
         "start", F.col("start") + F.col("copy") * F.col("size")
     )
@@ -155,7 +165,7 @@ def mix(docs: DataFrame, block: int = BLOCK, **goals) -> DataFrame:
     low = F.greatest("start", _block_start(F.col("block")))
     high = F.least(F.col("start") + F.col("size"), _block_start(F.col("block") + 1), stop)
     taken = F.when(F.col("turn").isNull(), F.lit(0)).otherwise(F.greatest(high - low, F.lit(0))).cast("long")
-    return met.select("source", "doc_id", "text_hash", "size", "copy", "source_size", "target", "slot", "round",
+    return met.select("source", "doc_id", "text_hash", "row", "size", "copy", "source_size", "target", "slot", "round",
                       taken.alias("taken"))
 
 
@@ -172,15 +182,14 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, **goals) -> DataFrame:
     """The mix as documents: a row for each time that words of a document are taken.
 
     A text taken in part keeps its first words, joined by blanks, and n_chars
-    follows.  Rows equal in source, id and text share the other columns of one of
-    them.
+    follows.  Every copy keeps the columns of its own row.
     """
-    keys = ["source", "doc_id", "text_hash"]
-    rounds = mix(docs, block, **goals).groupBy(*keys, "size", "copy", "round").agg(F.sum("taken").alias("taken"))
+    keys = ["source", "doc_id", "text_hash", "row"]
+    rounds = mix(docs, block, row_hash(docs), **goals).groupBy(*keys, "size", "copy", "round").agg(F.sum("taken").alias("taken"))
     rounds = rounds.filter("taken > 0").select(*(F.col(k).alias(f"m_{k}") for k in keys), "size", "taken")
     base = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("d"))
     base = base.select("d", F.col("d.source").alias("source"), F.col("d.doc_id").alias("doc_id"),
-                       F.xxhash64("d.text").alias("text_hash")).dropDuplicates(keys)
+                       F.xxhash64("d.text").alias("text_hash"), row_hash(docs, "d.").alias("row")).dropDuplicates(keys)
     met = base.join(rounds, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys])
     first = F.array_join(F.slice(F.regexp_extract_all("d.text", F.lit(WORD), F.lit(0)), 1, F.col("taken").cast("int")), " ")
     text = F.when(F.col("taken") == F.col("size"), F.col("d.text")).otherwise(first)

@@ -189,3 +189,12 @@ def test_native_plans_have_no_python(spark, folder):
     for name in ("op1_mixing", "op3_sharding", "op7_decontamination"):
         plan = queries.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan), name
+
+
+def test_mixed_copies_keep_their_own_columns(spark):
+    rows = [(1, "a b c d", "en", "s", None, "x", {"k": 1}), (1, "a b c d", "de", "s", None, "x", {"k": 1}),
+            (1, "a b c d", None, "s", None, "x", {"k": 1}), (1, "a b c d", "x", "s", None, None, {"k": 1}),
+            (1, "a b c d", "x", "s", None, None, {"k": 2}), (1, "a b c d", "x", "s", None, None, {"k": 2})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra string, m map<string,int>")
+    got = mixing.mixed_documents(docs, share=2.0, most=2).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in docs.collect() for _ in range(2))
