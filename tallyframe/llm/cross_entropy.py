@@ -38,9 +38,9 @@ PAIR_SHARE = 1_000_000  # a kept bigram is at least one in so many
 DISCOUNT = 0.75
 BROADCAST_IDS = 1_000_000
 FREQUENT = 500_000  # words whose counts every task of corpus_scored holds, at most
-COMMON = 50_000  # a bigram of at least one in so many stays off the shuffle
-SAMPLE = 0.05  # of the rows, to find such bigrams
-BUCKET = 4_000_000  # words of a bucket
+COMMON = 500_000  # a bigram of at least one in so many stays off the shuffle
+SAMPLE = 0.1  # of the rows, to find such bigrams
+BUCKET = 1_000_000  # words of a bucket
 _CHUNK = 1_000_000
 _RESULT = StructType(
     [StructField("n_words", LongType()), StructField("target_loss", DoubleType()), StructField("background_loss", DoubleType())]
@@ -306,39 +306,69 @@ class Routes:
 
 @dataclass
 class Bucket:
-    """The bigrams of a bucket by text, with the counts of each in the corpus and among marked texts."""
+    """The bigrams of a bucket, their counts in the corpus and among marked texts, and the texts of each."""
 
     before: np.ndarray
     word: np.ndarray
-    n: np.ndarray
-    key: np.ndarray  # of the text
-    pair: np.ndarray  # number of the bigram
-    first: np.ndarray  # a row of each bigram
     counts: np.ndarray  # (model, bigram)
-    words: tuple[np.ndarray, ...]  # rare second words with their counts in both models
+    rows: np.ndarray  # texts of each bigram
+    at: np.ndarray  # their place in ``keys``
+    n: np.ndarray
+    keys: np.ndarray
+    common: list[np.ndarray]  # number, count, count among marked texts
 
     @classmethod
     def of(cls, rows: list[tuple[int, int, bytes]]) -> Bucket:
-        parts = []
+        parts, tallies = [(np.zeros(0, np.int64),) * 5], [[np.zeros(0, np.int64)] * 3]
         for m, k, data in rows:
+            if k < 0:
+                tallies.append(_unpack(data, [m] * 3))
+                continue
             steps, word, at, n, keys, marked = _unpack(data, [m] * 4 + [k] * 2)
             parts.append((np.cumsum(steps), word, n, keys[at], n * marked[at]))
-        before, word, n, key, n_target = (
-            np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64) for _ in range(5)
-        )
-        order = np.lexsort((word, before))
-        before, word, n, key, n_target = before[order], word[order], n[order], key[order], n_target[order]
+        before, word, n, key, n_target = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        keys, at = np.unique(key, return_inverse=True)
+        order = np.lexsort((at, word, before))
+        before, word, n, at, n_target = before[order], word[order], n[order], at[order], n_target[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1])
         pair, first = np.cumsum(new) - 1, np.flatnonzero(new)
         counts = np.stack([np.bincount(pair, x, len(first)) for x in (n_target, n)])
-        rare = word < 0
-        return cls(before, word, n, key, pair, first, counts, _sums(word[rare], n_target[rare], n[rare]))
+        return cls(before[first], word[first], counts, np.diff(np.append(first, len(word))), at, n, keys,
+                   list(_sums(*map(np.concatenate, zip(*tallies)))))
+
+    def packed(self) -> tuple[list[int], bytes]:
+        lengths = [len(x) for x in (self.word, self.at, self.keys, self.common[0])]
+        steps = np.diff(self.before, prepend=np.int64(0))
+        return lengths, _pack([steps, self.word, *self.counts, self.rows, self.at, self.n, self.keys, *self.common])
+
+    @classmethod
+    def unpacked(cls, lengths: list[int], data: bytes) -> Bucket:
+        m, e, k, t = lengths
+        steps, word, c_target, c, rows, at, n, keys, *common = _unpack(data, [m] * 5 + [e] * 2 + [k] + [t] * 3)
+        return cls(np.cumsum(steps), word, np.stack([c_target, c]), rows, at, n, keys, common)
 
     def histories(self) -> tuple[np.ndarray, ...]:
         """Words before, and of each: rows and different bigrams, in both models."""
         target, every = self.counts
-        return _sums(self.before[self.first], target, every, target > 0, every > 0)
+        return _sums(self.before, target, every, target > 0, every > 0)
+
+    def rare_words(self) -> tuple[np.ndarray, ...]:
+        """Rare second words, with their counts in both models."""
+        rare = self.word < 0
+        return _sums(self.word[rare], *self.counts[:, rare])
+
+
+_PACKED = "bucket int, m int, e int, k int, t int, data binary"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket."""
+    for bucket, rows in _by_bucket(batches):
+        lengths, data = Bucket.of(rows).packed()
+        numbers = [pa.array([x], pa.int32()) for x in (bucket, *lengths)]
+        yield pa.record_batch([*numbers, pa.array([data], pa.binary())], names=["bucket", "m", "e", "k", "t", "data"])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -362,12 +392,11 @@ def _histories(frequent: bool):
     """Rows (kind, bucket, key, *_PARTS): kind 0 histories, kind 1 common bigrams (with ``frequent`` only)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _by_bucket(batches):
-            parts = [(0, Bucket.of([r for r in rows if r[1] >= 0]).histories())]
-            tallies = [_unpack(data, [m] * 3) for m, k, data in rows if k < 0] if frequent else []
-            if tallies:
-                key, c, c_target = (np.concatenate(x) for x in zip(*tallies))
-                key, c, c_target = _sums(key, c, c_target)
+        for bucket, ((*lengths, data),) in _by_bucket(batches):
+            own = Bucket.unpacked(lengths, data)
+            parts = [(0, own.histories())]
+            if frequent:
+                key, c, c_target = own.common
                 parts.append((1, (key, c_target, c, c * 0, c * 0)))
             for kind, columns in parts:
                 own = columns[0] >= 0 if frequent else columns[0] < 0
@@ -402,7 +431,8 @@ class Counts:
 
     def bucket_losses(self, bucket: Bucket, rare: tuple[np.ndarray, ...]) -> list[np.ndarray]:
         """Loss of each bigram of a bucket; ``rare`` has the histories outside the frequent words."""
-        before, word = bucket.before[bucket.first], bucket.word[bucket.first]
+        before, word = bucket.before, bucket.word
+        keys, *sums = bucket.rare_words()
         history = np.empty((4, len(before)))
         low = before < 0
         history[:, ~low] = self.histories.reshape(4, -1)[:, before[~low]]
@@ -410,7 +440,7 @@ class Counts:
         single = np.empty((2, len(word)))
         low = word < 0
         single[:, ~low] = self.words[:, word[~low]]
-        single[:, low] = np.stack(bucket.words[1:])[:, _found(bucket.words[0], word[low])]
+        single[:, low] = np.stack(sums)[:, _found(keys, word[low])]
         return self.losses(bucket.counts, history[:2], history[2:], single)
 
 
@@ -418,9 +448,8 @@ _SUMS = "text_key long, n long, target double, background double"
 
 
 def _loss_rows(key, n, target, background) -> pa.RecordBatch:
-    found, *sums = _sums(key, n, n * target, n * background)
     return pa.record_batch(
-        [pa.array(found), pa.array(sums[0].astype(np.int64)), *map(pa.array, sums[1:])],
+        [pa.array(key), pa.array(n.astype(np.int64)), pa.array(target), pa.array(background)],
         names=["text_key", "n", "target", "background"],
     )
 
@@ -474,14 +503,13 @@ def corpus_scored(
     often = some.filter(F.col("n") * common >= F.lit(int(total * sample))).select("key").toArrow()
     routes.common = np.sort(np.asarray(often.column("key")))
 
-    # written once, as buckets are read three times
-    path = scratch_path(spark, "bigrams")
+    grouped = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     dealt = texts.mapInArrow(routes.dealt, "bucket int, m int, k int, data binary")
-    dealt.write.option("compression", "none").parquet(path)
+    path = scratch_path(spark, "bigrams")  # written once, as buckets are read three times
+    grouped(dealt).mapInArrow(_gathered, _PACKED).write.option("compression", "none").parquet(path)
     packed = spark.read.parquet(path)
     parts = "kind int, bucket int, key long, c_target long, c long, d_target long, d long"
-    grouped = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    seen = grouped(packed).mapInArrow(_histories(True), parts)
+    seen = packed.mapInArrow(_histories(True), parts)
     seen = seen.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in _PARTS)).toArrow()
     kind, key = np.asarray(seen.column("kind")), np.asarray(seen.column("key"))
     sums = np.stack([np.asarray(seen.column(c)).astype(float) for c in _PARTS])
@@ -499,19 +527,22 @@ def corpus_scored(
     common_losses = counts.losses(tallies, counts.histories[0][:, before], counts.histories[1][:, before], counts.words[:, word])
 
     # a rare history may stand in several buckets; each gets its counts over all of them
-    rare = grouped(packed).mapInArrow(_histories(False), parts)
+    rare = packed.mapInArrow(_histories(False), parts)
     same = Window.partitionBy("key")
     rare = rare.select("bucket", "key", *(F.sum(c).over(same).alias(c) for c in _PARTS))
     none = [F.lit(None).cast("long").alias(c) for c in ("key", *_PARTS)]
-    met = packed.select("bucket", "m", "k", "data", *none).unionByName(rare, allowMissingColumns=True)
+    met = packed.select("*", *none).unionByName(rare, allowMissingColumns=True)
 
     def bucket_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
-            own = Bucket.of([r[:3] for r in rows if r[2] is not None and r[1] >= 0])
-            low = np.array([r[3:] for r in rows if r[2] is None], np.int64).reshape(-1, 5)
+            ((*lengths, data),) = (r[:5] for r in rows if r[0] is not None)
+            own = Bucket.unpacked(lengths, data)
+            low = np.array([r[5:] for r in rows if r[0] is None], np.int64).reshape(-1, 5)
             low = low[np.argsort(low[:, 0])]
             target, background = counts.bucket_losses(own, tuple(low.T))
-            yield _loss_rows(own.key, own.n, target[own.pair], background[own.pair])
+            pair = np.repeat(np.arange(len(own.word)), own.rows)
+            sums = (np.bincount(own.at, x, len(own.keys)) for x in (own.n, own.n * target[pair], own.n * background[pair]))
+            yield _loss_rows(own.keys, *sums)
 
     def common_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -520,7 +551,7 @@ def corpus_scored(
                 text, before, word = routes.pairs(piece)
                 place = routes.place(before, word)
                 text, place = text[place >= 0] + piece.first, place[place >= 0]
-                yield _loss_rows(keys[text], np.ones(len(text)), *(x[place] for x in common_losses))
+                yield _loss_rows(*_sums(keys[text], np.ones(len(text)), *(x[place] for x in common_losses)))
 
     losses = grouped(met).mapInArrow(bucket_sums, _SUMS).unionByName(
         texts.select("text", "text_key").mapInArrow(common_sums, _SUMS)
