@@ -12,8 +12,10 @@ Clusters only narrow the search: within a cluster, every two sets whose
 components still differ are compared in full, so links do not depend on which
 neighbours met.  A cluster with more shingles than ``BLOCK`` is cut into blocks and
 each two blocks are a task; tasks return forest edges only, never all pairs.
-Sets with a Jaccard similarity of 0.75 share two leading MinHashes in at least one
-of 20 orders but for a chance of 7e-8.
+Neighbours are compared over the bounds of range partitions too.  Sets with a
+Jaccard similarity of 0.75 share two leading MinHashes in at least one of 20 orders
+but for a chance of 7e-8; where more than ``NEIGHBOURS`` other sets share these two,
+the pair need not be compared, and rests on the cluster that it shares with them.
 
 Defined cases: null, blank and empty texts have no shingle and no link; a text of
 fewer words than five has one shingle, all its words.  Rows that share an id are
@@ -119,17 +121,25 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+_ORDERED = "tree int, key binary, id long, low binary"
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours in sorted order whose signatures agree in half of the places or more."""
-    tail: tuple | None = None
+    """Neighbours (a, b) in sorted order whose signatures agree in half of the places or more.
+
+    The first and last rows of the partition follow as they are, with null a and b.
+    """
+    head = tail = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        tree, ids = np.asarray(batch.column("tree")), np.asarray(batch.column("id"))
-        first = np.frombuffer(b"".join(k[:4] for k in batch.column("key").to_pylist()), ">u4")
-        low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, _HASHES)
-        if tail is not None:
-            tree, ids, first, low = (np.concatenate(x) for x in zip(tail, (tree, ids, first, low)))
+        head = batch if head is None or head.num_rows < NEIGHBOURS else head
+        rows = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+        head = rows.slice(0, NEIGHBOURS) if head is batch else head
+        tail = rows.slice(max(rows.num_rows - NEIGHBOURS, 0))
+        tree, ids = np.asarray(rows.column("tree")), np.asarray(rows.column("id"))
+        first = np.frombuffer(b"".join(k[:4] for k in rows.column("key").to_pylist()), ">u4")
+        low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(-1, _HASHES)
         found = []
         for step in range(1, NEIGHBOURS + 1):
             a, b = np.arange(len(ids) - step), np.arange(step, len(ids))
@@ -137,9 +147,23 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = a[near], b[near]
             near = np.flatnonzero((low[a] == low[b]).sum(1) * 2 >= _HASHES)
             found.append(np.stack([ids[a[near]], ids[b[near]]]))
-        tail = tuple(x[-NEIGHBOURS:] for x in (tree, ids, first, low))
         pairs = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
-        yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        none = [pa.nulls(pairs.shape[1], f.type) for f in batch.schema]
+        yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), *none], names=["a", "b", *batch.schema.names])
+    for part in (head, tail):
+        if part is not None:
+            none = [pa.nulls(part.num_rows, pa.int64())] * 2
+            yield pa.record_batch([*none, *part.columns], names=["a", "b", *part.schema.names])
+
+
+def _near(ordered: DataFrame) -> DataFrame:
+    """Neighbours (a, b) of rows sorted by (tree, key, id) within range partitions, and over their bounds."""
+    met = staged(ordered.mapInArrow(_neighbours, f"a long, b long, {_ORDERED}"))
+    # the rows beside bounds: a few for each partition
+    order = ["tree", "key", "id"]
+    ends = met.filter("a is null").select(*order, "low").distinct().repartition("tree").sortWithinPartitions(*order)
+    over = ends.mapInArrow(_neighbours, f"a long, b long, {_ORDERED}")
+    return met.unionByName(over).filter("a is not null").select("a", "b").distinct()
 
 
 def forest_edges(sets: list[np.ndarray], left: int | None = None) -> list[tuple[int, int]]:
@@ -231,10 +255,9 @@ def classes(docs: DataFrame) -> DataFrame:
     chosen = kinds.select("f1", "f2", "n", "id").join(
         filled.select("f1", "f2", "n", F.col("doc_id").alias("id"), "signature"), ["f1", "f2", "n", "id"]
     ).dropDuplicates(["id", "f1", "f2"])
-    ordered = chosen.select("id", "signature").mapInArrow(_orders, "tree int, key binary, id long, low binary")
+    ordered = chosen.select("id", "signature").mapInArrow(_orders, _ORDERED)
     ordered = ordered.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    near = ordered.mapInArrow(_neighbours, "a long, b long").distinct()
-    clusters = components(near).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    clusters = components(_near(ordered)).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     sized = clusters.join(kinds.groupBy("id").agg(F.sum("n").alias("n")), "id")
     links = _links(docs, sized)
     # rows of one id, and of equal sets, belong together

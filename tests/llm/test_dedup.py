@@ -159,3 +159,12 @@ def test_blank_rows_that_share_the_id_of_a_cluster(spark, blanks):
     got = lsh_forest.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert len(got) == len(texts)
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(1, 1, True), (2, 1, False)}
+
+
+def test_neighbours_meet_over_partition_bounds(spark):
+    key, low = b"\1" * 16, b"\2" * lsh_forest._HASHES
+    rows = [(0, key, i, low) for i in range(12)] + [(1, key, i, low) for i in range(20, 22)]
+    ordered = spark.createDataFrame(rows, "tree int, key binary, id long, low binary").repartitionByRange(6, "tree", "id")
+    got = {tuple(r) for r in lsh_forest._near(ordered.sortWithinPartitions("tree", "key", "id")).collect()}
+    want = {(a, b) for a in range(12) for b in range(a + 1, min(a + lsh_forest.NEIGHBOURS, 11) + 1)} | {(20, 21)}
+    assert want <= got
