@@ -196,3 +196,12 @@ def test_query_tells_rare_words_apart(spark, tmp_path):
     score = {r["doc_id"]: r["score"] for r in QUERIES["op8_lm_scoring"](spark, str(tmp_path)).collect()}
     assert score[2] < score[3]
     assert cross_entropy.corpus_scored(empty(spark), spark.createDataFrame([], "doc_id long")).count() == 0
+
+
+def test_held_out_recall_of_toxic(spark):
+    labels = spark.read.parquet(f"{LARGE}/labels.parquet")
+    got = QUERIES["op5_toxicity"](spark, LARGE).join(labels, "doc_id").filter("held_out").collect()
+    found = [r["predicted"] for r in got if r["toxic"] == 1]
+    alarms = [r["predicted"] for r in got if r["toxic"] == 0]
+    assert np.mean(found) >= 0.5
+    assert np.mean(alarms) <= 0.02
