@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import cross_entropy, debruijn, decontaminate, isolation, kneser_ney, lsh_forest, mixing, nbsvm, sharding, warc
+from tallyframe.llm import cross_entropy, debruijn, decontaminate, isolation, kneser_ney, lsh_forest, merkle, mixing, nbsvm, sharding, warc
 from tallyframe.llm.labelled import held_out
 from tallyframe.session import scratch_path
 
@@ -240,3 +240,61 @@ from k join t on t.doc_id is not distinct from k.doc_id
 @query("op10_substring_dedup", repeat_sql(debruijn.WINDOW))
 def op10_substring_dedup(spark, folder):
     return debruijn.report(read(spark, folder, "documents"))
+
+
+# CRC-32 of a decimal id, bit by bit
+_CRC = """xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split({0}::varchar, ''), lambda c : ascii(c)::bigint),
+  lambda crc, b : list_reduce([xor(crc, b)] || list_transform(range(8), lambda z : 0::bigint),
+    lambda x, z : xor(x >> 1, 3988292384::bigint * (x & 1)))))"""
+_LEAF = "sha256(" + " || ".join(
+    f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "{0}", "text")
+) + ")"
+
+
+@query("op12_merkle_manifest", f"""
+with recursive d as (
+  select doc_id, lang, {_LEAF.format("n_chars")} as leaf,
+         case when {_CRC.format("doc_id")} % 7 = 0 then {_LEAF.format("(n_chars + 1)")} end as claim
+  from documents
+), o as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i from d
+), sub as (
+  select lang, 0 as k, list(leaf order by i) as nodes from o group by lang
+  union all
+  select lang, k + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+                                     lambda j : sha256(nodes[2 * j + 1] || coalesce(nodes[2 * j + 2], '')))
+  from sub where len(nodes) > 1
+), tops as (
+  select lang, nodes[1] as subroot, row_number() over (order by lang nulls first) - 1 as place from sub where len(nodes) = 1
+), up as (
+  select 0 as k, list(subroot order by place) as nodes from tops
+  union all
+  select k + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+                               lambda j : sha256(nodes[2 * j + 1] || coalesce(nodes[2 * j + 2], '')))
+  from up where len(nodes) > 1
+), low as (
+  select doc_id, lang, leaf, 0 as k, i, coalesce(claim, leaf) as h, '' as proof from o
+  union all
+  select doc_id, low.lang, leaf, low.k + 1, i // 2,
+         case when i % 2 = 1 then sha256(nodes[i] || h) else sha256(h || coalesce(nodes[i + 2], '')) end,
+         proof || case when i % 2 = 1 then nodes[i] else coalesce(nodes[i + 2], '') end
+  from low join sub on low.lang is not distinct from sub.lang and low.k = sub.k and len(nodes) > 1
+), high as (
+  select doc_id, leaf, subroot, 0 as k, place as i, h, proof
+  from low join sub on low.lang is not distinct from sub.lang and low.k = sub.k and len(nodes) = 1
+  join tops on tops.lang is not distinct from low.lang
+  union all
+  select doc_id, leaf, subroot, high.k + 1, i // 2,
+         case when i % 2 = 1 then sha256(nodes[i] || h) else sha256(h || coalesce(nodes[i + 2], '')) end,
+         proof || case when i % 2 = 1 then nodes[i] else coalesce(nodes[i + 2], '') end
+  from high join up on high.k = up.k and len(nodes) > 1
+)
+select doc_id, leaf, subroot, nodes[1] as root, sha256(proof) as proof_sha256, h as folded_root, h = nodes[1] as verified
+from high join up on high.k = up.k and len(nodes) = 1
+""")
+def op12_merkle_manifest(spark, folder):
+    found = merkle.document_proofs(read(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+        F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), "folded_root", "verified",
+    )
