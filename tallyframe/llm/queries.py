@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import cross_entropy, debruijn, decontaminate, isolation, kneser_ney, lsh_forest, merkle, mixing, nbsvm, sharding, warc
+from tallyframe.llm import align, cross_entropy, debruijn, decontaminate, isolation, kneser_ney, lsh_forest, merkle, mixing, nbsvm, sharding, warc
 from tallyframe.llm.labelled import held_out
 from tallyframe.session import scratch_path
 
@@ -298,3 +298,8 @@ def op12_merkle_manifest(spark, folder):
         F.col("id").alias("doc_id"), "leaf", "subroot", "root",
         F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), "folded_root", "verified",
     )
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark, folder):
+    return align.alignment(read(spark, folder, "documents"))
