@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import align, cross_entropy, debruijn, decontaminate, isolation, kneser_ney, lsh_forest, merkle, mixing, nbsvm, sharding, warc
+from tallyframe.llm import align, cross_entropy, debruijn, decontaminate, isolation, kneser_ney, lsh_forest, merkle, mixing, nbsvm, sharding, url_rules, warc
 from tallyframe.llm.labelled import held_out
 from tallyframe.session import scratch_path
 
@@ -303,3 +303,31 @@ def op12_merkle_manifest(spark, folder):
 @query("op13_tokenizer_alignment")
 def op13_tokenizer_alignment(spark, folder):
     return align.alignment(read(spark, folder, "documents"))
+
+
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+
+
+@query("op11_url_filters", rf"""
+with p as (
+  select page_id,
+         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
+  from pages
+), r as (select * from (values {_RULES}) as r(rule_host, rule_path, verdict)),
+m as (
+  select row_number() over () as n, * from p
+)
+select page_id, host, path, rule_host || rule_path as rule, coalesce(verdict, 'allow') as verdict
+from m left join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+qualify row_number() over (partition by n order by len(rule_host || rule_path) desc, len(rule_host) desc) = 1
+""")
+def op11_url_filters(spark, folder):
+    index = url_rules.build(spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    pages = read(spark, folder, "pages").select("page_id", "url")
+    return url_rules.judged(pages, index).select("page_id", "host", "path", "rule", "verdict")
