@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.columns import iso_day, let, pct0
-from tallyframe.functions.quantiles import exact_quantiles
+from tallyframe.operators import day_windows
+from tallyframe.session import staged
 
 _FAR_PAST, _FAR_FUTURE = "0001-01-01", "9999-12-31"
 
@@ -74,27 +75,46 @@ def _long(df: DataFrame, metrics: Sequence[str], date: str | None) -> DataFrame:
     return df.select(_day(df, date).alias("day"), F.inline(cells))
 
 
-def _window(kpis: DataFrame) -> DataFrame:
+def _windows(kpis: DataFrame, dated: bool) -> DataFrame:
+    """kpi_id, how, and the day window of each KPI; without days all of them are whole.
+
+    An open side reaches to the end of the calendar.  A window open on both sides
+    is whole: it takes rows without a day, too.
+    """
     start, end = iso_day("start_date"), iso_day("end_date")
-    return kpis.select(
-        F.col("id").alias("kpi_id"),
-        "metric_column",
-        F.upper("calculation").alias("how"),
-        start.alias("start_day"),
-        end.alias("end_day"),
+    if not dated:
+        start = end = F.lit(None).cast("date")
+    bounds = kpis.select(
+        F.col("id").alias("kpi_id"), "metric_column", F.upper("calculation").alias("how"),
+        start.alias("start_day"), end.alias("end_day"),
+    )
+    return bounds.select(
+        "kpi_id", "metric_column", "how",
+        F.coalesce("start_day", F.lit(_FAR_PAST).cast("date")).alias("first_day"),
+        F.coalesce("end_day", F.lit(_FAR_FUTURE).cast("date")).alias("last_day"),
+        (F.col("start_day").isNull() & F.col("end_day").isNull()).alias("whole"),
     )
 
 
-def _inside(date: str | None) -> Column:
-    """Row day within the KPI window; rows without a day count only for open windows."""
-    if date is None:
-        return F.lit(True)
-    opened = F.col("start_day").isNull() & F.col("end_day").isNull()
-    day = F.col("day").between(
-        F.coalesce("start_day", F.lit(_FAR_PAST).cast("date")),
-        F.coalesce("end_day", F.lit(_FAR_FUTURE).cast("date")),
+def day_totals(df: DataFrame, metrics: Sequence[str], date: str | None) -> DataFrame:
+    """metric_column, day, s, n, filled, lo, hi: all that KPIs but medians need of the facts."""
+    return _long(df, metrics, date).groupBy("metric_column", "day").agg(
+        F.sum("v").alias("s"), F.count("v").alias("n"), F.sum("filled").alias("filled"),
+        F.min("v").alias("lo"), F.max("v").alias("hi"),
     )
-    return opened | day
+
+
+def day_values(df: DataFrame, metrics: Sequence[str], date: str | None) -> DataFrame:
+    """metric_column, day, v, c: how often each value occurs on each day; for medians."""
+    long = _long(df, metrics, date).filter("v is not null")
+    return long.groupBy("metric_column", "day", "v").agg(F.count("*").alias("c"))
+
+
+def median_metrics(kpis: DataFrame, metrics: Sequence[str]) -> list[str]:
+    """Those of ``metrics`` that a MEDIAN KPI is about."""
+    wanted = kpis.filter((F.upper("calculation") == "MEDIAN") & F.col("metric_column").isin(*metrics))
+    found = {r[0] for r in wanted.select("metric_column").distinct().collect()}
+    return [m for m in metrics if m in found]
 
 
 def actuals(
@@ -102,62 +122,47 @@ def actuals(
 ) -> DataFrame:
     """``kpi_id, actual_value`` for every KPI whose metric is a column of ``df``.
 
-    The facts are summed once per metric and day, whatever the number of KPIs,
-    and only these day rows meet the KPI windows.  Medians cannot be built from
-    day sums; the facts of MEDIAN KPIs go through the exact quantiles, still in
-    one job for all of them.
+    The facts are read once for the totals of each metric and day, and once for
+    the values of each day of metrics that have MEDIAN KPIs.
     """
     date = date or date_column(df)
     metrics = [m for m in (metrics or df.columns) if m != date]
-    long = _long(df, metrics, date)
-    daily = long.groupBy("metric_column", "day").agg(
-        F.sum("v").alias("s"),
-        F.count("v").alias("n"),
-        F.sum("filled").alias("filled"),
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
-        F.count("*").alias("c"),
-    )
-    windows = _window(kpis)
-    inside = _inside(date)
-    totals = (
-        daily.join(windows.filter("how <> 'MEDIAN'"), "metric_column")
-        .filter(inside)
-        .groupBy("kpi_id", "how")
-        .agg(
-            F.sum("s").alias("s"),
-            F.sum("n").alias("n"),
-            F.sum("filled").alias("filled"),
-            F.min("lo").alias("lo"),
-            F.max("hi").alias("hi"),
-        )
-    )
+    medians = median_metrics(kpis, metrics)
+    values = day_values(df, medians, date) if medians else None
+    return actuals_of_days(kpis, day_totals(df, metrics, date), values, metrics, date is not None)
+
+
+def actuals_of_days(
+    kpis: DataFrame, totals: DataFrame, values: DataFrame | None, metrics: Sequence[str], dated: bool = True
+) -> DataFrame:
+    """``kpi_id, actual_value`` from day totals and, for medians, day values.
+
+    KPIs of one metric and window are answered together; see ``day_windows``.
+    """
+    kpis = _windows(kpis, dated).filter(F.col("metric_column").isin(*metrics))
+    totals = staged(totals)
+    key = ["metric_column", "first_day", "last_day", "whole"]
+    windows = kpis.select(*key).filter("first_day <= last_day").distinct()
+    grid = day_windows.numbered_days(totals, windows)
+    found = day_windows.window_totals(totals, windows, grid)
+    if values is None:
+        found = found.withColumn("median", F.lit(None).cast("double"))
+    else:
+        found = staged(found)
+        asked = kpis.filter("how = 'MEDIAN'").select(*key).distinct()
+        medians = day_windows.window_medians(staged(values), found.join(asked, key, "left_semi"), grid)
+        found = found.join(medians, key, "left")
     how = F.col("how")
     value = (
         F.when(how.isin("AVERAGE", "MEAN", "RATE", "PERCENTAGE"), F.try_divide("s", "n"))
         .when(how == "MIN", F.col("lo"))
         .when(how == "MAX", F.col("hi"))
         .when(how == "COUNT", F.col("filled").cast("double"))
+        .when(how == "MEDIAN", F.col("median"))
         .otherwise(F.col("s"))
     )
-    simple = totals.select("kpi_id", value.alias("actual_value"))
-    # The windows meet the (few) days first; the facts then join on metric and
-    # day, which spreads a metric that every row has over its days.
-    days = (
-        daily.select("metric_column", "day")
-        .join(windows.filter("how = 'MEDIAN'"), "metric_column")
-        .filter(inside)
-        .select("kpi_id", F.col("metric_column").alias("m"), F.col("day").alias("d"))
-    )
-    facts = long.join(
-        days, (F.col("metric_column") == F.col("m")) & F.col("day").eqNullSafe(F.col("d"))
-    )
-    middle = exact_quantiles(facts, "v", [0.5], ["kpi_id"]).select(
-        "kpi_id", F.col("q")[0].alias("actual_value")
-    )
-    known = windows.filter(F.col("metric_column").isin(*metrics)).select("kpi_id")
-    return known.join(simple.unionByName(middle), "kpi_id", "left").select(
-        "kpi_id", F.round(F.coalesce("actual_value", F.lit(0.0)), 2).alias("actual_value")
+    return kpis.join(found, key, "left").select(
+        "kpi_id", F.round(F.coalesce(value, F.lit(0.0)), 2).alias("actual_value")
     )
 
 
@@ -223,15 +228,33 @@ def evaluate(
     date: str | None = None,
     dataset_id: str | None = None,
 ) -> DataFrame:
-    """One snapshot per active KPI in scope, all in one job.
+    """One snapshot per active KPI in scope.
 
     A KPI whose metric column is absent becomes a row with status ERROR and does
     not stop the others.
     """
-    scoped = in_scope(normalize_definitions(kpis), dataset_id).withColumnRenamed("status", "state")
-    values = actuals(scoped.withColumnRenamed("state", "status"), df, metrics, date)
-    joined = scoped.join(values.withColumnRenamed("kpi_id", "id"), "id", "left")
-    rated = with_status(progress(variance(joined), as_of))
+    scoped = in_scope(normalize_definitions(kpis), dataset_id)
+    return snapshots(scoped, actuals(scoped, df, metrics, date), as_of)
+
+
+def evaluate_days(
+    kpis: DataFrame,
+    totals: DataFrame,
+    values: DataFrame | None,
+    as_of: str,
+    metrics: Sequence[str],
+    dated: bool = True,
+    dataset_id: str | None = None,
+) -> DataFrame:
+    """As ``evaluate``, from kept day totals and day values instead of the facts."""
+    scoped = in_scope(normalize_definitions(kpis), dataset_id)
+    return snapshots(scoped, actuals_of_days(scoped, totals, values, metrics, dated), as_of)
+
+
+def snapshots(scoped: DataFrame, values: DataFrame, as_of: str) -> DataFrame:
+    """Snapshots of normalized definitions from ``kpi_id, actual_value``."""
+    state = scoped.withColumnRenamed("status", "state")
+    rated = with_status(progress(variance(state.join(values.withColumnRenamed("kpi_id", "id"), "id", "left")), as_of))
     failed = F.col("actual_value").isNull()
     numbers = ["actual_value", "variance", "variance_pct", "achievement_pct",
                "expected_progress_pct", "actual_progress_pct", "performance_gap"]

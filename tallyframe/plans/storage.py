@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators import kpi
 from tallyframe.plans.base import REGISTRY, query, rounded
 from tallyframe.plans.targets import definitions
 from tallyframe.session import scratch_path
@@ -177,22 +176,14 @@ def sync_job(spark, folder):
 
 @query("stream_kpi", REGISTRY["kpi_evaluate_all"].sql)
 def stream_kpi(spark, folder):
-    """Snapshots written by the monitor stream when the orders file arrives."""
-    out, check = scratch_path(spark, "snapshots"), scratch_path(spark, "checkpoint")
-    source = f"{folder}/orders.parquet"
-    schema = table(spark, folder, "orders").schema
-
-    def evaluate(batch, batch_id):
-        facts = batch.sparkSession.read.schema(schema).parquet(source)
-        kpis = definitions(batch.sparkSession, folder)
-        snaps = kpi.evaluate(kpis, facts, "1998-06-15",
-                             ["o_totalprice", "o_custkey", "o_orderpriority"], "o_orderdate")
-        # keyed by batch: a repeated batch writes the same place again
-        snaps.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    stream = live.file_stream(spark, f"{source}*", schema)
-    live.monitor(stream, evaluate, check, once=True).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    """Orders arrive in three triggers; each adds its days to what is kept, and KPIs are evaluated from that."""
+    path, check, source = (scratch_path(spark, n) for n in ("kpis", "checkpoint", "orders"))
+    orders = table(spark, folder, "orders")
+    orders.repartition(3, F.xxhash64("o_orderkey")).write.parquet(source)
+    stream = live.file_stream(spark, source, orders.schema, files_per_trigger=1)
+    live.live_kpis(stream, definitions(spark, folder), path, check, "1998-06-15",
+                   ["o_totalprice", "o_custkey", "o_orderpriority"], "o_orderdate", once=True).awaitTermination()
+    return live.newest_snapshots(spark, path)
 
 
 @query("stream_tumbling", """

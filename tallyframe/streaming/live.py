@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tallyframe.operators import alerts
+from tallyframe.operators import alerts, day_windows, kpi
 
 INTERVAL = "300 seconds"
+COMPACT = 64  # batches whose day states are merged into one
 
 
 def file_stream(
@@ -109,6 +110,71 @@ def cooldown_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("id").agg(F.max(F.struct("batch", "suppressed")).alias("v")).select("id", "v.suppressed")
 
 
+class DayStates:
+    """Day totals and day values of all facts that a stream has brought, kept by batch.
+
+    A batch adds one small state, under its number, so a repeated batch writes the
+    same place again and changes nothing.  After each ``COMPACT`` batches all
+    states so far are merged into one, so a trigger reads that many at most.  The
+    facts themselves are read once, when they arrive.
+    """
+
+    def __init__(self, folder: str, metrics: Sequence[str], medians: Sequence[str], date: str | None):
+        self.folder, self.metrics, self.medians, self.date = folder, list(metrics), list(medians), date
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        """Keep the rows of a batch."""
+        new = {"totals": kpi.day_totals(batch, self.metrics, self.date)}
+        if self.medians:
+            new["values"] = kpi.day_values(batch, self.medians, self.date)
+        for kind, state in new.items():
+            state.write.mode("overwrite").parquet(f"{self.folder}/{kind}/batch={batch_id}")
+        if (batch_id + 1) % COMPACT == 0:
+            for kind, state in zip(new, self.upto(batch.sparkSession, batch_id)):
+                state.write.mode("overwrite").parquet(f"{self.folder}/{kind}/upto={batch_id}")
+
+    def _parts(self, kind: str, batch_id: int) -> list[str]:
+        done = batch_id // COMPACT * COMPACT  # batches in the newest merged state
+        merged = [f"{self.folder}/{kind}/upto={done - 1}"] if done else []
+        return merged + [f"{self.folder}/{kind}/batch={i}" for i in range(done, batch_id + 1)]
+
+    def upto(self, spark: SparkSession, batch_id: int) -> tuple[DataFrame, DataFrame | None]:
+        """Totals and values of all batches up to this one, merged by their keys."""
+        totals = spark.read.schema("metric_column string, day date, s double, n long, filled long, lo double, hi double")
+        totals = day_windows.merged(totals.parquet(*self._parts("totals", batch_id)))
+        if not self.medians:
+            return totals, None
+        values = spark.read.schema("metric_column string, day date, v double, c long").parquet(*self._parts("values", batch_id))
+        return totals, values.groupBy("metric_column", "day", "v").agg(F.sum("c").alias("c"))
+
+
+def live_kpis(
+    stream: DataFrame, kpis: DataFrame, folder: str, checkpoint: str, as_of: str, metrics: Sequence[str],
+    date: str | None = None, once: bool = False,
+) -> StreamingQuery:
+    """Snapshots of all KPIs after each batch of facts, below ``folder``/snapshots by batch.
+
+    Only the merged days are evaluated, whatever the number of facts so far.  The
+    day values of metrics that have MEDIAN KPIs at the start are kept.
+    """
+    states = DayStates(folder, metrics, kpi.median_metrics(kpi.normalize_definitions(kpis), metrics), date)
+
+    def evaluate(batch: DataFrame, batch_id: int) -> None:
+        states.add(batch, batch_id)
+        totals, values = states.upto(batch.sparkSession, batch_id)
+        snaps = kpi.evaluate_days(kpis, totals, values, as_of, metrics, date is not None)
+        snaps.write.mode("overwrite").parquet(f"{folder}/snapshots/batch={batch_id}")
+
+    return monitor(stream, evaluate, checkpoint, once)
+
+
+def newest_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshots of the last batch."""
+    found = spark.read.parquet(f"{folder}/snapshots")
+    last = found.agg(F.max("batch")).first()[0]
+    return found.filter(F.col("batch") == last).drop("batch")
+
+
 class FixedCooldown(StatefulProcessor):
     """Remembers the last alert of a key that went out; emits each alert with its verdict."""
 

@@ -149,3 +149,63 @@ def test_latest_snapshot_and_counts(spark):
     defs = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     row = kpi.dashboard_counts(kpi.with_latest(defs, snaps)).first()
     assert (row["total_kpis"], row["on_track"], row["critical"], row["exceeded"], row["unmonitored"]) == (3, 1, 0, 1, 1)
+
+
+def test_windows_of_many_kpis_meet_no_days(spark):
+    """10,000 days and 100,000 windows: a few look-ups each, not a billion pairs."""
+    import numpy as np
+
+    days, many, rng = 10_000, 100_000, np.random.default_rng(3)
+    value = rng.integers(0, 1000, days).astype(float)
+    value[7] = 1e15  # a large day elsewhere costs no digits
+    first = dt.date(1990, 1, 1)
+    facts = spark.createDataFrame([(first + dt.timedelta(days=i), float(v)) for i, v in enumerate(value)], "day date, v double")
+    ends = np.sort(rng.integers(0, days, (many, 2)), axis=1)
+    ends[: many // 3] = (0, days - 1)  # a third of all KPIs have one window
+    start = F.lit(first)
+    pairs = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(ends)], "n long, a int, b int")
+    how = F.element_at(F.array(*map(F.lit, ["SUM", "MIN", "MAX", "COUNT", "AVERAGE"])), (F.col("n") % 5 + 1).cast("int"))
+    defs = pairs.select(
+        F.col("n").cast("string").alias("id"), F.lit("v").alias("metric_column"), how.alias("calculation"),
+        F.date_add(start, "a").cast("string").alias("start_date"), F.date_add(start, "b").cast("string").alias("end_date"),
+    )
+    got = {int(r[0]): r[1] for r in kpi.actuals(defs, facts, ["v"], "day").collect()}
+    assert len(got) == many
+    for i in range(0, many, 7):
+        a, b = ends[i]
+        part = value[a : b + 1]
+        want = [lambda: part.sum(), part.min, part.max, lambda: float(len(part)), part.mean][i % 5]()
+        assert got[i] == pytest.approx(float(want), rel=1e-12, abs=0.0051), (i, a, b)
+
+
+def test_medians_of_many_windows(spark, monkeypatch):
+    from tallyframe.operators import day_windows
+
+    rng = random.Random(11)
+    first = dt.date(2020, 1, 1)
+    rows = [(None if rng.random() < 0.05 else first + dt.timedelta(days=rng.randint(0, 99)),
+             rng.choice([1.0, 1.0, rng.random(), -rng.random(), None]), float(rng.randint(0, 9))) for _ in range(3000)]
+    facts = spark.createDataFrame(rows, "day date, v double, w double").repartition(3)
+    windows = [(m, *sorted((rng.randint(-3, 103), rng.randint(-3, 103)))) for m in ("v", "w") for _ in range(40)]
+    defs = [(f"k{i}", m, "median", str(first + dt.timedelta(days=a)), str(first + dt.timedelta(days=b))) for i, (m, a, b) in enumerate(windows)]
+    defs += [("all", "v", "median", None, None), ("from", "v", "MEDIAN", "2020-02-01", None), ("none", "v", "MEDIAN", "2030-01-01", "2030-02-01"),
+             ("back", "v", "MEDIAN", "2020-02-01", "2020-01-01")]
+    kpis_ = spark.createDataFrame(defs, "id string, metric_column string, calculation string, start_date string, end_date string")
+    for bits in (2, 8):
+        monkeypatch.setattr(day_windows, "BITS", bits)
+        got = {r[0]: r[1] for r in kpi.actuals(kpis_, facts, ["v", "w"], "day").collect()}
+        for i, m, _, s, e in defs:
+            low, high = (dt.date.fromisoformat(x) if x else None for x in (s, e))
+            col = 1 if m == "v" else 2
+            part = sorted(r[col] for r in rows if r[col] is not None and (not low or (r[0] and r[0] >= low)) and (not high or (r[0] and r[0] <= high)))
+            n = len(part)
+            want = (part[(n - 1) // 2] + part[n // 2]) / 2 if part else 0.0
+            assert got[i] == pytest.approx(want, abs=0.0051), i
+
+
+def test_no_join_on_the_metric_alone(spark):
+    """Windows and days meet by equal keys that include the day or its block."""
+    facts = spark.createDataFrame([(dt.date(2020, 1, 1), 1.0)], "day date, v double")
+    plan = kpi.actuals(kpis(spark, ("v", "SUM", 1.0)), facts, ["v"], "day")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all(line.count(" = ") + line.count("<=>") >= 2 for line in joins)

@@ -102,6 +102,27 @@ def test_stream_in_many_triggers_equals_batch(spark, folder):
     assert key(spark.read.parquet(out)) == key(live.window_totals(events, "ts", "value", ["event_type"]))
 
 
+def test_live_kpis_from_batches_alone(spark, monkeypatch):
+    """Seven batches, merged after each two, one of them repeated; late days and medians included."""
+    from tallyframe.operators import kpi
+
+    monkeypatch.setattr(live, "COMPACT", 2)
+    first = dt.date(2026, 1, 1)
+    rows = [(i, None if i % 11 == 0 else first + dt.timedelta(days=i * 7 % 30), float(i * 37 % 101), "4" if i % 3 else "x") for i in range(300)]
+    facts = spark.createDataFrame(rows, "i long, day date, v double, t string")
+    defs = spark.createDataFrame(
+        [(f"{m}{h}{s}", m, m, h, 100.0, s, e, "") for m in ("v", "t", "gone") for h in ("SUM", "MEDIAN", "MIN", "COUNT", "RATE")
+         for s, e in ((None, None), ("2026-01-05", "2026-01-20"), (None, "2026-01-09"))],
+        "id string, kpi_name string, metric_column string, calculation string, target_value double, start_date string, end_date string, recipients string")
+    folder = scratch_path(spark, "kpis")
+    states = live.DayStates(folder, ["v", "t"], ["v", "t"], "day")
+    for batch in (0, 1, 2, 3, 3, 4, 5, 6, 6):
+        states.add(facts.filter(F.col("i") % 7 == batch), batch)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(kpi.evaluate(defs, facts, "2026-01-15", ["v", "t"], "day"))
+    assert key(kpi.evaluate_days(defs, *states.upto(spark, 6), "2026-01-15", ["v", "t"])) == want
+
+
 def _alert_files(spark, hours, order):
     """One file per alert, written in the given order."""
     source = scratch_path(spark, "alerts")
