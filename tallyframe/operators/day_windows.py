@@ -9,8 +9,8 @@ keys only, a few for each window, whatever its length.
   block, so two look-ups give its totals: the left day's and the right day's.
   Sums are added, never subtracted, so large totals elsewhere cost no digits, and
   least and greatest values work in the same way.
-* **Medians.**  Values are numbered in order, and a window's median is found digit
-  by digit.  Each (day, value) counts in one block of days per power of two; a
+* **Medians.**  The (value, day) pairs are numbered in order of their value, and a
+  window's median is found digit by digit of that number.  Each pair counts in one block of days per power of two; a
   window is the sum of at most two blocks per power.  In each round the counts of
   the next digit tell where the wanted rank lies.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.numbering import global_row_number
 from tallyframe.session import staged
 
-BITS = 8  # of a digit of the value numbers
+BITS = 10  # of a digit of the value numbers
 _KEY = ["metric_column", "first_day", "last_day", "whole"]
 _WITHOUT_DAY = -1  # the level of rows that have no day
 
@@ -127,32 +127,48 @@ def _blocks() -> Column:
     return F.when(F.col("whole"), F.concat(found, dayless)).otherwise(found)
 
 
+def _in_blocks(facts: DataFrame, blocks: DataFrame, grid: DataFrame) -> DataFrame:
+    """``facts`` in any of the blocks, with ``levels``: those on which a block holds their day.
+
+    The levels are found for days, not for facts.
+    """
+    days = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    days = days.withColumn("block", F.call_function("shiftright", F.col("pos"), F.col("k")))
+    levels = days.join(blocks, ["metric_column", "k", "block"]).select("metric_column", "pos", "k").unionByName(
+        blocks.filter(F.col("k") < 0).select("metric_column", F.lit(None).cast("long").alias("pos"), "k")
+    )
+    levels = levels.groupBy(F.col("metric_column").alias("m"), F.coalesce("pos", F.lit(-1)).alias("p")).agg(
+        F.collect_list("k").alias("levels")
+    )
+    same = (F.col("metric_column") == F.col("m")) & (F.coalesce("pos", F.lit(-1)) == F.col("p"))
+    return facts.join(levels, same).drop("m", "p")
+
+
 def window_medians(values: DataFrame, windows: DataFrame, grid: DataFrame) -> DataFrame:
     """The windows (``_KEY``) with their median; a window without values has no row.
 
     ``values``: metric_column, day, v, c (how often the metric has v on the day);
     ``windows`` have n, the number of values in them.
     """
-    order = staged(global_row_number(values.select("metric_column", "v").distinct(), ["metric_column", "v"], "r"))
+    order = global_row_number(values, ["metric_column", "v", F.col("day").asc_nulls_first()], "place")
     distinct = order.count()
     if not distinct:
         return windows.select(*_KEY, F.lit(0.0).alias("median")).filter("false")
     bits = max(1, (distinct - 1).bit_length())
     rounds = -(-bits // BITS)
     width = -(-bits // rounds)
-    level = F.when(F.col("pos").isNull(), F.array(F.lit(_WITHOUT_DAY))).otherwise(F.sequence(F.lit(0), F.col("top")))
-    counted = staged(
-        values.join(order, ["metric_column", "v"]).join(grid, ["metric_column", "day"], "left")
-        .select("metric_column", "r", "c", "pos", level.alias("levels"))
-    )
     middle = [F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)]
-    state = staged(placed(windows.filter("n > 0"), grid).select(
-        *_KEY, _blocks().alias("blocks"), F.explode(F.array_distinct(F.array(*middle))).alias("target"),
-    ).withColumn("rank", F.col("target")).withColumn("node", F.lit(0).cast("long")))
-    one = [*_KEY, "target"]
+    one = [*_KEY, "l", "r", "top", "target"]
+    state = (
+        placed(windows.filter("n > 0"), grid)
+        .select(*_KEY, "l", "r", "top", F.explode(F.array_distinct(F.array(*middle))).alias("target"))
+        .withColumn("rank", F.col("target")).withColumn("node", F.lit(0).cast("long"))
+    )
+    blocks = state.select("metric_column", F.inline(_blocks())).distinct()
+    counted = staged(_in_blocks(order.join(grid.drop("top"), ["metric_column", "day"], "left"), blocks, grid).drop("day"))
     for step in range(rounds - 1, -1, -1):
         shift = width * step
-        facts = counted.withColumn("digit", F.shiftright("r", shift)).withColumn("node", F.shiftright("r", shift + width))
+        facts = counted.withColumn("digit", F.shiftright("place", shift)).withColumn("node", F.shiftright("place", shift + width))
         if step < rounds - 1:
             facts = facts.join(state.select("metric_column", "node").distinct(), ["metric_column", "node"], "left_semi")
         block = F.when(F.col("k") < 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", F.col("pos"), F.col("k")))
@@ -160,15 +176,13 @@ def window_medians(values: DataFrame, windows: DataFrame, grid: DataFrame) -> Da
             facts.withColumn("k", F.explode("levels")).withColumn("block", block)
             .groupBy("metric_column", "node", "k", "block", "digit").agg(F.sum("c").alias("c"))
         )
-        met = state.select(*one, "rank", "node", F.inline("blocks")).join(counts, ["metric_column", "node", "k", "block"])
+        met = state.select(*one, "rank", "node", F.inline(_blocks())).join(counts, ["metric_column", "node", "k", "block"])
         digits = met.groupBy(*one, "rank", "digit").agg(F.sum("c").alias("c"))
         upto = Window.partitionBy(*one).orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hit = digits.withColumn("end", F.sum("c").over(upto)).filter("rank < end and rank >= end - c")
-        # the key as it stands, nulls never occur in it
-        state = staged(
-            state.drop("rank", "node").join(hit.select(*one, (F.col("rank") - F.col("end") + F.col("c")).alias("rank"),
-                                                       F.col("digit").alias("node")), one)
-        )
+        state = hit.select(*one, (F.col("rank") - F.col("end") + F.col("c")).alias("rank"), F.col("digit").alias("node"))
+        if step:
+            state = staged(state)
     low, high = F.min("v"), F.max("v")
-    found = state.join(order.select("v", F.col("r").alias("node")), "node")
+    found = state.join(counted.select("v", F.col("place").alias("node")), "node")
     return found.groupBy(*_KEY).agg((low + (high - low) * 0.5).alias("median"))

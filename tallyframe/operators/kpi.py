@@ -139,7 +139,7 @@ def actuals_of_days(
 
     KPIs of one metric and window are answered together; see ``day_windows``.
     """
-    kpis = _windows(kpis, dated).filter(F.col("metric_column").isin(*metrics))
+    kpis = staged(_windows(kpis, dated).filter(F.col("metric_column").isin(*metrics)))
     totals = staged(totals)
     key = ["metric_column", "first_day", "last_day", "whole"]
     windows = kpis.select(*key).filter("first_day <= last_day").distinct()
@@ -150,7 +150,7 @@ def actuals_of_days(
     else:
         found = staged(found)
         asked = kpis.filter("how = 'MEDIAN'").select(*key).distinct()
-        medians = day_windows.window_medians(staged(values), found.join(asked, key, "left_semi"), grid)
+        medians = day_windows.window_medians(values, found.join(asked, key, "left_semi"), grid)
         found = found.join(medians, key, "left")
     how = F.col("how")
     value = (
