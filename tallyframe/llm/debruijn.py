@@ -45,16 +45,16 @@ WINDOW = 20
 K = 5
 FAN = 64
 _ROOM = WINDOW - K  # k-mers of a window, less one
-_KEYED = "key long, edge long, id long, at long, kind int"
+_KEYED = "key long, edge long, id long, tie long, at long, kind int"
 _LAST = (1 << 63) - 1
-# at: 24 bits of a text hash, 32 of the position, 4 + 4 of the windows' reach
+# at: 32 bits of the position, 4 + 4 of the windows' reach
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """id, tie, text: null ids last, and 24 bits that tell texts of one id apart."""
+    """id, tie, text: null ids last, and a hash that tells texts of one id apart."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
-        F.xxhash64("text").bitwiseAND((1 << 23) - 1).alias("tie"),
+        F.xxhash64("text").alias("tie"),
         "text",
     )
 
@@ -125,35 +125,37 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return fresh
 
 
-def _repeated(first: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _repeated(first: np.ndarray, ids: np.ndarray, ties: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows that stand elsewhere than the first of their group; one document given twice is no repeat."""
     if not len(first):
         return first
     start = np.flatnonzero(first)[np.cumsum(first) - 1]
-    return (ids != ids[start]) | (at != at[start])
+    return (ids != ids[start]) | (ties != ties[start]) | (at != at[start])
 
 
 def _batch(*columns: np.ndarray) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.int32()]
-    names = ["key", "edge", "id", "at", "kind"]
+    kinds = [pa.int64()] * 5 + [pa.int32()]
+    names = ["key", "edge", "id", "tie", "at", "kind"]
     return pa.record_batch(
         [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, t) for c, t in zip(columns, kinds)], names=names
     )
 
 
-def _settled(node: np.ndarray, edge: np.ndarray, ids: np.ndarray, at: np.ndarray, fan: int | None) -> pa.RecordBatch:
+def _settled(
+    node: np.ndarray, edge: np.ndarray, ids: np.ndarray, ties: np.ndarray, at: np.ndarray, fan: int | None
+) -> pa.RecordBatch:
     """Rows of a batch: 0 for the node's task, 1 a repeat, 2 straight to the windows."""
-    order = np.lexsort((at, ids, edge, node))
-    node, edge, ids, at = node[order], edge[order], ids[order], at[order]
+    order = np.lexsort((at, ties, ids, edge, node))
+    node, edge, ids, ties, at = (c[order] for c in (node, edge, ids, ties, at))
     first = _groups(node, edge)
-    kind = _repeated(first, ids, at).astype(np.int32)
+    kind = _repeated(first, ids, ties, at).astype(np.int32)
     if fan is not None:
         start = np.flatnonzero(_groups(node))
         group = np.cumsum(_groups(node)) - 1
         rank = np.cumsum(first) - np.cumsum(first)[start][group]
         kind[(kind == 0) & (rank >= fan)] = 2
-    key = np.where(kind == 0, node, W.mix(at.astype(np.uint64) + ids.astype(np.uint64) * np.uint64(31)))
-    return _batch(key, edge, ids, at, kind)
+    spread = at.astype(np.uint64) + (ids.astype(np.uint64) + ties.astype(np.uint64)) * np.uint64(31)
+    return _batch(np.where(kind == 0, node, W.mix(spread)), edge, ids, ties, at, kind)
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +166,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = Nodes(piece)
             edge = n.content(n.low, n.high + WINDOW, n.at - n.low)
             owner = n.text + piece.first
-            held.append((n.node, edge, ids[owner], tie[owner] << 40 | n.place()))
+            held.append((n.node, edge, ids[owner], tie[owner], n.place()))
         if held:
             yield _settled(*(np.concatenate(x) for x in zip(*held)), FAN)
 
@@ -192,14 +194,14 @@ def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats (kind 1), and first occurrences of the edges of branching nodes (kind 2)."""
-    for key, edge, ids, at, kind in _sorted_rows(batches):
+    for key, edge, ids, ties, at, kind in _sorted_rows(batches):
         node, first = _groups(key), _groups(key, edge)
         group = np.cumsum(node) - 1
         edges = np.bincount(group, first)[group]
-        again = _repeated(first, ids, at)
+        again = _repeated(first, ids, ties, at)
         out = np.where(kind > 0, kind, np.where(again, 1, np.where(edges > 1, 2, 0))).astype(np.int32)
         keep = (out == 1) | (out == 2) & (first | (kind == 2))
-        yield _batch(key[keep], edge[keep], ids[keep], at[keep], out[keep])
+        yield _batch(*(c[keep] for c in (key, edge, ids, ties, at, out)))
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,27 +222,26 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = n.text[occurrence]
             value = n.content(start, start + WINDOW, n.at[occurrence] - start)
             owner = text + piece.first
-            held.append((n.node[occurrence], value, ids[owner], tie[owner] << 40 | (start - n.firsts[text]) << 8))
+            held.append((n.node[occurrence], value, ids[owner], tie[owner], (start - n.firsts[text]) << 8))
         if held:
             yield _settled(*(np.concatenate(x) for x in zip(*held)), None)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that stand earlier, too (kind 1)."""
-    for key, edge, ids, at, kind in _sorted_rows(batches):
+    for key, edge, ids, ties, at, kind in _sorted_rows(batches):
         first = _groups(key, edge)
-        keep = (kind == 1) | _repeated(first, ids, at)
-        yield _batch(key[keep], edge[keep], ids[keep], at[keep], np.ones(keep.sum(), np.int32))
+        keep = (kind == 1) | _repeated(first, ids, ties, at)
+        yield _batch(*(c[keep] for c in (key, edge, ids, ties, at)), np.ones(keep.sum(), np.int32))
 
 
 def _by_node(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key").sortWithinPartitions("key", "edge", "id", "at")
+    return rows.repartition("key").sortWithinPartitions("key", "edge", "id", "tie", "at")
 
 
 def _per_text(rows: DataFrame) -> DataFrame:
     """r_id, r_tie, places of each document."""
-    tie = F.shiftright("at", 40).alias("r_tie")
-    return rows.groupBy(F.col("id").alias("r_id"), tie).agg(F.collect_list("at").alias("places"))
+    return rows.groupBy(F.col("id").alias("r_id"), F.col("tie").alias("r_tie")).agg(F.collect_list("at").alias("places"))
 
 
 def _met(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -248,12 +249,12 @@ def _met(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """id, at of repeated windows: a place with the reach of its windows around it."""
+    """id, tie, at of repeated windows: a place with the reach of its windows around it."""
     texts = located(docs)
     nodes = staged(_by_node(texts.mapInArrow(_edges, _KEYED)).mapInArrow(_branches, _KEYED))
-    to_compare = _met(texts.withColumn("text", packed("text")), nodes.filter("kind = 2").select("id", "at"), "inner").select("id", "tie", "text", "places")
+    to_compare = _met(texts.withColumn("text", packed("text")), nodes.filter("kind = 2").select("id", "tie", "at"), "inner").select("id", "tie", "text", "places")
     later = _by_node(to_compare.mapInArrow(_window_rows, _KEYED)).mapInArrow(_later, _KEYED)
-    return nodes.filter("kind = 1").select("id", "at").unionByName(later.select("id", "at"))
+    return nodes.filter("kind = 1").select("id", "tie", "at").unionByName(later.select("id", "tie", "at"))
 
 
 def _keep(piece: W.Piece, places: pa.Array) -> tuple[W.Words, np.ndarray]:
@@ -304,7 +305,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_places(docs: DataFrame, columns: list[Column]) -> DataFrame:
     rows = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
-                       F.xxhash64("text").bitwiseAND((1 << 23) - 1).alias("tie"))
+                       F.xxhash64("text").alias("tie"))
     return _met(rows, repeats(docs), "left").drop("id", "tie", "r_id", "r_tie")
 
 

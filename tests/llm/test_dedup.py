@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from cases import clashing, empty, hard, prose, rows
@@ -137,6 +138,14 @@ def test_repeats_are_those_of_a_plain_search(spark, monkeypatch, fan):
     assert debruijn.report(empty(spark)).count() == 0
 
 
+def test_many_texts_of_one_id(spark):
+    """Each text loses its own words only, whether the id is null or shared."""
+    common = " ".join(f"c{i}" for i in range(25))
+    docs = spark.range(20_000).selectExpr("case when id % 2 = 0 then 7L end as doc_id", f"concat('{common} own', id, ' words') as text")
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in debruijn.report(docs).collect())
+    assert got == {(7, 27, 25): 9_999, (7, 27, 0): 1, (None, 27, 25): 10_000}
+
+
 def test_long_groups_are_streamed():
     """Rows of one node that arrive in many batches are judged as if in one."""
     import numpy as np
@@ -145,7 +154,7 @@ def test_long_groups_are_streamed():
     n = 3000
     edge = np.sort(np.random.default_rng(3).integers(0, 40, n))
     ids = np.arange(n)
-    batch = debruijn._batch(np.zeros(n, np.int64), edge, ids, ids * 256, np.zeros(n, np.int32))
+    batch = debruijn._batch(np.zeros(n, np.int64), edge, ids, ids * 0, ids * 256, np.zeros(n, np.int32))
     whole = pa.Table.from_batches(debruijn._branches(iter([batch])))
     parts = pa.Table.from_batches(debruijn._branches(iter([batch.slice(i, 100) for i in range(0, n, 100)])))
     assert whole.equals(parts)
