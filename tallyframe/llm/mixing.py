@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.native import WORD, n_words, numbered, running, staged
+from tallyframe.llm.native import WORD, n_words, numbered, row_hash, running, staged
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # words of the mix, per word of the input
@@ -114,15 +114,6 @@ def schedule(layout: DataFrame) -> DataFrame:
     return running(slots, ["place"], "bucket", ["slot"], "one", "turn").select("place", "slot", "turn")
 
 
-def row_hash(docs: DataFrame, of: str = "") -> Column:
-    """Hash of all columns, of any type; a null in one column is not a null in another."""
-    values = []
-    for name, kind in docs.dtypes:
-        value = F.col(f"{of}`{name}`")
-        values += [value.isNull(), F.to_json(value) if "<" in kind else value]
-    return F.xxhash64(*values)
-
-
 def _stream(docs: DataFrame, row: Column) -> DataFrame:
     """One row per kind of document row: source, doc_id, text_hash, row, size, copies, words."""
     rows = docs.select("source", "doc_id", F.xxhash64("text").alias("text_hash"), row.alias("row"),

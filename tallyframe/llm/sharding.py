@@ -16,7 +16,8 @@ limit, as when a single document does, it leaves the directory and is paged: eac
 page holds as many of its rows as fit, one at least.  So a shard exceeds the limit
 only if it is one document that does.
 
-Defined cases: a null id hashes as an empty one, a null text has 0 bytes, an
+Defined cases: a null in one column is not one in another, and columns may be of any
+type (arrays, maps, structs are compared by their JSON); a null id hashes as an empty one, a null text has 0 bytes, an
 empty table gives no row.
 """
 
@@ -27,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.native import numbered, staged
+from tallyframe.llm.native import numbered, row_hash, staged
 
 LIMIT = 32 << 20
 _BITS = 60
@@ -40,7 +41,7 @@ def _low_bits(md5: Column) -> Column:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """h1, h2 (60 bits each) and bytes of every row."""
-    row = F.xxhash64(*(f"`{c}`" for c in sorted(docs.columns)))
+    row = row_hash(docs)
     return docs.select(
         F.col("doc_id"),
         _low_bits(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h1"),
@@ -138,7 +139,7 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     added = ["shard", "shard_depth", "shard_bytes"]
     docs = docs.drop(*added)
     held, pages = plan(docs, limit)
-    key = [F.xxhash64(*(f"`{c}`" for c in sorted(docs.columns))), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))]
+    key = [row_hash(docs), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))]
     base = docs.select(
         F.struct(*(f"`{c}`" for c in docs.columns)).alias("d"),
         _low_bits(F.md5(key[1])).alias("h1"),

@@ -108,6 +108,15 @@ def test_shards_of_hard_rows_keep_all_and_fit(spark):
     assert sharding.sharded(empty(spark)).count() == sharding.shard_table(empty(spark)).count() == 0
 
 
+def test_shards_keep_rows_that_differ_by_the_place_of_a_null(spark):
+    docs = spark.createDataFrame([(1, "abc", None, {"a": 1}), (1, None, "abc", {"a": 1}), (1, None, "abc", {"a": 2})],
+                                 "doc_id long, text string, note string, kinds map<string, int>")
+    for limit in (2, 1000):
+        assert sharding.shard_table(docs, limit).count() == 3
+        out = sharding.sharded(docs, limit).select("text", "note", F.to_json("kinds"))
+        assert rows(out) == rows(docs.select("text", "note", F.to_json("kinds")))
+
+
 def test_equal_rows_are_paged(spark):
     docs = spark.range(1000).selectExpr("7L as doc_id", "repeat('x', 10) as text")
     got = sharding.sharded(docs, 95).groupBy("shard").agg(F.count("*").alias("n"), F.first("shard_bytes").alias("b"))
