@@ -1,7 +1,7 @@
 """WARC archives: a PySpark Python data source that writes and reads them.
 
 Writing: one gzip member per record, in rolled files.  Tasks write into a work
-folder below the target and name their files to the driver; only files of
+folder of their job below the target and name their files to the driver; only files of
 committed tasks are moved out of it, so lost or repeated tasks leave no record.
 A member carries its compressed and full length (the ``sl`` extra field), so a
 reader can step over it.
@@ -111,10 +111,11 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, date: str, overwrite: bool):
         self.path, self.date, self.overwrite = path, date, overwrite
+        self.work = f"{_WORK}-{uuid.uuid4().hex}"  # of this job alone: others may write to the same path
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = pafs.FileSystem.from_uri(self.path)
-        fs.create_dir(f"{root}/{_WORK}")
+        fs.create_dir(f"{root}/{self.work}")
         names: list[str] = []
         out, size = None, 0
         for batch in iterator:
@@ -124,7 +125,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out:
                         out.close()
                     names.append(f"{uuid.uuid4().hex}.warc.gz")
-                    out, size = fs.open_output_stream(f"{root}/{_WORK}/{names[-1]}", compression=None), 0
+                    out, size = fs.open_output_stream(f"{root}/{self.work}/{names[-1]}", compression=None), 0
                 data = member(record_bytes(row, self.date))
                 out.write(data)
                 size += len(data)
@@ -138,14 +139,14 @@ class WarcWriter(DataSourceArrowWriter):
         old = [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.is_file] if self.overwrite else []
         names = [n for m in messages if m for n in m.names]
         with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda n: fs.move(f"{root}/{_WORK}/{n}", f"{root}/{n}"), names))
+            list(pool.map(lambda n: fs.move(f"{root}/{self.work}/{n}", f"{root}/{n}"), names))
             list(pool.map(fs.delete_file, old))
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
-        if fs.get_file_info(f"{root}/{_WORK}").type == pafs.FileType.Directory:
-            fs.delete_dir(f"{root}/{_WORK}")
+        if fs.get_file_info(f"{root}/{self.work}").type == pafs.FileType.Directory:
+            fs.delete_dir(f"{root}/{self.work}")
 
 
 # reading
@@ -255,8 +256,8 @@ class Files(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payloads: bool):
-        self.path, self.payloads = path, payloads
+    def __init__(self, path: str, payloads: bool, tasks: int = 1):
+        self.path, self.payloads, self.tasks = path, payloads, tasks
         self.wanted: dict[str, set] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -275,11 +276,11 @@ class WarcReader(DataSourceReader):
         listed = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
         files = sorted((f.path, f.size) for f in listed if f.is_file and re.search(r"\.warc(\.gz)?$", f.path))
         out: list[Files] = []
-        room = 0
+        room, share = 0, min(_READ, -(-sum(size for _, size in files) // self.tasks))
         for path, size in files:
             if not out or size > room:
                 out.append(Files([]))
-                room = _READ
+                room = share
             out[-1].files.append((path, size))
             room -= size
         return out or [Files([])]
@@ -307,7 +308,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """Options: path; payload (true) for reading; date for writing."""
+    """Options: path; payload (true) and tasks (1), the least number wanted, for reading; date for writing."""
 
     @classmethod
     def name(cls) -> str:
@@ -317,7 +318,8 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
+        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false",
+                          int(self.options.get("tasks", "1")))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return WarcWriter(self.options["path"], self.options.get("date", "1970-01-01T00:00:00Z"), overwrite)
@@ -372,7 +374,8 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    tasks = spark.sparkContext.defaultParallelism
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("tasks", tasks).load(path)
 
 
 def page_digests(archive: DataFrame) -> DataFrame:

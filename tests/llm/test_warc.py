@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 
+import pyarrow as pa
 import pytest
 from cases import rows
 from pyspark.sql import functions as F
@@ -109,3 +110,22 @@ def test_no_pages(spark):
     path = scratch_path(spark, "warc")
     warc.write_pages(pages(spark, []), path)
     assert warc.page_digests(warc.read_archive(spark, path)).count() == 0
+
+
+def test_jobs_that_append_at_once_keep_each_other(spark):
+    """Both have written their files before either commits."""
+    path = f"file://{scratch_path(spark, 'warc')}"
+    names = [x.split()[0] for x in warc.SCHEMA.split(", ") if not x.startswith("payload_bytes")]
+    jobs = [warc.WarcWriter(path, "2020-01-01T00:00:00Z", False) for _ in range(2)]
+    done = []
+    for i, job in enumerate(jobs):
+        row = dict.fromkeys(names) | {"record_type": "response", "record_id": f"urn:page:{i}", "payload_digest": "X", "payload": b"x"}
+        done.append(job.write(iter([pa.RecordBatch.from_pylist([row], schema=pa.schema(
+            [(n, pa.binary() if n == "payload" else pa.string()) for n in names]))])))
+    jobs[0].commit([done[0]])
+    jobs[1].commit([done[1]])
+    assert sorted(r["record_id"] for r in warc.read_archive(spark, path).collect()) == ["urn:page:0", "urn:page:1"]
+    third = warc.WarcWriter(path, "2020-01-01T00:00:00Z", False)
+    third.abort([])
+    assert warc.read_archive(spark, path).count() == 2
+    assert len(warc.WarcReader(path, True, 8).partitions()) == 2  # small files, but enough tasks for both
