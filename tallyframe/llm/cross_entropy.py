@@ -470,7 +470,7 @@ def corpus_scored(
     bigrams that make up one in ``common`` of a sample.  All other bigrams are
     dealt to buckets by hash, packed with their text's hash; a bucket counts its
     bigrams, gets the counts of the rare words before them by a shuffle, and sends
-    back one sum of losses for each text.  Rows of one text have the same losses.
+    back a sum of losses for each text, packed by parts of the texts.  Rows of one text have the same losses.
     """
     spark = docs.sparkSession
     texts = marked_documents(docs, ids).select("text", "marked", F.xxhash64("text").alias("text_key"))
@@ -541,8 +541,22 @@ def corpus_scored(
             low = low[np.argsort(low[:, 0])]
             target, background = counts.bucket_losses(own, tuple(low.T))
             pair = np.repeat(np.arange(len(own.word)), own.rows)
-            sums = (np.bincount(own.at, x, len(own.keys)) for x in (own.n, own.n * target[pair], own.n * background[pair]))
-            yield _loss_rows(own.keys, *sums)
+            sums = [np.bincount(own.at, x, len(own.keys)) for x in (own.n, own.n * target[pair], own.n * background[pair])]
+            group = (W.mix(own.keys.view(np.uint64)) % np.uint64(routes.buckets)).astype(np.int32)
+            order = np.argsort(group, kind="stable")  # keys ascend, so they do within a group
+            cuts = np.flatnonzero(np.diff(group[order])) + 1
+            parts = [x for x in np.split(order, cuts) if len(x)]
+            data = [_pack([np.diff(own.keys[x], prepend=np.int64(0)), *(c[x].astype(float).view(np.int64) for c in sums)]) for x in parts]
+            yield pa.record_batch(
+                [pa.array([group[x[0]] for x in parts], pa.int32()), pa.array([len(x) for x in parts], pa.int32()), pa.array(data, pa.binary())],
+                names=["part", "m", "data"],
+            )
+
+    def text_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            parts = [_unpack(data, [m] * 4) for m, data in rows]
+            steps, *sums = zip(*parts)
+            yield _loss_rows(*_sums(np.concatenate([np.cumsum(x) for x in steps]), *(np.concatenate(x).view(float) for x in sums)))
 
     def common_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -553,7 +567,10 @@ def corpus_scored(
                 text, place = text[place >= 0] + piece.first, place[place >= 0]
                 yield _loss_rows(*_sums(keys[text], np.ones(len(text)), *(x[place] for x in common_losses)))
 
-    losses = grouped(met).mapInArrow(bucket_sums, _SUMS).unionByName(
+    # what a bucket sends back is packed, too: one row for each part of the texts
+    back = grouped(met).mapInArrow(bucket_sums, "part int, m int, data binary")
+    back = back.repartition("part").sortWithinPartitions("part")
+    losses = back.mapInArrow(text_sums, _SUMS).unionByName(
         texts.select("text", "text_key").mapInArrow(common_sums, _SUMS)
     )
     losses = staged(losses.groupBy("text_key").agg(*(F.sum(c).alias(c) for c in ("n", "target", "background"))))
