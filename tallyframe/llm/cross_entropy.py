@@ -534,6 +534,20 @@ def corpus_scored(
     met = packed.select("*", *none).unionByName(rare, allowMissingColumns=True)
 
     def bucket_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            """Sums by text over the buckets at hand, a row for each part of the texts."""
+            keys, *sums = _sums(*map(np.concatenate, zip(*held)))
+            group = (W.mix(keys.view(np.uint64)) % np.uint64(routes.buckets)).astype(np.int32)
+            order = np.argsort(group, kind="stable")  # keys ascend, so they do within a group
+            cuts = np.flatnonzero(np.diff(group[order])) + 1
+            parts = [x for x in np.split(order, cuts) if len(x)]
+            data = [_pack([np.diff(keys[x], prepend=np.int64(0)), sums[0][x], *(c[x].view(np.int64) for c in sums[1:])]) for x in parts]
+            return pa.record_batch(
+                [pa.array([group[x[0]] for x in parts], pa.int32()), pa.array([len(x) for x in parts], pa.int32()), pa.array(data, pa.binary())],
+                names=["part", "m", "data"],
+            )
+
+        held: list[tuple[np.ndarray, ...]] = []
         for _, rows in _by_bucket(batches):
             ((*lengths, data),) = (r[:5] for r in rows if r[0] is not None)
             own = Bucket.unpacked(lengths, data)
@@ -541,22 +555,19 @@ def corpus_scored(
             low = low[np.argsort(low[:, 0])]
             target, background = counts.bucket_losses(own, tuple(low.T))
             pair = np.repeat(np.arange(len(own.word)), own.rows)
-            sums = [np.bincount(own.at, x, len(own.keys)) for x in (own.n, own.n * target[pair], own.n * background[pair])]
-            group = (W.mix(own.keys.view(np.uint64)) % np.uint64(routes.buckets)).astype(np.int32)
-            order = np.argsort(group, kind="stable")  # keys ascend, so they do within a group
-            cuts = np.flatnonzero(np.diff(group[order])) + 1
-            parts = [x for x in np.split(order, cuts) if len(x)]
-            data = [_pack([np.diff(own.keys[x], prepend=np.int64(0)), *(c[x].astype(float).view(np.int64) for c in sums)]) for x in parts]
-            yield pa.record_batch(
-                [pa.array([group[x[0]] for x in parts], pa.int32()), pa.array([len(x) for x in parts], pa.int32()), pa.array(data, pa.binary())],
-                names=["part", "m", "data"],
-            )
+            held.append((own.keys, *(np.bincount(own.at, x, len(own.keys)) for x in (own.n, own.n * target[pair], own.n * background[pair]))))
+            if sum(len(x[0]) for x in held) > _CHUNK:
+                yield flush(held)
+                held = []
+        if held:
+            yield flush(held)
 
     def text_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
             parts = [_unpack(data, [m] * 4) for m, data in rows]
-            steps, *sums = zip(*parts)
-            yield _loss_rows(*_sums(np.concatenate([np.cumsum(x) for x in steps]), *(np.concatenate(x).view(float) for x in sums)))
+            steps, n, *sums = (list(x) for x in zip(*parts))
+            keys = np.concatenate([np.cumsum(x) for x in steps])
+            yield _loss_rows(*_sums(keys, np.concatenate(n), *(np.concatenate(x).view(float) for x in sums)))
 
     def common_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
