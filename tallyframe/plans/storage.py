@@ -132,22 +132,52 @@ def append_log(spark, folder):
     return rounded(log.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 2)
 
 
-@query("file_fingerprint")
+# The files of the folder that the tables are from, found by the rows of one of them.
+_FILES = """
+home as (select regexp_extract(file_name, '^(.*)/', 1) as dir
+         from parquet_file_metadata('/root/testdata/sf*/lineitem.parquet')
+         where num_rows = (select count(*) from lineitem)),
+files as (select regexp_extract(filename, '([^/]+)$', 1) as file, size::bigint as length, last_modified, content
+          from read_blob('/root/testdata/sf*/*.parquet')
+          where regexp_extract(filename, '^(.*)/', 1) in (select dir from home))"""
+
+
+def _name():
+    return F.regexp_extract("path", "([^/]+)$", 1).alias("file")
+
+
+@query("file_fingerprint", f"""
+with {_FILES}
+select file, sha256(content) as sha256, length, floor(epoch(last_modified))::bigint as mtime from files""")
 def file_fingerprint(spark, folder):
     out = files.fingerprints(spark, f"{folder}/*.parquet")
-    return out.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "sha256", "length")
+    return out.select(_name(), "sha256", "length", F.floor("mtime").cast("long").alias("mtime"))
+
+
+@query("file_fingerprint_tree", f"""
+with {_FILES}
+select file, case when length <= 10000 then sha256(content) else
+         sha256(unhex(list_aggregate(list_transform(range(0, length, 10000), lambda i :
+           sha256(unhex(substr(hex(content), 2 * i + 1, 20000)))), 'string_agg', ''))) end as sha256
+from files where length <= 500000""")
+def file_fingerprint_tree(spark, folder):
+    """The same with ranges of 10,000 bytes, for files that plain SQL can cut."""
+    small = files.file_times(spark, f"{folder}/*.parquet").filter("length <= 500000")
+    return files.digests(small, 10_000).select(_name(), "sha256")
 
 
-@query("file_change_detect")
+@query("file_change_detect", f"""
+with {_FILES}
+select file, length between 50000 and 499999 as changed, length < 500000 as opened from files""")
 def file_change_detect(spark, folder):
-    """Against a catalog in which small files have an older time and middling ones another hash."""
-    now = files.fingerprints(spark, f"{folder}/*.parquet")
-    older = F.when(F.col("length") < 50_000, F.col("mtime") - 60).when(
-        F.col("length") < 500_000, F.col("mtime") - 90).otherwise(F.col("mtime"))
-    other = F.when(F.col("length").between(50_000, 499_999), F.lit("stale")).otherwise(F.col("sha256"))
-    known = now.select("path", older.alias("mtime"), other.alias("sha256"))
-    out = files.detect_changes(now, known)
-    return out.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "changed")
+    """Against a catalog in which small files have an older time, middling ones another
+    hash, too, and large ones the time they have; so these are never opened, here or there."""
+    now = files.file_times(spark, f"{folder}/*.parquet")
+    small = files.digests(now.filter("length < 50000")).select("path", F.col("mtime") - 60, "sha256")
+    middling = now.filter("length between 50000 and 499999").select("path", F.col("mtime") - 90, F.lit("stale"))
+    large = now.filter("length >= 500000").select("path", "mtime", F.lit("not looked at"))
+    known = small.union(middling).union(large).toDF("path", "mtime", "sha256")
+    return files.check_files(spark, f"{folder}/*.parquet", known).select(_name(), "changed", "opened")
 
 
 _SYNC = {

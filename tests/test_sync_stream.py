@@ -153,3 +153,71 @@ def test_fixed_cooldown(spark):
     finally:
         spark.conf.set(provider, before)
 
+
+
+def test_tree_digest_of_ranges(spark, tmp_path):
+    """Files of one and of many ranges, odd names included; Spark lists no empty file."""
+    import hashlib
+
+    data = {"empty": b"", "one": b"x" * 10, "edge": b"y" * 1000, "more": bytes(range(256)) * 13, "a b é%20.csv": b"z" * 2501}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    times = files.file_times(spark, str(tmp_path))
+    got = {os.path.basename(r["path"]): r["sha256"] for r in files.digests(times, 1000).collect()}
+
+    def want(content):
+        parts = [hashlib.sha256(content[i : i + 1000]).digest() for i in range(0, max(len(content), 1), 1000)]
+        return parts[0].hex() if len(parts) == 1 else hashlib.sha256(b"".join(parts)).hexdigest()
+
+    assert got == {n: want(c) for n, c in data.items() if c}
+
+
+def test_file_of_over_two_gigabytes(spark, tmp_path):
+    import hashlib
+
+    with open(tmp_path / "huge", "wb") as f:
+        f.truncate((2 << 30) + 5)
+        f.seek((2 << 30) + 4)
+        f.write(b"!")
+    row = files.fingerprints(spark, str(tmp_path)).first()
+    blank = hashlib.sha256(bytes(files.RANGE)).digest()
+    last = hashlib.sha256(bytes(4) + b"!").digest()
+    assert row["length"] == (2 << 30) + 5
+    assert row["sha256"] == hashlib.sha256(blank * ((2 << 30) // files.RANGE) + last).hexdigest()
+
+
+def test_unmoved_files_are_not_opened(spark, tmp_path):
+    for name in ("same", "touched", "edited"):
+        write(tmp_path / name, name)
+    known = spark.createDataFrame(files.fingerprints(spark, str(tmp_path)).drop("length").collect())
+    # a hash that no content has: only a file that is opened can differ from it
+    known = known.withColumn("sha256", F.when(F.col("path").endswith("same"), F.lit("never")).otherwise(F.col("sha256")))
+    touch(tmp_path / "touched", 60)
+    write(tmp_path / "edited", "other")
+    touch(tmp_path / "edited", 60)
+    got = {os.path.basename(r["path"]): (r["changed"], r["opened"]) for r in files.check_files(spark, str(tmp_path), known).collect()}
+    assert got == {"same": (False, False), "touched": (False, True), "edited": (True, True)}
+    plan = files.check_files(spark, str(tmp_path), known)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
+def test_a_job_that_dies_before_the_switch_leaves_the_old_rows(spark, monkeypatch):
+    root = scratch_path(spark, "records")
+    rows = lambda n: records.to_documents(spark.range(n).toDF("ID"), "d", ["ID"])
+    assert records.read_snapshot(spark, root, "d").count() == 0
+    records.replace_snapshot(rows(3), root, "d")
+    pinned = records.read_snapshot(spark, root, "d")
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(records, "_commit", dies)
+        with pytest.raises(RuntimeError):
+            records.replace_snapshot(rows(5), root, "d")
+    assert records.read_snapshot(spark, root, "d").count() == 3
+    records.replace_snapshot(rows(7), root, "d")
+    assert (pinned.count(), records.read_snapshot(spark, root, "d").count()) == (3, 7)
+    kept = [records.replace_snapshot(rows(n), root, "d") for n in (1, 2, 4)]
+    assert [os.path.isdir(p) for p in kept] == [False, True, True]
+    assert records.read_snapshot(spark, root, "d").count() == 4
