@@ -25,8 +25,10 @@ from tallyframe.functions.vocabulary import (
 # Columns of one aggregate.  Wider tables are read in several aggregates of the
 # same formulas, each over its own columns, as generated code grows with its width.
 BATCH = 40
-# relative error of the distinct sketch
-SKETCH = 0.01
+WIDE_CATEGORY = 30  # distinct values beyond which the audit calls a category wide
+# Relative error of the distinct sketch.  A sketch is 1 / SKETCH^2 registers of
+# aggregation buffer for each column; what it can't decide is counted exactly.
+SKETCH = 0.05
 _ID_END = re.compile(rf"(^|[_\sa-z])({'|'.join(IDENTIFIER_ENDINGS)})s?$", re.IGNORECASE)
 
 
@@ -193,6 +195,21 @@ def _near(estimate: int, threshold: float) -> bool:
     return abs(estimate - threshold) <= 15 * SKETCH * max(threshold, estimate) + 1
 
 
+def _thresholds(name: str, kind: T.DataType, s: Mapping) -> list[float]:
+    """The distinct counts at which a rule about this column turns."""
+    n = s["n_rows"]
+    if named_like_identifier(name) or not isinstance(kind, (T.StringType, T.IntegralType)):
+        return []
+    out: list[float] = []
+    if s["boolean_like"]:
+        out.append(2)
+    if any(h in re.sub("[^a-z0-9]", "", name.lower()) for h in UNIQUE_HINTS):
+        out.append(n)
+    if isinstance(kind, T.StringType):
+        out += [WIDE_CATEGORY, max(n / 2, 50)]
+    return out
+
+
 def _role(name: str, kind: T.DataType, s: Mapping, n_distinct: int) -> str:
     n = s["n_rows"]
     bare = re.sub("[^a-z0-9]", "", name.lower())
@@ -223,11 +240,8 @@ def profile(df: DataFrame) -> Profile:
     stats = {r["column"]: r.asDict() for r in column_stats(df).collect()}
     n = next(iter(stats.values()))["n_rows"]
     unsure = [
-        c
-        for c, s in stats.items()
-        if not named_like_identifier(c)
-        and any(_near(s["n_distinct"], t) for t in (2, 30, 50, n / 2, n))
-        and isinstance(df.schema[c].dataType, (T.StringType, T.IntegralType))
+        c for c, s in stats.items()
+        if any(_near(s["n_distinct"], t) for t in _thresholds(c, df.schema[c].dataType, s))
     ]
     counts = {c: s["n_distinct"] for c, s in stats.items()}
     if unsure:
@@ -305,7 +319,7 @@ def audit(df: DataFrame, info: Profile | None = None) -> DataFrame:
     high_cardinality_columns and quality_score.
     """
     info = info or profile(df)
-    wide = [c.column for c in info.columns if c.role == "categorical" and c.n_distinct > 30]
+    wide = [c.column for c in info.columns if c.role == "categorical" and c.n_distinct > WIDE_CATEGORY]
     stats = column_stats(df, distinct="none").agg(
         F.sum("n_null").alias("missing_values"),
         F.count_if(F.col("n_null") > 0).alias("missing_columns"),

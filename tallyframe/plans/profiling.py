@@ -105,6 +105,13 @@ _WIDE = 500
 _WIDE_EXPR = "case when (c_custkey + {i}) % {m} = 0 then null else c_acctbal * {i} end"
 
 
+def _wide(spark, folder):
+    return table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("Record_ID"),
+        *[F.expr(_WIDE_EXPR.format(i=i, m=i % 13 + 2)).alias(f"Col_{i}") for i in range(1, _WIDE + 1)],
+    )
+
+
 @query("profile_wide", "with t as (select c_custkey as \"Record_ID\", "
        + ", ".join(f'{_WIDE_EXPR.format(i=i, m=i % 13 + 2)} as "Col_{i}"' for i in range(1, _WIDE + 1))
        + " from customer)\n"
@@ -113,12 +120,43 @@ _WIDE_EXPR = "case when (c_custkey + {i}) % {m} = 0 then null else c_acctbal * {
          min("Col_{c}") = max("Col_{c}") as constant, count(distinct "Col_{c}") as n_distinct from t''',
                [str(i) for i in range(1, _WIDE + 1)]))
 def profile_wide(spark, folder):
+    out = profile.column_stats(_wide(spark, folder), distinct="exact")
+    return out.select("column", "n_rows", "n_null", "constant", "n_distinct")
+
+
+# texts of few and of many values, flags, targets and amounts, by turns
+_KINDS = {
+    "Text_{i}": ("case when (c_custkey + {i}) % 7 = 0 then null else 'v' || cast(c_custkey % ({i} + 40) as {s}) end",
+                 "case when count(distinct \"{c}\") < 0.5 * count(*) or count(distinct \"{c}\") <= 50 then 'categorical' else 'text' end"),
+    "Note_{i}": ("cast(c_custkey * {i} as {s}) || 'n'",
+                 "case when count(distinct \"{c}\") < 0.5 * count(*) or count(distinct \"{c}\") <= 50 then 'categorical' else 'text' end"),
+    "Flag_{i}": ("case when (c_custkey + {i}) % 5 = 0 then 'Yes' when (c_custkey + {i}) % 5 = 1 then null else 'No' end", "'boolean'"),
+    "Target_{i}": ("c_acctbal * {i}", "'target'"),
+    "Amount_{i}": ("case when c_custkey % ({i} + 1) = 0 then null else c_custkey * {i} end", "'numeric'"),
+}
+
+
+def _wide_kinds(text: str) -> dict[str, tuple[str, str]]:
+    """Name: (expression, role in SQL) of 500 columns."""
+    out = {}
+    for i in range(1, _WIDE // len(_KINDS) + 1):
+        for name, (value, role) in _KINDS.items():
+            c = name.format(i=i)
+            out[c] = (value.format(i=i, s=text), role.format(c=c))
+    return out
+
+
+@query("profile_wide_roles", "with t as (select c_custkey as \"Record_ID\", "
+       + ", ".join(f'{e} as "{c}"' for c, (e, _) in _wide_kinds("varchar").items())
+       + " from customer)\nselect 'Record_ID' as \"column\", 'identifier' as role\nunion all\n"
+       + "\nunion all\n".join(f"select '{c}', {role} from t" if "(" in role else f"select '{c}', {role}"
+                              for c, (_, role) in _wide_kinds("varchar").items()))
+def profile_wide_roles(spark, folder):
+    """Roles of 501 columns."""
     df = table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("Record_ID"),
-        *[F.expr(_WIDE_EXPR.format(i=i, m=i % 13 + 2)).alias(f"Col_{i}") for i in range(1, _WIDE + 1)],
+        F.col("c_custkey").alias("Record_ID"), *[F.expr(e).alias(c) for c, (e, _) in _wide_kinds("string").items()]
     )
-    out = profile.column_stats(df, distinct="exact")
-    return out.select("column", "n_rows", "n_null", "constant", "n_distinct")
+    return profile.roles(df).select("column", "role")
 
 
 @query("audit_report", f"""
