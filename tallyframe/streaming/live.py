@@ -56,6 +56,29 @@ def window_totals(
     )
 
 
+def upsert_windows(totals: DataFrame, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep the totals of a stream's windows below ``folder``; read them with :func:`newest_windows`.
+
+    A trigger writes the windows that it changed, under its number, so a repeated
+    trigger changes nothing.  Windows that the watermark has passed leave the state.
+    """
+
+    def keep(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    writer = totals.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("update")
+    trigger = {"availableNow": True} if once else {"processingTime": INTERVAL}
+    return writer.trigger(**trigger).start()
+
+
+def newest_windows(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """The last state of each window (``window_start`` and ``keys``); sums, so narrow rows."""
+    found = spark.read.parquet(folder)
+    key = ["window_start", *keys]
+    rest = [c for c in found.columns if c not in (*key, "batch")]
+    return found.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*key, "last.*")
+
+
 def alert_sessions(
     df: DataFrame, keys: Sequence[str], time: str = "triggered_at", gap: str = "24 hours",
     late: str = "1 hour",

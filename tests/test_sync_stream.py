@@ -221,3 +221,20 @@ def test_a_job_that_dies_before_the_switch_leaves_the_old_rows(spark, monkeypatc
     kept = [records.replace_snapshot(rows(n), root, "d") for n in (1, 2, 4)]
     assert [os.path.isdir(p) for p in kept] == [False, True, True]
     assert records.read_snapshot(spark, root, "d").count() == 4
+
+
+def test_closed_windows_leave_the_state(spark, folder):
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    source, out, check = (scratch_path(spark, n) for n in ("events", "out", "cp"))
+    cuts = [events.agg(F.expr(f"percentile(event_id, {p})")).first()[0] for p in (0.0, 0.3, 0.6, 1.0)]
+    for low, high in zip(cuts, cuts[1:]):
+        part = events.filter((F.col("event_id") > low - (low == cuts[0])) & (F.col("event_id") <= high))
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = live.file_stream(spark, source, events.schema, files_per_trigger=1)
+    query = live.upsert_windows(live.window_totals(stream, "ts", "value", ["event_type"]), out, check, once=True)
+    query.awaitTermination()
+    key = lambda df: sorted((r["window_start"], r["event_type"], round(r["total"], 4), r["n_rows"]) for r in df.collect())
+    want = key(live.window_totals(events, "ts", "value", ["event_type"]))
+    assert key(live.newest_windows(spark, out, ["event_type"])) == want
+    held = query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+    assert 0 < held < len(want) / 2
