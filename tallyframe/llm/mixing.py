@@ -103,7 +103,7 @@ def _golden_step(n: int) -> int:
 
 
 def schedule(layout: DataFrame) -> DataFrame:
-    """place, slot, turn: the slots of the mix, and the turn of each within its source."""
+    """place, slot, turn, all_slots: the slots of the mix, the turn of each within its source, their number."""
     n = int(layout.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0])
     back = pow(_golden_step(n), -1, n) if n > 1 else 0
     cells = numbered(layout.select("place", "slots", "point"), "slots", "k")
@@ -111,7 +111,9 @@ def schedule(layout: DataFrame) -> DataFrame:
     slot = F.pmod(cell * F.lit(back).cast("decimal(19,0)"), F.lit(max(n, 1)).cast("decimal(19,0)")).cast("long")
     slots = cells.select("place", slot.alias("slot"), F.lit(1).alias("one"))
     slots = slots.withColumn("bucket", F.shiftright("slot", 12))
-    return running(slots, ["place"], "bucket", ["slot"], "one", "turn").select("place", "slot", "turn")
+    return running(slots, ["place"], "bucket", ["slot"], "one", "turn").select(
+        "place", "slot", "turn", F.lit(n).cast("long").alias("all_slots")
+    )
 
 
 def _stream(docs: DataFrame, row: Column) -> DataFrame:
@@ -127,7 +129,7 @@ def mix(docs: DataFrame, block: int = BLOCK, row: Column | None = None, **goals)
 
     Rows: source, doc_id, text_hash, row, size, copy, source_size, target, and for
     each slot that takes words of it: slot, round (how often the source was used up
-    before), taken.  A copy that is never taken has one row with slot null and
+    before), all_slots (slots of the whole mix), taken.  A copy that is never taken has one row with slot null and
     taken 0.  ``row`` tells rows of one source, id and text apart (default: not).
     """
     kinds = staged(_stream(docs, F.lit(0).cast("long") if row is None else row))
@@ -147,7 +149,7 @@ def mix(docs: DataFrame, block: int = BLOCK, row: Column | None = None, **goals)
     turns = (
         schedule(layout)
         .join(layout.select("place", "blocks"), "place")
-        .select("place", "slot", "turn", F.pmod("turn", F.greatest("blocks", F.lit(1))).alias("block"),
+        .select("place", "slot", "turn", "all_slots", F.pmod("turn", F.greatest("blocks", F.lit(1))).alias("block"),
                 _div(F.col("turn"), F.greatest("blocks", F.lit(1))).alias("round"))
     )
     met = pieces.join(turns, ["place", "block"], "left")
@@ -157,27 +159,40 @@ def mix(docs: DataFrame, block: int = BLOCK, row: Column | None = None, **goals)
     high = F.least(F.col("start") + F.col("size"), _block_start(F.col("block") + 1), stop)
     taken = F.when(F.col("turn").isNull(), F.lit(0)).otherwise(F.greatest(high - low, F.lit(0))).cast("long")
     return met.select("source", "doc_id", "text_hash", "row", "size", "copy", "source_size", "target", "slot", "round",
-                      taken.alias("taken"))
+                      "all_slots", taken.alias("taken"))
 
 
 def words_taken(docs: DataFrame, block: int = BLOCK, **goals) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source of every document row."""
+    """doc_id, size, source_size, target, taken, source, first_slot of every document row.
+
+    ``first_slot`` is the place in the mix where the document first turns up; null
+    if it is never taken.
+    """
     parts = mix(docs, block, **goals)
     whole = parts.groupBy("source", "doc_id", "text_hash", "size", "copy", "source_size", "target").agg(
-        F.sum("taken").alias("taken")
+        F.sum("taken").alias("taken"), _first_slot()
     )
-    return whole.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return whole.select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
+
+
+def _first_slot() -> Column:
+    return F.min(F.when(F.col("taken") > 0, F.col("slot"))).alias("first_slot")
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, **goals) -> DataFrame:
-    """The mix as documents: a row for each time that words of a document are taken.
+    """The mix as documents, in slot order: a row for each time that words of a document are taken.
 
     A text taken in part keeps its first words, joined by blanks, and n_chars
-    follows.  Every copy keeps the columns of its own row.
+    follows.  Every copy keeps the columns of its own row.  Slots hold equal numbers
+    of words, so each partition is an equal run of them and no sample is needed to
+    find the bounds.
     """
     keys = ["source", "doc_id", "text_hash", "row"]
-    rounds = mix(docs, block, row_hash(docs), **goals).groupBy(*keys, "size", "copy", "round").agg(F.sum("taken").alias("taken"))
-    rounds = rounds.filter("taken > 0").select(*(F.col(k).alias(f"m_{k}") for k in keys), "size", "taken")
+    rounds = mix(docs, block, row_hash(docs), **goals).groupBy(*keys, "size", "copy", "round", "all_slots").agg(
+        F.sum("taken").alias("taken"), _first_slot()
+    )
+    rounds = rounds.filter("taken > 0").select(*(F.col(k).alias(f"m_{k}") for k in keys), "size", "taken",
+                                               "first_slot", "all_slots")
     base = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("d"))
     base = base.select("d", F.col("d.source").alias("source"), F.col("d.doc_id").alias("doc_id"),
                        F.xxhash64("d.text").alias("text_hash"), row_hash(docs, "d.").alias("row")).dropDuplicates(keys)
@@ -189,4 +204,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, **goals) -> DataFrame:
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("taken") == F.col("size"), F.col("d.n_chars")).otherwise(F.length("cut"))
     types = dict(docs.dtypes)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = F.floor(F.col("first_slot") / F.col("all_slots") * parts).cast("int")
+    met = met.repartitionById(parts, run).sortWithinPartitions("first_slot", "m_doc_id")
     return met.select(*(new.get(c, F.col(f"d.`{c}`")).cast(types[c]).alias(c) for c in docs.columns))

@@ -45,7 +45,7 @@ query("op5_toxicity")(_scores(kneser_ney, "toxic", 5, 0, 0.5))
 query("op9_quality_classifier")(_scores(nbsvm, "quality", 4, 2, 0.7))
 
 
-_MIX = r"""
+_MIX = rf"""
 with d as (
   select doc_id, source, coalesce(text, '') as body,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size
@@ -64,7 +64,7 @@ with d as (
          as filled
   from w
 ), t as (
-  select source, source_size,
+  select source, source_size, place,
          case when filled then cap::double
               else (goal - coalesce(sum(case when filled then cap end) over (), 0)::bigint)
                    / (sum(case when not filled then w end) over ()) * w end as target
@@ -75,13 +75,49 @@ with d as (
            order by md5(coalesce(doc_id::varchar, '')), doc_id, size
            rows between unbounded preceding and 1 preceding), 0)::bigint as start
   from d join t on d.source is not distinct from t.source
+), b as (  -- blocks of a source: the first ``larger`` ones have a word more
+  select source, source_size, place, round(target)::bigint as wanted, ceil(source_size / {mixing.BLOCK})::bigint as blocks
+  from t
+), c as (
+  select *, source_size // greatest(blocks, 1) as length, source_size % greatest(blocks, 1) as larger,
+         wanted // greatest(source_size, 1) as rounds, wanted % greatest(source_size, 1) as rest
+  from b
+), e as (
+  select *, case when source_size = 0 then 0 else rounds * blocks + case when rest = 0 then 0
+              when rest - 1 < larger * (length + 1) then (rest - 1) // (length + 1) + 1
+              else larger + (rest - 1 - larger * (length + 1)) // length + 1 end end::bigint as slots
+  from c
+), q as (
+  select *, coalesce(sum(slots) over (order by place rows between unbounded preceding and 1 preceding), 0)::bigint as point
+  from e
+), n as (select sum(slots)::bigint as n from e),
+g as (
+  select n, coalesce((
+    select x from (select d, unnest([near + d, near - d]) as x
+                   from (select unnest(range(0, 1000)) as d, round(n * (sqrt(5) - 1) / 2)::bigint as near))
+    where x > 0 and x <= n and gcd(x, n) = 1 order by d, x desc limit 1), 1) as g from n
+), lattice as (
+  select slot, ((slot::hugeint * g) % n)::bigint as cell from (select unnest(range(n)) as slot, g, n from g)
+), turns as (
+  select source, blocks, slots, rest, source_size, length, larger, slot,
+         row_number() over (partition by place order by slot) - 1 as turn
+  from lattice join q on cell >= point and cell < point + slots
+), firsts as (  -- the first slot of each block, and the words of the source that it holds
+  select source, slot, turn * length + least(turn, larger) as low,
+         least((turn + 1) * length + least(turn + 1, larger),
+               case when turn = slots - 1 and rest > 0 then rest else source_size end) as high
+  from turns where turn < blocks
+), met as (
+  select p.source, start, min(slot) as first_slot
+  from p join firsts on p.source is not distinct from firsts.source and size > 0 and start < high and start + size > low
+  group by p.source, start
 )
-select doc_id, size::bigint as size, source_size, target,
+select p.doc_id, size::bigint as size, source_size, target,
        case when size = 0 then 0 else
          (wanted // source_size) * size
-         + greatest(0, least(start + size, wanted % source_size) - start) end::bigint as taken,
-       source
-from p
+         + greatest(0, least(p.start + size, wanted % source_size) - p.start) end::bigint as taken,
+       p.source, first_slot
+from p left join met on size > 0 and p.start = met.start and p.source is not distinct from met.source
 """
 
 

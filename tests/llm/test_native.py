@@ -45,8 +45,20 @@ def test_mix_meets_its_targets(spark, block):
 
 def test_mix_is_the_sql_on_hard_rows(spark):
     docs = hard(spark)
-    got = mixing.words_taken(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
-    assert rows(got) == duck(docs, queries.SQL["op1_mixing"])
+    assert rows(mixing.words_taken(docs)) == duck(docs, queries.SQL["op1_mixing"])
+    many = spark.range(4000).selectExpr("id as doc_id", "repeat('w ', int(id % 300)) as text", "concat('s', id % 5) as source")
+    assert rows(mixing.words_taken(many)) == duck(many, queries.SQL["op1_mixing"])
+
+
+def test_mixed_documents_come_in_slot_order(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "repeat('w ', 50) as text", "concat('s', id % 3) as source")
+    first = {r["doc_id"]: r["first_slot"] for r in mixing.words_taken(docs, 100).collect()}
+    seen = {}
+    for at, r in enumerate(mixing.mixed_documents(docs, 100).collect()):
+        seen.setdefault(r["doc_id"], at)
+    assert len(seen) > 1000 and set(seen) == {d for d, s in first.items() if s is not None}
+    order = [first[d] for d in sorted(seen, key=seen.get)]
+    assert order == sorted(order)
 
 
 def test_mix_spreads_sources_over_the_slots(spark):
