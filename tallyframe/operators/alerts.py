@@ -167,15 +167,32 @@ def sessions(
     Alerts of one clock hour always belong together (``hours`` is at least 1),
     so the log is first reduced to one row per key and hour.
     """
+    return runs(hourly(log, key, time), hours, key)
+
+
+def hourly(log: DataFrame, key: Sequence[str] = ALERT_KEY, time: str = "triggered_at") -> DataFrame:
+    """First, last and number of alerts per key and clock hour; alerts without a time are left out."""
+    return (
+        log.filter(F.col(time).isNotNull())
+        .withColumn("_hour", _hour(F.col(time)).cast("long"))
+        .groupBy(*key, "_hour")
+        .agg(F.min(time).alias("_from"), F.max(time).alias("_to"), F.count("*").alias("_n"))
+    )
+
+
+def merged_hours(hours: DataFrame, key: Sequence[str] = ALERT_KEY) -> DataFrame:
+    """Rows of :func:`hourly` of several parts of a log as those of all of it."""
+    return hours.groupBy(*key, "_hour").agg(
+        F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.sum("_n").alias("_n")
+    )
+
+
+def runs(per_hour: DataFrame, hours: int = DEFAULT_HOURS, key: Sequence[str] = ALERT_KEY) -> DataFrame:
+    """The sessions of a log that is given by its rows of :func:`hourly`."""
     if hours < 1:
         raise ValueError("sessions need a gap of at least one hour")
     key = list(key)
     gap = F.expr(f"INTERVAL {int(hours)} HOURS")
-    per_hour = (
-        log.withColumn("_hour", _hour(F.col(time)))
-        .groupBy(*key, "_hour")
-        .agg(F.min(time).alias("_from"), F.max(time).alias("_to"), F.count("*").alias("_n"))
-    )
     w = Window.partitionBy(*key).orderBy("_hour")
     opens = F.coalesce(F.col("_from") - F.lag("_to").over(w) > gap, F.lit(True))
     numbered = per_hour.withColumn("_open", opens.cast("int")).withColumn(

@@ -193,41 +193,46 @@ def drop_months(df: DataFrame, date: str, month: str) -> DataFrame:
     )
 
 
-def _two_months(df: DataFrame, date: str, column: str, month: str, dims: Sequence[str]) -> DataFrame:
-    """Sums of both months per combination of the dimensions."""
-    bounds = drop_months(df, date, month).select(F.struct("now", "before").alias("s")).scalar()
+def _two_months(
+    df: DataFrame, date: str, column: str, month: str, dims: Sequence[str]
+) -> tuple[Column, Column, DataFrame]:
+    """Both months, as literals, and their sums per combination of the dimensions.
+
+    The months are found first, from the dates alone.  Between them no month has
+    rows, so one range, known before the scan, holds just the rows of both.
+    """
+    found = drop_months(df, date, month).first()
+    now, before = (F.lit(found[c]).cast("date") for c in ("now", "before"))
+    there = [m for m in (found["before"], found["now"]) if m]
+    if there:
+        kept = df.filter((F.col(date) >= F.lit(there[0])) & (F.col(date) < F.add_months(F.lit(there[-1]), 1)))
+    else:
+        kept = df.filter(F.lit(False))
     m = period_start(F.col(date), "month")
-    # the upper bound is known before the query runs, so it can prune the scan
-    kept = df.filter(F.col(date) < F.add_months(F.to_date(F.lit(f"{month}-01")), 1))
-    return (
+    sums = (
         kept.select(*dims, m.alias("_m"), F.col(column).alias("_v"))
-        .withColumn("_b", bounds)
-        .filter((F.col("_m") == F.col("_b.now")) | (F.col("_m") == F.col("_b.before")))
         .groupBy(*dims)
         .agg(
-            sum0(F.when(F.col("_m") == F.col("_b.before"), F.col("_v"))).alias("before"),
-            sum0(F.when(F.col("_m") == F.col("_b.now"), F.col("_v"))).alias("now"),
+            sum0(F.when(F.col("_m") == before, F.col("_v"))).alias("before"),
+            sum0(F.when(F.col("_m") == now, F.col("_v"))).alias("now"),
         )
     )
+    return now, before, sums
 
 
 def drop_total(df: DataFrame, date: str, column: str, month: str) -> DataFrame:
     """Total change of a month against the previous month that has rows."""
-    bounds = drop_months(df, date, month)
-    sums = _two_months(df, date, column, month, [])
+    now, before, sums = _two_months(df, date, column, month, [])
     change = F.col("now") - F.col("before")
-    return (
-        sums.withColumn("_b", bounds.select(F.struct("now", "before").alias("s")).scalar())
-        .select(
-            F.date_format("_b.now", "yyyy-MM").alias("period"),
-            F.date_format("_b.before", "yyyy-MM").alias("previous_period"),
-            F.col("now").alias("total"),
-            F.col("before").alias("previous_total"),
-            change.alias("change"),
-            F.when(F.col("before") > 0, growth_pct(F.col("now"), F.col("before")))
-            .otherwise(0.0)
-            .alias("change_pct"),
-        )
+    return sums.select(
+        F.date_format(now, "yyyy-MM").alias("period"),
+        F.date_format(before, "yyyy-MM").alias("previous_period"),
+        F.col("now").alias("total"),
+        F.col("before").alias("previous_total"),
+        change.alias("change"),
+        F.when(F.col("before") > 0, growth_pct(F.col("now"), F.col("before")))
+        .otherwise(0.0)
+        .alias("change_pct"),
     )
 
 
@@ -238,7 +243,7 @@ def drop_drivers(
 
     A value present in one month only counts as 0 in the other.
     """
-    cells = _two_months(df, date, column, month, dims)
+    cells = _two_months(df, date, column, month, dims)[2]
     long = cells.unpivot(["before", "now"], [F.col(d).cast("string").alias(d) for d in dims],
                          "dimension", "item")
     changes = (

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tallyframe.functions.columns import needs_sanitizing, null_if_token, parse_date, parse_number
 from tallyframe.functions.quantiles import exact_quantiles
 from tallyframe.functions.vocabulary import ZERO_FILL_HINTS
-from tallyframe.operators.profile import Profile, duplicate_rows, profile
+from tallyframe.operators.profile import Profile, profile
 from tallyframe.session import scratch_path
 
 
@@ -211,9 +211,19 @@ def quality_score(n_rows: Column, n_cols: int, problems: Column) -> Column:
 
 
 def quality_report(df: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """Counts before and after cleaning and the score, as ``(metric, value)``."""
+    """Counts before and after cleaning and the score, as ``(metric, value)``.
+
+    One pass: each kind of row knows how often it occurs and its nulls, so the
+    deduplicated rows tell the counts of the raw ones, too.
+    """
     plan = plan or plan_cleaning(df)
-    texts, typed = _typed(df, plan)
+    longest = max(map(len, df.columns))
+    copies, missing = (f"{name}{'_' * longest}" for name in ("copies", "missing"))  # no column is called so
+    kinds = df.groupBy(*[_q(c).alias(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(copies))
+    nulls: Column = F.lit(0)
+    for c in df.columns:
+        nulls = nulls + _q(c).isNull().cast("int")
+    texts = null_tokens(kinds.withColumn(missing, nulls), _texts(df))
     # both states side by side, so that one pass over the deduplicated rows counts all
     both = to_dates(
         to_numbers(
@@ -222,9 +232,14 @@ def quality_report(df: DataFrame, plan: Plan | None = None) -> DataFrame:
         ),
         plan.dates,
     )
-    after = both.agg(
+    zero = F.lit(0).cast("long")
+    n = len(df.columns)
+    row = both.agg(
+        F.coalesce(F.sum(copies), zero).alias("rows_before"),
+        F.coalesce(F.sum(F.col(copies) * F.col(missing)), zero).alias("missing_before"),
+        F.coalesce(F.sum(F.col(copies) - 1), zero).alias("duplicates_removed"),
         F.count(F.lit(1)).alias("rows_after"),
-        _sum([F.count_if(_q(c).isNull()) for c in typed.columns]).alias("missing_values_fixed"),
+        _sum([F.count_if(_q(c).isNull()) for c in df.columns]).alias("missing_values_fixed"),
         _sum(
             [F.count_if(_q(c).isNull() & _q(f"raw {c}").isNotNull()) for c in plan.dates]
         ).alias("invalid_dates"),
@@ -232,17 +247,6 @@ def quality_report(df: DataFrame, plan: Plan | None = None) -> DataFrame:
             "numbers_sanitized"
         ),
         _sum([F.count_if(_q(a) > _q(b)) for a, b in plan.pairs]).alias("chronology_anomalies"),
-    ).select(F.struct("*").alias("a"))
-    n = len(df.columns)
-    row = (
-        df.agg(
-            F.count(F.lit(1)).alias("rows_before"),
-            _sum([F.count_if(_q(c).isNull()) for c in df.columns]).alias("missing_before"),
-        )
-        .withColumn("duplicates_removed", duplicate_rows(df).scalar())
-        .withColumn("_a", after.scalar())
-        .select("*", "_a.*")
-        .drop("_a")
     )
     problems = (
         F.col("missing_before")

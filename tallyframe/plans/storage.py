@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.plans.base import REGISTRY, query, rounded
 from tallyframe.plans.targets import definitions
-from tallyframe.session import scratch_path
+from tallyframe.session import scratch_path, staged
 from tallyframe.sources import catalog, files, records
 from tallyframe.sources.tables import table
 from tallyframe.streaming import live, sync
@@ -216,6 +216,47 @@ def stream_kpi(spark, folder):
     return live.newest_snapshots(spark, path)
 
 
+_AT = "1998-06-15 08:00:00"
+
+
+@query("monitor_cycle", f"""
+with ev as ({REGISTRY["kpi_evaluate_all"].sql}),
+al as (select *, case status when 'CRITICAL' then 'CRITICAL' when 'AT RISK' then 'AT_RISK' else 'TARGET_EXCEEDED' end as alert_type,
+              case status when 'CRITICAL' then 'CRITICAL' when 'AT RISK' then 'WARNING' else 'INFO' end as severity,
+              list_filter(list_transform(string_split(recipients, ','), lambda x: trim(x)), lambda x: contains(x, '@')) as to_whom
+       from ev where status in ('CRITICAL', 'AT RISK', 'EXCEEDED')),
+cd as (select al.*, coalesce(s_suppkey % 40 <= 24, false) as suppressed
+       from al left join supplier on kpi_id = 'kpi_' || s_suppkey and s_suppkey % 3 <> 0)
+select kpi_id, alert_type, severity, suppressed, not suppressed and coalesce(len(to_whom) > 0, false) as notify,
+       case when suppressed then 'Same alert within the last 24 hours'
+            when not coalesce(len(to_whom) > 0, false) then 'No recipient' end as reason,
+       case when len(to_whom) > 0 then array_to_string(to_whom, ',') end as send_to,
+       (select count(*) from supplier where s_suppkey % 3 <> 0) * 3 + count(*) over () as log_rows
+from cd""")
+def monitor_cycle(spark, folder):
+    """One cycle: evaluate all KPIs, derive alerts, hold them against the log, and add them to it.
+
+    The log has an alert of each type for two KPIs of three, up to 39 hours old.
+    """
+    path = scratch_path(spark, "alert-log")
+    kinds = F.expr("inline(array(struct('CRITICAL', 'CRITICAL'), struct('AT_RISK', 'WARNING'), struct('TARGET_EXCEEDED', 'INFO')))")
+    old = table(spark, folder, "supplier").filter("s_suppkey % 3 <> 0").select(
+        F.expr("'kpi_' || cast(s_suppkey as string)").alias("kpi_id"), kinds.alias("alert_type", "severity"),
+        F.expr(f"timestamp '{_AT}' - make_interval(0, 0, 0, 0, cast(s_suppkey % 40 as int))").alias("triggered_at"),
+    )
+    catalog.append(old, path)
+    schema = "kpi_id string, alert_type string, severity string, triggered_at timestamp"
+    _, raised = sync.monitor_cycle(
+        definitions(spark, folder), table(spark, folder, "orders"), catalog.read_log(spark, path, schema),
+        "1998-06-15", _AT, ["o_totalprice", "o_custkey", "o_orderpriority"], "o_orderdate",
+    )
+    raised = staged(raised)
+    catalog.append(raised.select("kpi_id", "alert_type", "severity", "triggered_at"), path)
+    return raised.select("kpi_id", "alert_type", "severity", "suppressed", "notify", "reason", "send_to").withColumn(
+        "log_rows", catalog.read_log(spark, path, schema).agg(F.count("*")).scalar()
+    )
+
+
 @query("stream_tumbling", """
 select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, round(sum(value), 2) as total,
        count(*) as n_rows from events group by all""")
@@ -238,14 +279,16 @@ with c as (select *, coalesce(ts - lag(ts) over (partition by user_id order by t
            from events),
 n as (select *, sum(case when near then 0 else 1 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as sid from c)
 select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_at,
-       count(*) as n_alerts
-from n group by user_id, sid having max(ts) + interval '24 hour' < (select max(ts) - interval '1 hour' from events)""")
+       count(*) as n_alerts, max(ts) + interval '24 hour' < (select max(ts) - interval '1 hour' from events) as closed
+from n group by user_id, sid""")
 def stream_sessions(spark, folder):
-    path, check = scratch_path(spark, "sessions"), scratch_path(spark, "checkpoint")
-    schema = table(spark, folder, "events").schema
-    stream = live.file_stream(spark, f"{folder}/events.parquet*", schema)
-    live.run_to_end(live.alert_sessions(stream, ["user_id"], "ts"), path, check)
-    out = spark.read.schema("user_id long, first_at timestamp, last_at timestamp, n_alerts long").parquet(path)
+    """The events arrive shuffled, in three triggers; runs that can still grow are reported as open."""
+    path, check, source = (scratch_path(spark, n) for n in ("sessions", "checkpoint", "events"))
+    events = table(spark, folder, "events")
+    events.repartition(3, F.xxhash64("event_id")).write.parquet(source)
+    stream = live.file_stream(spark, source, events.schema, files_per_trigger=1)
+    live.live_sessions(stream, ["user_id"], path, check, "ts", once=True).awaitTermination()
+    out = live.session_report(spark, path, ["user_id"])
     for c in ("first_at", "last_at"):
         out = out.withColumn(c, F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
     return out

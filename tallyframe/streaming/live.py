@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from datetime import timedelta
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -95,38 +94,89 @@ def alert_sessions(
     )
 
 
+def live_sessions(
+    stream: DataFrame, keys: Sequence[str], folder: str, checkpoint: str,
+    time: str = "triggered_at", once: bool = False,
+) -> StreamingQuery:
+    """Keeps what alert runs need of a stream; read them, open ones included, with :func:`session_report`."""
+    return monitor(stream, lambda batch, batch_id: keep_hours(batch, batch_id, keys, folder, time), checkpoint, once)
+
+
+def keep_hours(batch: DataFrame, batch_id: int, keys: Sequence[str], folder: str, time: str = "triggered_at") -> None:
+    """First, last and number of the batch's alerts per key and hour, below ``folder`` under the batch's number.
+
+    So a repeated batch changes nothing, alerts may arrive in any order, and none
+    is too late.  After each ``COMPACT`` batches the hours so far are merged.
+    """
+    spark = batch.sparkSession
+    rows = alerts.hourly(event_time(batch, time), keys, time)
+    rows.write.mode("overwrite").parquet(f"{folder}/hours/batch={batch_id}")
+    if batch_id % COMPACT == 0:
+        before = max(batch_id - COMPACT, 0)
+        parts = [f"{folder}/merged/upto={before}"] if batch_id else []
+        parts += [f"{folder}/hours/batch={i}" for i in range(before + 1 if batch_id else 0, batch_id + 1)]
+        merged = alerts.merged_hours(spark.read.schema(rows.schema).parquet(*parts), keys)
+        merged.write.mode("overwrite").parquet(f"{folder}/merged/upto={batch_id}")
+
+
+def session_report(
+    spark: SparkSession, folder: str, keys: Sequence[str], hours: int = alerts.DEFAULT_HOURS, late: str = "1 hour",
+) -> DataFrame:
+    """All alert runs so far; ``closed`` if the newest alert, less ``late``, is more than ``hours`` after the run."""
+    merged, parts = spark.read.parquet(f"{folder}/merged"), spark.read.parquet(f"{folder}/hours")
+    newest = merged.agg(F.max("upto")).first()[0]  # null if nothing has been merged but empty batches
+    done = -1 if newest is None else newest
+    kept = merged.filter(F.col("upto") == done).drop("upto").unionByName(parts.filter(F.col("batch") > done).drop("batch"))
+    per_hour = alerts.merged_hours(kept, keys)
+    end = F.col("last_at") + F.expr(f"INTERVAL {int(hours)} HOURS")
+    over = per_hour.agg(F.max("_to") - F.expr(f"INTERVAL {late}")).scalar()
+    return alerts.runs(per_hour, hours, keys).withColumn("closed", end < over)
+
+
 def live_cooldown(
     stream: DataFrame, keys: Sequence[str], folder: str, checkpoint: str,
     time: str = "triggered_at", hours: int = 24, once: bool = False,
 ) -> StreamingQuery:
     """Keeps an alert log and its verdicts up to date as alerts (``id``, keys, time) arrive.
 
-    A batch is added to the log below ``folder``; then all alerts within ``hours``
-    of it are judged again by :func:`alerts.cooldown`, so an alert that arrives
-    late also changes the verdict of the one that follows it.  Only that part of
-    the log is read.  Folders carry the batch number: a repeated batch writes the
-    same place again.  Read the result with :func:`cooldown_verdicts`.
+    The log below ``folder`` lies in folders by day (of 24 hours since 1970) and
+    batch.  A batch is added to it; then the alerts of its days, and of those that
+    ``hours`` reach from there, are judged again by :func:`alerts.cooldown`, so an
+    alert that arrives late also changes the verdict of the one that follows it.
+    A trigger lists and opens these days alone, however long the log is.  Folders
+    carry the batch number: a repeated batch writes the same place again.  Alerts
+    without a time stay in the log but have no verdict.  Read the result with
+    :func:`cooldown_verdicts`.
     """
+    hours = hours or alerts.DEFAULT_HOURS
+    reach = -(-hours // 24)
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = event_time(batch, time).select("id", *keys, time)
-        rows.write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
-        log = spark.read.parquet(f"{folder}/log").filter(F.col("batch") <= batch_id)
-        ends = log.filter(F.col("batch") == batch_id).agg(F.min(time).alias("low"), F.max(time).alias("high")).first()
-        if ends["low"] is None:
+        day = F.floor(F.unix_seconds(F.col(time)) / 86400).cast("long")
+        rows = event_time(batch, time).select("id", *keys, time, day.alias("day"), F.lit(batch_id).cast("long").alias("batch"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(
+            f"{folder}/log"
+        )
+        touched = {r[0] for r in rows.select("day").distinct().collect()} - {None}
+        if not touched:
             return
-        span = timedelta(hours=hours)
-        # verdicts look back ``hours`` from alerts up to ``hours`` after the batch
-        near = log.filter(F.col(time).between(ends["low"] - span, ends["high"] + span))
-        judged = alerts.cooldown(near.drop("batch"), hours, keys, time)
-        judged.filter(F.col(time) >= F.lit(ends["low"])).select("id", "suppressed").write.mode("overwrite").parquet(
+        later = {d + j for d in touched for j in range(reach + 1)}
+        near = later | {d - j for d in touched for j in range(reach + 1)}
+        log = log_days(batch.sparkSession, folder, rows.schema, near).filter(F.col("batch") <= batch_id)
+        judged = alerts.cooldown(log.drop("batch"), hours, keys, time)
+        judged.filter(F.col("day").isin(*later)).select("id", "suppressed").write.mode("overwrite").parquet(
             f"{folder}/verdicts/batch={batch_id}"
         )
 
     return monitor(stream, judge, checkpoint, once)
 
 
+def log_days(spark: SparkSession, folder: str, schema: T.StructType, days: Iterable[int]) -> DataFrame:
+    """The alerts of some days of a live log; the folders of other days are not listed.  One day at least must be there."""
+    wanted = ",".join(str(d) for d in sorted(days))
+    return spark.read.schema(schema).option("basePath", f"{folder}/log").parquet(f"{folder}/log/day={{{wanted}}}")
+
+
 def cooldown_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """``id, suppressed`` of every alert so far, by its newest verdict."""
     found = spark.read.parquet(f"{folder}/verdicts")

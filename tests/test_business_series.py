@@ -86,6 +86,19 @@ def test_drop_compares_with_the_previous_month_that_has_rows(spark):
     assert (total["period"], total["previous_period"], total["change"]) == ("2024-03", "2024-01", -70.0)
     drivers = {r["dimension"]: (r["item"], r["change"]) for r in biz.drop_drivers(df, "d", "v", "2024-03", ["product", "region"]).collect()}
     assert drivers == {"product": ("x", -80.0), "region": ("s", -50.0)}
+    gone = biz.drop_total(df, "d", "v", "2024-02").first()
+    assert (gone["period"], gone["previous_period"], gone["change"]) == (None, "2024-01", -150.0)
+    none = biz.drop_total(df, "d", "v", "2023-05").first()
+    assert (none["period"], none["previous_period"], none["total"], none["change_pct"]) == (None, None, 0.0, 0.0)
+    assert biz.drop_drivers(df, "d", "v", "2023-05", ["product"]).count() == 0
+
+
+def test_drop_reads_the_range_of_its_months(spark, tmp_path):
+    rows = [(DAY(2024, m, 3), "x", 1.0) for m in range(1, 10)]
+    spark.createDataFrame(rows, "d date, product string, v double").write.parquet(str(tmp_path / "t"))
+    plan = biz.drop_drivers(spark.read.parquet(str(tmp_path / "t")), "d", "v", "2024-05", ["product"])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(d,2024-04-01)" in text and "LessThan(d,2024-06-01)" in text
 
 
 def test_profit_and_orders(spark):

@@ -142,6 +142,40 @@ def test_live_cooldown_in_any_order(spark, order):
     assert got == [False, True, True, False]
 
 
+def test_live_log_lies_by_day(spark):
+    """Only the wanted days are opened; a repeated batch writes the same place again."""
+    stream, out = _alert_files(spark, (0, 20, 40, 70), (0, 1, 2, 3)), scratch_path(spark, "out")
+    live.live_cooldown(stream, alerts.ALERT_KEY, out, scratch_path(spark, "cp"), once=True).awaitTermination()
+    schema = spark.read.parquet(f"{out}/log").schema
+    first = (dt.date(2026, 1, 1) - dt.date(1970, 1, 1)).days
+    assert sorted(r["id"] for r in live.log_days(spark, out, schema, [first]).collect()) == [0, 1]
+    files = live.log_days(spark, out, schema, [first + 1, first + 2, first + 9]).inputFiles()
+    assert len(files) == 2 and not any(f"day={first}/" in f for f in files)
+
+
+def test_sessions_report_open_runs(spark, monkeypatch):
+    """Batches in any order, one of them repeated, some empty; merged after each two."""
+    monkeypatch.setattr(live, "COMPACT", 2)
+    base = dt.datetime(2026, 1, 1)
+    stamps = [(i, i % 3, base + dt.timedelta(hours=i * 31 % 400, seconds=i)) for i in range(90)] + [(90, 0, None)]
+    log = spark.createDataFrame(stamps, "id long, k int, triggered_at timestamp")
+    folder = scratch_path(spark, "runs")
+    for batch in (0, 1, 2, 3, 3, 4, 5, 5):
+        live.keep_hours(log.filter(F.col("id") % 5 == (4 - batch) % 7), batch, ["k"], folder)
+    got = sorted(tuple(r) for r in live.session_report(spark, folder, ["k"], 5).collect())
+    last = max(t for _, _, t in stamps if t)
+    want = [(*r, r["last_at"] + dt.timedelta(hours=5) < last - dt.timedelta(hours=1))
+            for r in alerts.sessions(log.filter("triggered_at is not null"), 5, ["k"]).collect()]
+    assert got == sorted(want)
+    assert any(not r[-1] for r in got) and any(r[-1] for r in got)
+
+
+def test_closed_sessions_of_a_watermark(spark):
+    stream, out = _alert_files(spark, (0, 20, 70, 71, 200), range(5)), scratch_path(spark, "out")
+    live.run_to_end(live.alert_sessions(stream, alerts.ALERT_KEY), out, scratch_path(spark, "cp"))
+    assert sorted(r["n_alerts"] for r in spark.read.parquet(out).collect()) == [2, 2]
+
+
 def test_fixed_cooldown(spark):
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
