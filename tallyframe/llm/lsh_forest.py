@@ -8,9 +8,9 @@ signature, with its neighbours in every order.  In a dense region neighbours sha
 long prefixes, in a thin one short prefixes do: the depth adapts by itself.
 
 Neighbours whose signatures agree in half of the places or more join a cluster.
-Clusters only narrow the search: within a cluster, every two sets whose
-components still differ are compared in full, so links do not depend on which
-neighbours met.  A cluster with more shingles than ``BLOCK`` is cut into blocks and
+Clusters only narrow the search: within a cluster, two sets whose components still
+differ are compared in full if they share one of their rarest shingles, as linked
+sets must, so links do not depend on which neighbours met.  A cluster with more shingles than ``BLOCK`` is cut into blocks and
 each two blocks are a task; tasks return forest edges only, never all pairs.
 Neighbours are compared over the bounds of range partitions too.  Sets with a
 Jaccard similarity of 0.75 share two leading MinHashes in at least one of 20 orders
@@ -42,6 +42,7 @@ SIMILAR = 75  # percent
 TREES, DEPTH = 20, 4
 NEIGHBOURS = 4  # compared on either side, in each order
 BLOCK = 2_000_000  # shingles of a block
+COMPARED = 64  # sets compared with one before joined ones are left out again
 BROADCAST_IDS = 1_000_000
 _HASHES = TREES * DEPTH
 _A = W.mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -166,33 +167,70 @@ def _near(ordered: DataFrame) -> DataFrame:
     return met.unionByName(over).filter("a is not null").select("a", "b").distinct()
 
 
+def _rare(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, set) rows of the rarest shingles of each set: enough that two linked sets share one of them."""
+    order = np.argsort(np.bincount(flat), kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    ranked = rank[flat]
+    ranked = ranked[np.lexsort((ranked, owner))]
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # linked sets have SIMILAR percent of either in common, so that many can't all come after the first few
+    few = sizes + SIMILAR * sizes // -100 + 1
+    inside = place < np.repeat(few, sizes)
+    return ranked[inside], owner[inside]
+
+
 def forest_edges(sets: list[np.ndarray], left: int | None = None) -> list[tuple[int, int]]:
-    """Edges that join sets as their links do; with ``left``, links of the first ``left`` sets to the others only."""
+    """Edges that join sets as their links do; with ``left``, links of the first ``left`` sets to the others only.
+
+    Sets are compared in full if they share one of their rarest shingles and are not
+    joined yet.  Sets that share only what most of them have never meet.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
+    shingle, owner = _rare(flat, sizes)
+    _, shingle, held = np.unique(shingle, return_inverse=True, return_counts=True)
+    owner, shingle = owner[held[shingle] > 1], shingle[held[shingle] > 1]
+    first = np.searchsorted(owner, np.arange(m + 1))
+    held[held == 1] = 0
+    bounds = np.concatenate([[0], np.cumsum(held)])
+    holders = owner[np.argsort(shingle, kind="stable")]
+    joined = np.zeros(len(held), bool)  # shingles whose holders are one component
     part = np.arange(m)  # component of each set, by its least member
     mark = np.zeros(int(flat.max()) + 1, bool)
+    tried = np.zeros(m, bool)  # compared with the set at hand
     edges = []
     for u in range(m if left is None else left):
-        others = np.flatnonzero(part != part[u])
-        others = others[others > u] if left is None else others[others >= left]
-        fit = (100 * sizes[others] >= SIMILAR * sizes[u]) & (100 * sizes[u] >= SIMILAR * sizes[others])
-        others = others[fit]
-        if not len(others):
-            continue
+        mine = shingle[first[u] : first[u + 1]]
         mark[flat[starts[u] : starts[u + 1]]] = True
-        lengths = sizes[others]
-        ends = np.cumsum(lengths)
-        at = np.repeat(starts[others] - (ends - lengths), lengths) + np.arange(ends[-1])
-        common = np.add.reduceat(mark[flat[at]].astype(np.int64), ends - lengths)
+        for t in mine[~joined[mine]]:
+            others = holders[bounds[t] : bounds[t + 1]]
+            parts = part[others]
+            if (parts == parts[0]).all():
+                joined[t] = True
+                continue
+            others = others[(parts != part[u]) & ~tried[others] & (others >= (u + 1 if left is None else left))]
+            fit = (100 * sizes[others] >= SIMILAR * sizes[u]) & (100 * sizes[u] >= SIMILAR * sizes[others])
+            others = others[fit]
+            while len(others):
+                some, others = others[:COMPARED], others[COMPARED:]
+                tried[some] = True
+                lengths = sizes[some]
+                ends = np.cumsum(lengths)
+                at = np.repeat(starts[some] - (ends - lengths), lengths) + np.arange(ends[-1])
+                common = np.add.reduceat(mark[flat[at]].astype(np.int64), ends - lengths)
+                for v in some[100 * common >= SIMILAR * (lengths + sizes[u] - common)]:
+                    if part[v] != part[u]:
+                        edges.append((u, int(v)))
+                        low, high = sorted((part[u], part[v]))
+                        part[part == high] = low
+                others = others[part[others] != part[u]]  # a link may have joined many of them
         mark[flat[starts[u] : starts[u + 1]]] = False
-        for v in others[100 * common >= SIMILAR * (lengths + sizes[u] - common)]:
-            if part[v] != part[u]:
-                edges.append((u, int(v)))
-                low, high = sorted((part[u], part[v]))
-                part[part == high] = low
+        tried[:] = False
     return edges
 
 

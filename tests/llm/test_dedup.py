@@ -82,6 +82,35 @@ def test_forest_edges_across_blocks_only():
     assert {b for _, b in lsh_forest.forest_edges(sets, 2)} == {2}
 
 
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("compared", [1, 64])
+def test_forest_edges_join_what_links_join(monkeypatch, seed, compared):
+    """Groups of near copies, families with much in common, and tiny sets, against all pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(lsh_forest, "COMPARED", compared)
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(60):
+        base = np.arange(rng.integers(1, 60)) + 100 * rng.integers(0, 3)
+        own = rng.integers(1000, 1100, rng.integers(0, max(len(base) // 2, 1)))
+        sets.append(np.unique(np.concatenate([base, own])).astype(np.uint64))
+    left = seed * 5
+    linked = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+
+    def parts(edges):
+        root = list(range(len(sets)))
+        for a, b in edges:
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    for cut in (None, left):
+        pairs = [(a, b) for b in range(len(sets)) for a in range(b) if (cut is None or a < cut <= b) and linked(sets[a], sets[b])]
+        got = lsh_forest.forest_edges(sets, cut)
+        assert set(got) <= set(pairs) and parts(got) == parts(pairs)
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(120)], [(0, i) for i in range(1, 80)] + [(90, 91)]])
 def test_components(spark, edges):
     root = {x: x for e in edges for x in e if e[0] != e[1]}
