@@ -193,12 +193,13 @@ def forest_edges(sets: list[np.ndarray], left: int | None = None) -> list[tuple[
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     shingle, owner = _rare(flat, sizes)
-    _, shingle, held = np.unique(shingle, return_inverse=True, return_counts=True)
+    _, shingle = np.unique(shingle, return_inverse=True)
+    held = np.bincount(shingle)
     owner, shingle = owner[held[shingle] > 1], shingle[held[shingle] > 1]
     first = np.searchsorted(owner, np.arange(m + 1))
-    held[held == 1] = 0
-    bounds = np.concatenate([[0], np.cumsum(held)])
-    holders = owner[np.argsort(shingle, kind="stable")]
+    right = owner >= (left or 0)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(shingle[right], minlength=len(held)))])
+    holders = owner[right][np.argsort(shingle[right], kind="stable")]
     joined = np.zeros(len(held), bool)  # shingles whose holders are one component
     part = np.arange(m)  # component of each set, by its least member
     mark = np.zeros(int(flat.max()) + 1, bool)
@@ -207,13 +208,13 @@ def forest_edges(sets: list[np.ndarray], left: int | None = None) -> list[tuple[
     for u in range(m if left is None else left):
         mine = shingle[first[u] : first[u + 1]]
         mark[flat[starts[u] : starts[u + 1]]] = True
-        for t in mine[~joined[mine]]:
+        for t in mine[bounds[mine] < bounds[mine + 1]]:
             others = holders[bounds[t] : bounds[t + 1]]
-            parts = part[others]
-            if (parts == parts[0]).all():
-                joined[t] = True
+            if joined[t] and part[others[0]] == part[u]:
                 continue
-            others = others[(parts != part[u]) & ~tried[others] & (others >= (u + 1 if left is None else left))]
+            parts = part[others]
+            joined[t] = (parts == parts[0]).all()
+            others = others[(parts != part[u]) & ~tried[others] & (others > u)]
             fit = (100 * sizes[others] >= SIMILAR * sizes[u]) & (100 * sizes[u] >= SIMILAR * sizes[others])
             others = others[fit]
             while len(others):
