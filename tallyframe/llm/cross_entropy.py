@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -198,15 +199,32 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
-    """int64 columns, compressed byte place by byte place."""
-    raw = b"".join(np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
-    return pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unpack(data: bytes, lengths: list[int]) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(data, 8 * sum(lengths), "zstd", asbytes=True), np.uint8)
-    parts = np.split(raw, 8 * np.cumsum(lengths)[:-1])
-    return [np.ascontiguousarray(p.reshape(8, -1).T).view(np.int64).ravel() for p in parts]
+    """Integer columns, each byte place compressed by itself, less the high places that are 0 in a whole column."""
+    widths, places = [], []
+    for column in columns:
+        column = np.ascontiguousarray(column, np.int64)
+        low, high = int(column.min(initial=0)), int(column.max(initial=0))
+        widths.append(8 if low < 0 else -(-high.bit_length() // 8))
+        for place in column.view(np.uint8).reshape(-1, 8).T[: widths[-1]]:
+            place = place.tobytes()
+            places.append(min(place, pa.compress(place, "zstd", asbytes=True), key=len))
+    return b"".join([bytes(widths), np.array([len(p) for p in places], np.uint32).tobytes(), *places])
+
+
+def _unpack(data: bytes | pa.Buffer, lengths: list[int]) -> list[np.ndarray]:
+    data = pa.py_buffer(data)
+    widths = data.slice(0, len(lengths)).to_pybytes()
+    sizes = iter(np.frombuffer(data.slice(len(lengths), 4 * sum(widths)), np.uint32).tolist())
+    at, out = len(lengths) + 4 * sum(widths), []
+    for n, width in zip(lengths, widths):
+        column = np.zeros((n, 8), np.uint8)
+        for place in range(width):
+            size = next(sizes)
+            part = data.slice(at, size)
+            column[:, place] = np.frombuffer(part if size == n else pa.decompress(part, n, "zstd"), np.uint8)
+            at += size
+        out.append(column.view(np.int64).ravel())
+    return out
 
 
 def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -215,6 +233,28 @@ def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return found, *(np.bincount(at, v, len(found)) for v in values)
 
 
+def _run_sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As ``_sums``, of keys that ascend."""
+    first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    return key[first], *(np.add.reduceat(v, first, dtype=float) if len(first) else np.zeros(0) for v in values)
+
+
+def _order(before: np.ndarray, word: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Order by word before, word and text; sorted as one number if that fits 63 bits."""
+    rare = np.unique(np.concatenate([c[c < 0] for c in (before, word)]))
+    top = int(max(before.max(initial=0), word.max(initial=0))) + len(rare)
+    word_bits, text_bits = top.bit_length(), int(text.max(initial=0)).bit_length()
+    if 2 * word_bits + text_bits > 63:
+        return np.lexsort((text, word, before))
+    key = text.copy()
+    for column, shift in ((word, text_bits), (before, text_bits + word_bits)):
+        number = column + len(rare)
+        low = np.flatnonzero(column < 0)
+        number[low] = np.searchsorted(rare, column[low])
+        key |= number << shift
+    return np.argsort(key)
+
+
 def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Place of each wanted number in ascending ``keys``, or -1."""
     if not len(keys):
@@ -242,8 +282,9 @@ class Routes:
     def pairs(self, piece: W.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, number of the word before, number of the word; for every word."""
         found, h = _word_hashes(piece)
-        at = _found(self.words, h)
-        number = np.where(at >= 0, at, h | np.int64(-(1 << 63)))
+        own, place = np.unique(h, return_inverse=True)  # lookups in order stay in the cache
+        at = _found(self.words, own)
+        number = np.where(at >= 0, at, own | np.int64(-(1 << 63)))[place]
         before = np.empty_like(number)
         before[1:] = number[:-1]
         firsts = found.firsts(piece.texts)[:-1]
@@ -252,7 +293,8 @@ class Routes:
 
     def place(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Place among the common bigrams, or -1."""
-        return np.where((before >= 0) & (word >= 0), _found(self.common, before * self.size + word), -1)
+        key = np.where((before >= 0) & (word >= 0), before * self.size + word, -1)
+        return np.asarray(pc.index_in(pa.array(key), pa.array(self.common)).fill_null(-1))
 
     def bucket(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         """All rows of a bigram are in one bucket, and all of a rare second word."""
@@ -262,32 +304,36 @@ class Routes:
     def dealt(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(bucket, m, k, data): m bigrams of k texts; k = -1 for counts of common bigrams."""
 
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            b, m, k, data = zip(*rows) if rows else ((), (), (), ())
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            return pa.record_batch([pa.array(x, t) for x, t in zip((b, m, k, data), kinds)], names=["bucket", "m", "k", "data"])
+
+        tallies = np.zeros((2, len(self.common)))  # of all rows, of marked ones
+        by_bucket = np.min_scalar_type(self.buckets)
+
         def flush(text, before, word, keys, marked) -> pa.RecordBatch:
-            order = np.lexsort((text, word, before))
+            order = _order(before, word, text)
             text, before, word = text[order], before[order], word[order]
             new = np.ones(len(text), bool)
             new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1]) | (before[1:] != before[:-1])
             n = np.diff(np.append(np.flatnonzero(new), len(text)))
             text, before, word = text[new], before[new], word[new]
-            rows = []
             place = self.place(before, word)
             met = place >= 0
-            found, c, c_target = _sums(place[met], n[met], n[met] * marked[text[met]])
-            for b in np.unique(found % self.buckets):
-                own = found % self.buckets == b
-                rows.append((b, own.sum(), -1, _pack([found[own], c[own], c_target[own]])))
+            for tally, x in zip(tallies, (n[met], n[met] * marked[text[met]])):
+                tally += np.bincount(place[met], x, len(tally))
             text, before, word, n = text[~met], before[~met], word[~met], n[~met]
-            bucket = self.bucket(before, word)
+            bucket = self.bucket(before, word).astype(by_bucket)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            rows = []
             for own in np.split(order, cuts) if len(order) else []:
                 texts, at = np.unique(text[own], return_inverse=True)
                 steps = np.diff(before[own], prepend=np.int64(0))
                 data = _pack([steps, word[own], at, n[own], keys[texts], marked[texts]])
                 rows.append((bucket[own[0]], len(own), len(texts), data))
-            b, m, k, data = zip(*rows) if rows else ((), (), (), ())
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            return pa.record_batch([pa.array(x, t) for x, t in zip((b, m, k, data), kinds)], names=["bucket", "m", "k", "data"])
+            return batch_of(rows)
 
         for batch in batches:
             keys = np.asarray(batch.column("text_key"))
@@ -302,6 +348,11 @@ class Routes:
                     parts, held = [], 0
             if held:
                 yield flush(*map(np.concatenate, zip(*parts)), keys, marked)
+        found = np.flatnonzero(tallies[0])
+        found = found[np.argsort(found % self.buckets, kind="stable")]
+        cuts = np.flatnonzero(np.diff(found % self.buckets)) + 1
+        split = np.split(found, cuts) if len(found) else []
+        yield batch_of([(own[0] % self.buckets, len(own), -1, _pack([own, *tallies[:, own]])) for own in split])
 
 
 @dataclass
@@ -318,41 +369,52 @@ class Bucket:
     common: list[np.ndarray]  # number, count, count among marked texts
 
     @classmethod
-    def of(cls, rows: list[tuple[int, int, bytes]]) -> Bucket:
-        parts, tallies = [(np.zeros(0, np.int64),) * 5], [[np.zeros(0, np.int64)] * 3]
-        for m, k, data in rows:
+    def of(cls, rows: pa.Table) -> Bucket:
+        none = np.zeros(0, np.int64)
+        parts, texts, tallies, held = [(none,) * 5], [none], [(none,) * 3], 0
+        for m, k, data in _rows(rows, "m", "k", "data"):
             if k < 0:
                 tallies.append(_unpack(data, [m] * 3))
                 continue
             steps, word, at, n, keys, marked = _unpack(data, [m] * 4 + [k] * 2)
-            parts.append((np.cumsum(steps), word, n, keys[at], n * marked[at]))
-        before, word, n, key, n_target = (np.concatenate(x) for x in zip(*parts))
+            parts.append((np.cumsum(steps), word, n, at + held, n * marked[at]))
+            texts.append(keys)
+            held += k
+        before, word, n, at, n_target = (np.concatenate(x) for x in zip(*parts))
         del parts
-        keys, at = np.unique(key, return_inverse=True)
-        order = np.lexsort((at, word, before))
+        keys, place = np.unique(np.concatenate(texts), return_inverse=True)
+        at = place[at]
+        order = _order(before, word, at)
         before, word, n, at, n_target = before[order], word[order], n[order], at[order], n_target[order]
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1])
-        pair, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        counts = np.stack([np.bincount(pair, x, len(first)) for x in (n_target, n)])
+        first = np.flatnonzero(new)
+        counts = np.zeros((2, len(first)))
+        if len(first):
+            for count, x in zip(counts, (n_target, n)):
+                np.add.reduceat(x, first, out=count, dtype=float)
         return cls(before[first], word[first], counts, np.diff(np.append(first, len(word))), at, n, keys,
                    list(_sums(*map(np.concatenate, zip(*tallies)))))
 
-    def packed(self) -> tuple[list[int], bytes]:
+    def packed(self) -> tuple[list[int], bytes, bytes]:
+        """Lengths; what ``pairs`` reads; the rest."""
         lengths = [len(x) for x in (self.word, self.at, self.keys, self.common[0])]
         steps = np.diff(self.before, prepend=np.int64(0))
-        return lengths, _pack([steps, self.word, *self.counts, self.rows, self.at, self.n, self.keys, *self.common])
+        return lengths, _pack([steps, *self.counts, *self.common]), _pack([self.word, self.rows, self.at, self.n, self.keys])
 
-    @classmethod
-    def unpacked(cls, lengths: list[int], data: bytes) -> Bucket:
-        m, e, k, t = lengths
-        steps, word, c_target, c, rows, at, n, keys, *common = _unpack(data, [m] * 5 + [e] * 2 + [k] + [t] * 3)
-        return cls(np.cumsum(steps), word, np.stack([c_target, c]), rows, at, n, keys, common)
+    @staticmethod
+    def pairs(lengths: list[int], pairs: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Words before, counts and common bigrams only."""
+        m, _, _, t = lengths
+        steps, c_target, c, *common = _unpack(pairs, [m] * 3 + [t] * 3)
+        return np.cumsum(steps), np.stack([c_target, c]), common
 
-    def histories(self) -> tuple[np.ndarray, ...]:
-        """Words before, and of each: rows and different bigrams, in both models."""
-        target, every = self.counts
-        return _sums(self.before, target, every, target > 0, every > 0)
+    @classmethod
+    def unpacked(cls, lengths: list[int], pairs: bytes, data: bytes) -> Bucket:
+        m, e, k, _ = lengths
+        before, counts, common = cls.pairs(lengths, pairs)
+        word, rows, at, n, keys = _unpack(data, [m] * 2 + [e] * 2 + [k])
+        return cls(before, word, counts, rows, at, n, keys, common)
 
     def rare_words(self) -> tuple[np.ndarray, ...]:
         """Rare second words, with their counts in both models."""
@@ -360,29 +422,37 @@ class Bucket:
         return _sums(self.word[rare], *self.counts[:, rare])
 
 
-_PACKED = "bucket int, m int, e int, k int, t int, data binary"
+_LENGTHS = ["m", "e", "k", "t"]
+_PACKED = "bucket int, m int, e int, k int, t int, pairs binary, data binary"
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each bucket."""
     for bucket, rows in _by_bucket(batches):
-        lengths, data = Bucket.of(rows).packed()
+        lengths, *data = Bucket.of(rows).packed()
         numbers = [pa.array([x], pa.int32()) for x in (bucket, *lengths)]
-        yield pa.record_batch([*numbers, pa.array([data], pa.binary())], names=["bucket", "m", "e", "k", "t", "data"])
+        yield pa.record_batch([*numbers, *(pa.array([x], pa.binary()) for x in data)], names=["bucket", *_LENGTHS, "pairs", "data"])
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """The rows of each bucket; buckets arrive one after the other."""
-    at, rows = None, []
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of each bucket, by the first column; buckets arrive one after the other."""
+    at, held = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and row[0] != at:
-                yield at, rows
-                rows = []
-            at = row[0]
-            rows.append(row[1:])
-    if rows:
-        yield at, rows
+        own = np.asarray(batch.column(0))
+        cuts = np.flatnonzero(np.diff(own, prepend=~own[:1]))
+        for start, end in zip(cuts, [*cuts[1:], len(own)]):
+            if held and own[start] != at:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            at = int(own[start])
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
+def _rows(table: pa.Table, *columns: str) -> Iterator[tuple]:
+    """Python numbers, and bytes where they lie in Arrow's memory."""
+    return zip(*([x.as_buffer() if pa.types.is_binary(x.type) else x.as_py() for x in table.column(c)] for c in columns))
 
 
 _PARTS = ["c_target", "c", "d_target", "d"]
@@ -392,15 +462,16 @@ def _histories(frequent: bool):
     """Rows (kind, bucket, key, *_PARTS): kind 0 histories, kind 1 common bigrams (with ``frequent`` only)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, ((*lengths, data),) in _by_bucket(batches):
-            own = Bucket.unpacked(lengths, data)
-            parts = [(0, own.histories())]
+        for bucket, table in _by_bucket(batches):
+            ((*lengths, pairs),) = _rows(table, *_LENGTHS, "pairs")
+            before, (target, every), (key, c, c_target) = Bucket.pairs(lengths, pairs)
+            cut = np.searchsorted(before, 0)  # rare words are below 0
+            own = slice(cut, None) if frequent else slice(cut)
+            parts = [(0, _run_sums(before[own], target[own], every[own], target[own] > 0, every[own] > 0))]
             if frequent:
-                key, c, c_target = own.common
                 parts.append((1, (key, c_target, c, c * 0, c * 0)))
             for kind, columns in parts:
-                own = columns[0] >= 0 if frequent else columns[0] < 0
-                columns = [pa.array(x[own].astype(np.int64)) for x in columns]
+                columns = [pa.array(x.astype(np.int64)) for x in columns]
                 n = len(columns[0])
                 yield pa.record_batch(
                     [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), *columns],
@@ -419,29 +490,28 @@ class Counts:
     words: np.ndarray  # (model, word)
     histories: np.ndarray  # (rows or different bigrams, model, word)
 
-    def losses(self, counts, rows, kinds, single) -> list[np.ndarray]:
-        """Loss of bigrams under both models, from the counts of bigram, history and word."""
-        out = []
+    def loss(self, k: int, counts, rows, kinds, single) -> np.ndarray:
+        """Loss of bigrams under model ``k``, from the counts of bigram, history and word."""
+        all_rows = np.maximum(rows, 1)
+        share = np.maximum(counts - DISCOUNT, 0) / all_rows
+        rest = np.maximum(1 - (rows - DISCOUNT * kinds) / all_rows, 1e-9)
+        return -np.log(share + rest * (single + 0.5) / (self.total[k] + 0.5 * (self.distinct + 1)))
+
+    def bucket_losses(self, bucket: Bucket, rare: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
+        """Loss of each bigram of a bucket under either model; ``rare`` has the histories outside the frequent words."""
+
+        def places(number: np.ndarray, keys: np.ndarray, frequent: int) -> np.ndarray:
+            out = number.copy()
+            low = np.flatnonzero(number < 0)
+            out[low] = frequent + _found(keys, number[low])
+            return out
+
+        words, *sums = bucket.rare_words()
+        before = places(bucket.before, rare[0], self.histories.shape[-1])
+        word = places(bucket.word, words, self.words.shape[-1])
         for k in (0, 1):
-            all_rows = np.maximum(rows[k], 1)
-            share = np.maximum(counts[k] - DISCOUNT, 0) / all_rows
-            rest = np.maximum(1 - (rows[k] - DISCOUNT * kinds[k]) / all_rows, 1e-9)
-            out.append(-np.log(share + rest * (single[k] + 0.5) / (self.total[k] + 0.5 * (self.distinct + 1))))
-        return out
-
-    def bucket_losses(self, bucket: Bucket, rare: tuple[np.ndarray, ...]) -> list[np.ndarray]:
-        """Loss of each bigram of a bucket; ``rare`` has the histories outside the frequent words."""
-        before, word = bucket.before, bucket.word
-        keys, *sums = bucket.rare_words()
-        history = np.empty((4, len(before)))
-        low = before < 0
-        history[:, ~low] = self.histories.reshape(4, -1)[:, before[~low]]
-        history[:, low] = np.stack(rare[1:])[:, _found(rare[0], before[low])]
-        single = np.empty((2, len(word)))
-        low = word < 0
-        single[:, ~low] = self.words[:, word[~low]]
-        single[:, low] = np.stack(sums)[:, _found(keys, word[low])]
-        return self.losses(bucket.counts, history[:2], history[2:], single)
+            rows, kinds = (np.concatenate([self.histories[i, k], rare[1 + 2 * i + k]])[before] for i in (0, 1))
+            yield self.loss(k, bucket.counts[k], rows, kinds, np.concatenate([self.words[k], sums[k]])[word])
 
 
 _SUMS = "text_key long, n long, target double, background double"
@@ -449,17 +519,11 @@ _SUMS = "text_key long, n long, target double, background double"
 
 def _loss_rows(key, n, target, background) -> pa.RecordBatch:
     return pa.record_batch(
-        [pa.array(key), pa.array(n.astype(np.int64)), pa.array(target), pa.array(background)],
+        [pa.array(key), *(pa.array(x.astype(kind)) for x, kind in ((n, np.int64), (target, float), (background, float)))],
         names=["text_key", "n", "target", "background"],
     )
 
 
-@F.arrow_udf(LongType())
-def _word_count(texts: pa.Array) -> pa.Array:
-    counts = [W.split(piece).counts(piece.texts) for piece in W.pieces(texts)]
-    return pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
-
-
 def corpus_scored(
     docs: DataFrame, ids: DataFrame, frequent: int = FREQUENT, common: int = COMMON, sample: float = SAMPLE, bucket: int = BUCKET
 ) -> DataFrame:
@@ -470,7 +534,8 @@ def corpus_scored(
     bigrams that make up one in ``common`` of a sample.  All other bigrams are
     dealt to buckets by hash, packed with their text's hash; a bucket counts its
     bigrams, gets the counts of the rare words before them by a shuffle, and sends
-    back a sum of losses for each text, packed by parts of the texts.  Rows of one text have the same losses.
+    back a sum of losses for each text, packed by parts of the texts.  Rows of one text, told
+    apart by its 64-bit hash, have the same losses and words.
     """
     spark = docs.sparkSession
     texts = marked_documents(docs, ids).select("text", "marked", F.xxhash64("text").alias("text_key"))
@@ -509,7 +574,8 @@ def corpus_scored(
     grouped(dealt).mapInArrow(_gathered, _PACKED).write.option("compression", "none").parquet(path)
     packed = spark.read.parquet(path)
     parts = "kind int, bucket int, key long, c_target long, c long, d_target long, d long"
-    seen = packed.mapInArrow(_histories(True), parts)
+    pairs = packed.select("bucket", *_LENGTHS, "pairs")
+    seen = pairs.mapInArrow(_histories(True), parts)
     seen = seen.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in _PARTS)).toArrow()
     kind, key = np.asarray(seen.column("kind")), np.asarray(seen.column("key"))
     sums = np.stack([np.asarray(seen.column(c)).astype(float) for c in _PARTS])
@@ -524,10 +590,12 @@ def corpus_scored(
         np.array([total_target, total]), distinct,
         np.stack([np.asarray(words.column(c)).astype(float) for c in ("n_target", "n")]), histories.reshape(2, 2, -1),
     )
-    common_losses = counts.losses(tallies, counts.histories[0][:, before], counts.histories[1][:, before], counts.words[:, word])
+    common_losses = [
+        counts.loss(k, tallies[k], counts.histories[0, k][before], counts.histories[1, k][before], counts.words[k][word]) for k in (0, 1)
+    ]
 
     # a rare history may stand in several buckets; each gets its counts over all of them
-    rare = packed.mapInArrow(_histories(False), parts)
+    rare = pairs.mapInArrow(_histories(False), parts)
     same = Window.partitionBy("key")
     rare = rare.select("bucket", "key", *(F.sum(c).over(same).alias(c) for c in _PARTS))
     none = [F.lit(None).cast("long").alias(c) for c in ("key", *_PARTS)]
@@ -541,21 +609,20 @@ def corpus_scored(
             order = np.argsort(group, kind="stable")  # keys ascend, so they do within a group
             cuts = np.flatnonzero(np.diff(group[order])) + 1
             parts = [x for x in np.split(order, cuts) if len(x)]
-            data = [_pack([np.diff(keys[x], prepend=np.int64(0)), sums[0][x], *(c[x].view(np.int64) for c in sums[1:])]) for x in parts]
+            data = [_pack([np.diff(keys[x], prepend=np.int64(0)), *(c[x].view(np.int64) for c in sums)]) for x in parts]
             return pa.record_batch(
                 [pa.array([group[x[0]] for x in parts], pa.int32()), pa.array([len(x) for x in parts], pa.int32()), pa.array(data, pa.binary())],
                 names=["part", "m", "data"],
             )
 
         held: list[tuple[np.ndarray, ...]] = []
-        for _, rows in _by_bucket(batches):
-            ((*lengths, data),) = (r[:5] for r in rows if r[0] is not None)
-            own = Bucket.unpacked(lengths, data)
-            low = np.array([r[5:] for r in rows if r[0] is None], np.int64).reshape(-1, 5)
-            low = low[np.argsort(low[:, 0])]
-            target, background = counts.bucket_losses(own, tuple(low.T))
-            pair = np.repeat(np.arange(len(own.word)), own.rows)
-            held.append((own.keys, *(np.bincount(own.at, x, len(own.keys)) for x in (own.n, own.n * target[pair], own.n * background[pair]))))
+        for _, table in _by_bucket(batches):
+            ((*lengths, pairs, data),) = _rows(table.filter(pc.field("key").is_null()), *_LENGTHS, "pairs", "data")
+            own = Bucket.unpacked(lengths, pairs, data)
+            low = table.filter(pc.field("key").is_valid()).select(["key", *_PARTS]).sort_by("key")
+            losses = counts.bucket_losses(own, tuple(np.asarray(c) for c in low.columns))
+            sums = [np.bincount(own.at, own.n * np.repeat(x, own.rows), len(own.keys)) for x in losses]
+            held.append((own.keys, *sums))
             if sum(len(x[0]) for x in held) > _CHUNK:
                 yield flush(held)
                 held = []
@@ -564,19 +631,24 @@ def corpus_scored(
 
     def text_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
-            parts = [_unpack(data, [m] * 4) for m, data in rows]
-            steps, n, *sums = (list(x) for x in zip(*parts))
+            parts = [_unpack(data, [m] * 3) for m, data in _rows(rows, "m", "data")]
+            steps, *sums = (list(x) for x in zip(*parts))
             keys = np.concatenate([np.cumsum(x) for x in steps])
-            yield _loss_rows(*_sums(keys, np.concatenate(n), *(np.concatenate(x).view(float) for x in sums)))
+            keys, *sums = _sums(keys, *(np.concatenate(x).view(float) for x in sums))
+            yield _loss_rows(keys, np.zeros(len(keys)), *sums)
 
     def common_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All words of each text, and the losses of its common bigrams."""
         for batch in batches:
             keys = np.asarray(batch.column("text_key"))
             for piece in W.pieces(batch.column("text")):
                 text, before, word = routes.pairs(piece)
+                n = np.bincount(text, minlength=piece.texts)
                 place = routes.place(before, word)
-                text, place = text[place >= 0] + piece.first, place[place >= 0]
-                yield _loss_rows(*_sums(keys[text], np.ones(len(text)), *(x[place] for x in common_losses)))
+                text, place = text[place >= 0], place[place >= 0]
+                own = np.flatnonzero(n)
+                sums = (np.bincount(text, x[place], piece.texts)[own] for x in common_losses)
+                yield _loss_rows(keys[own + piece.first], n[own], *sums)
 
     # what a bucket sends back is packed, too: one row for each part of the texts
     back = grouped(met).mapInArrow(bucket_sums, "part int, m int, data binary")
@@ -584,16 +656,17 @@ def corpus_scored(
     losses = back.mapInArrow(text_sums, _SUMS).unionByName(
         texts.select("text", "text_key").mapInArrow(common_sums, _SUMS)
     )
-    losses = staged(losses.groupBy("text_key").agg(*(F.sum(c).alias(c) for c in ("n", "target", "background"))))
+    sums = (F.sum(c).alias(c) for c in ("n", "target", "background"))
+    losses = staged(losses.groupBy("text_key").agg(F.max("n").alias("n_words"), *sums))
     added = ["n_words", "target_loss", "background_loss", "score"]
     docs = docs.drop(*added)
     key, n, target, background, size = free_name(docs, "text_key", "n", "target", "background", "size")
     losses = losses.select(F.col("text_key").alias(f"r{key}"), F.col("n").alias(n), F.col("target").alias(target),
-                           F.col("background").alias(background))
-    out = docs.withColumn(key, F.xxhash64("text")).withColumn(size, _word_count("text"))
+                           F.col("background").alias(background), F.col("n_words").alias(size))
+    out = docs.withColumn(key, F.xxhash64("text"))
     out = out.join(losses, F.col(key) == F.col(f"r{key}"), "left")
     mean = lambda c: F.coalesce(F.col(c) / F.col(n), F.lit(0.0))
     return out.select(
-        *(f"`{c}`" for c in docs.columns), F.col(size).alias("n_words"), mean(target).alias("target_loss"),
+        *(f"`{c}`" for c in docs.columns), F.coalesce(size, F.lit(0).cast("long")).alias("n_words"), mean(target).alias("target_loss"),
         mean(background).alias("background_loss"), (mean(target) - mean(background)).alias("score"),
     )

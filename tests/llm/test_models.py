@@ -198,6 +198,48 @@ def test_query_tells_rare_words_apart(spark, tmp_path):
     assert cross_entropy.corpus_scored(empty(spark), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+def test_words_are_counted_in_the_pass_over_common_bigrams(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "a b a"), (3, "a  b"), (4, None), (5, " ")], "doc_id long, text string")
+    got = cross_entropy.corpus_scored(docs, docs.select("doc_id").limit(1), common=1000, sample=1.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+    assert {r["doc_id"]: r["n_words"] for r in got.collect()} == {1: 3, 2: 3, 3: 2, 4: 0, 5: 0}
+
+
+def test_a_task_sends_its_common_counts_once():
+    found, h = cross_entropy._word_hashes(next(W.pieces(pa.array(["a b"]))))
+    words = np.sort(h)
+    a, b = (int(np.flatnonzero(words == x)[0]) for x in h)
+    routes = cross_entropy.Routes(words, np.sort(np.array([a * 3 + b, 6 + a])), 4)
+    batch = pa.record_batch([pa.array(["a b a", "a c"]), pa.array([7, 8]), pa.array([True, False])], names=["text", "text_key", "marked"])
+    rows = pa.Table.from_batches(routes.dealt(iter([batch] * 3))).to_pylist()
+    sent = [cross_entropy._unpack(r["data"], [r["m"]] * 3) for r in rows if r["k"] == -1]
+    assert len(sent) <= 2
+    sums = {place: (n, marked) for part in sent for place, n, marked in zip(*part)}
+    assert sums == {0: (3, 3), 1: (6, 3)}
+    assert sum(r["k"] > 0 for r in rows) >= 3
+
+
+def test_packed_columns_leave_out_empty_places():
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(-(1 << 63), (1 << 63) - 1, 50), np.array([0, 255, 256, 1 << 40]), np.zeros(7, np.int64), np.arange(0), np.array([-1, 3])]
+    packed = cross_entropy._pack(columns)
+    for got, want in zip(cross_entropy._unpack(packed, [len(c) for c in columns]), columns):
+        assert got.tolist() == want.tolist()
+    low, high = rng.integers(0, 250, 1000), rng.integers(-(1 << 63), (1 << 63) - 1, 1000)
+    assert len(cross_entropy._pack([high, low])) < 9100
+
+
+@pytest.mark.parametrize("top", [5, 1 << 30])  # one number of 63 bits, or three columns
+def test_order_of_bigrams(top):
+    rng = np.random.default_rng(top)
+    before, word = (np.where(rng.random(500) < 0.3, rng.integers(-(1 << 63), -(1 << 62), 500) // (1 << 60) * (1 << 60), rng.integers(0, top, 500)) for _ in "ab")
+    text = rng.integers(0, top, 500)
+    order, want = cross_entropy._order(before, word, text), np.lexsort((text, word, before))
+    for column in (before, word, text):
+        assert column[order].tolist() == column[want].tolist()
+
+
 def test_held_out_recall_of_toxic(spark):
     labels = spark.read.parquet(f"{LARGE}/labels.parquet")
     got = QUERIES["op5_toxicity"](spark, LARGE).join(labels, "doc_id").filter("held_out").collect()
