@@ -43,6 +43,7 @@ COMMON = 500_000  # a bigram of at least one in so many stays off the shuffle
 SAMPLE = 0.1  # of the rows, to find such bigrams
 BUCKET = 1_000_000  # words of a bucket
 _CHUNK = 1_000_000
+_SMALL = 1 << 16  # bytes that are compressed at once
 _RESULT = StructType(
     [StructField("n_words", LongType()), StructField("target_loss", DoubleType()), StructField("background_loss", DoubleType())]
 )
@@ -198,31 +199,50 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """Integer columns, each byte place compressed by itself, less the high places that are 0 in a whole column."""
-    widths, places = [], []
-    for column in columns:
-        column = np.ascontiguousarray(column, np.int64)
-        low, high = int(column.min(initial=0)), int(column.max(initial=0))
-        widths.append(8 if low < 0 else -(-high.bit_length() // 8))
-        for place in column.view(np.uint8).reshape(-1, 8).T[: widths[-1]]:
-            place = place.tobytes()
-            places.append(min(place, pa.compress(place, "zstd", asbytes=True), key=len))
-    return b"".join([bytes(widths), np.array([len(p) for p in places], np.uint32).tobytes(), *places])
+def _widths(columns: list[np.ndarray]) -> list[int]:
+    """Bytes that the values of each integer column need."""
+    spans = [(int(c.min(initial=0)), int(c.max(initial=0))) for c in columns]
+    return [8 if low < 0 else -(-high.bit_length() // 8) for low, high in spans]
+
+
+def _pack(columns: list[np.ndarray], widths: list[int] | None = None) -> bytes:
+    """Integer columns, compressed byte place by byte place; few bytes all at once."""
+    columns = [np.ascontiguousarray(c, np.int64) for c in columns]
+    widths = _widths(columns) if widths is None else widths
+    raw = [c.view(np.uint8).reshape(-1, 8).T[:width] for c, width in zip(columns, widths)]
+    if sum(x.size for x in raw) < _SMALL:
+        places = [b"".join(x.tobytes() for x in raw)]
+    else:
+        places = [place.tobytes() for x in raw for place in x]
+    places = [min(x, pa.compress(x, "zstd", asbytes=True), key=len) for x in places]
+    return b"".join([bytes(widths), np.array([len(x) for x in places], np.uint32).tobytes(), *places])
 
 
 def _unpack(data: bytes | pa.Buffer, lengths: list[int]) -> list[np.ndarray]:
     data = pa.py_buffer(data)
-    widths = data.slice(0, len(lengths)).to_pybytes()
-    sizes = iter(np.frombuffer(data.slice(len(lengths), 4 * sum(widths)), np.uint32).tolist())
-    at, out = len(lengths) + 4 * sum(widths), []
-    for n, width in zip(lengths, widths):
+    at = len(lengths)
+    widths = data.slice(0, at).to_pybytes()
+    raw = [n for n, width in zip(lengths, widths) for _ in range(width)]
+    small = sum(raw) < _SMALL
+    raw = [sum(raw)] if small else raw
+    sizes = np.frombuffer(data.slice(at, 4 * len(raw)), np.uint32).tolist()
+    at += 4 * len(raw)
+    places = []
+    for n, size in zip(raw, sizes):
+        part = data.slice(at, size)
+        places.append(np.frombuffer(part if size == n else pa.decompress(part, n, "zstd"), np.uint8))
+        at += size
+    if small:
+        ends = np.cumsum([n * width for n, width in zip(lengths, widths)]).tolist()
+        parts = (places[0][end - n * width : end].reshape(width, n) for n, width, end in zip(lengths, widths, ends))
+    else:
+        rest = iter(places)
+        parts = ([next(rest) for _ in range(width)] for width in widths)
+    out = []
+    for n, part in zip(lengths, parts):
         column = np.zeros((n, 8), np.uint8)
-        for place in range(width):
-            size = next(sizes)
-            part = data.slice(at, size)
-            column[:, place] = np.frombuffer(part if size == n else pa.decompress(part, n, "zstd"), np.uint8)
-            at += size
+        for i, place in enumerate(part):
+            column[:, i] = place
         out.append(column.view(np.int64).ravel())
     return out
 
@@ -323,16 +343,23 @@ class Routes:
             met = place >= 0
             for tally, x in zip(tallies, (n[met], n[met] * marked[text[met]])):
                 tally += np.bincount(place[met], x, len(tally))
-            text, before, word, n = text[~met], before[~met], word[~met], n[~met]
-            bucket = self.bucket(before, word).astype(by_bucket)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            bucket = self.bucket(before[~met], word[~met])
+            order = np.argsort(bucket.astype(by_bucket), kind="stable")
+            bucket, (text, before, word, n) = bucket[order], (x[~met][order] for x in (text, before, word, n))
+            own, at = np.unique(bucket << 32 | text, return_inverse=True)  # the texts of each bucket
+            start = np.flatnonzero(np.diff(bucket, prepend=-1))
+            end = np.append(start[1:], len(bucket))
+            first = np.searchsorted(own, bucket[start] << 32)
+            last = np.append(first[1:], len(own))
+            at -= np.repeat(first, end - start)
+            steps = np.diff(before, prepend=np.int64(0))
+            steps[start] = before[start]
+            texts = own & 0xFFFFFFFF
+            pairs, texts = (steps, word, at, n), (keys[texts], marked[texts])
+            widths = _widths([*pairs, *texts])
             rows = []
-            for own in np.split(order, cuts) if len(order) else []:
-                texts, at = np.unique(text[own], return_inverse=True)
-                steps = np.diff(before[own], prepend=np.int64(0))
-                data = _pack([steps, word[own], at, n[own], keys[texts], marked[texts]])
-                rows.append((bucket[own[0]], len(own), len(texts), data))
+            for b, i, j, u, v in zip(*(x.tolist() for x in (bucket[start], start, end, first, last))):
+                rows.append((b, j - i, v - u, _pack([*(x[i:j] for x in pairs), *(x[u:v] for x in texts)], widths)))
             return batch_of(rows)
 
         for batch in batches:

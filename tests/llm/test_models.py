@@ -230,6 +230,26 @@ def test_packed_columns_leave_out_empty_places():
     assert len(cross_entropy._pack([high, low])) < 9100
 
 
+@pytest.mark.parametrize("buckets", [1, 7, 300])
+def test_dealt_rows_hold_every_bigram(buckets):
+    rng = np.random.default_rng(buckets)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 40, rng.integers(0, 60))) for _ in range(50)]
+    _, h = cross_entropy._word_hashes(next(W.pieces(pa.array([f"w{i}" for i in range(20)]))))  # half of the words are frequent
+    routes = cross_entropy.Routes(np.sort(h), np.zeros(0, np.int64), buckets)
+    keys, marked = np.arange(50) * 1_000_003 - 9, np.arange(50) % 3 == 0
+    batch = pa.record_batch([pa.array(texts), pa.array(keys), pa.array(marked)], names=["text", "text_key", "marked"])
+    want, got = Counter(), Counter()
+    for text, before, word in zip(*(x.tolist() for x in routes.pairs(next(W.pieces(batch.column("text")))))):
+        bucket = int(routes.bucket(np.array([before]), np.array([word]))[0])
+        want[bucket, int(keys[text]), bool(marked[text]), before, word] += 1
+    for b, m, k, data in zip(*(c.to_pylist() for c in pa.Table.from_batches(routes.dealt(iter([batch]))).columns)):
+        steps, word, at, n, own, marks = (x.tolist() for x in cross_entropy._unpack(data, [m] * 4 + [k] * 2))
+        assert len(set(own)) == k
+        for before, w, i, c in zip(np.cumsum(steps).tolist(), word, at, n):
+            got[b, own[i], bool(marks[i]), before, w] += c
+    assert got == want
+
+
 @pytest.mark.parametrize("top", [5, 1 << 30])  # one number of 63 bits, or three columns
 def test_order_of_bigrams(top):
     rng = np.random.default_rng(top)
