@@ -46,6 +46,15 @@ def _grams(c: str | Column, n: int) -> Column:
     return F.array_distinct(F.filter(pieces, lambda x: F.length(x) == n))
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a sort-merge join.
+
+    Sizes known before a run come from compressed files and take no account of exploded
+    rows, so by them a whole catalog of names could be sent through the driver.
+    """
+    return df.hint("merge")
+
+
 def _prepared(headers: DataFrame) -> DataFrame:
     return headers.select(
         "table_id",
@@ -56,6 +65,14 @@ def _prepared(headers: DataFrame) -> DataFrame:
     )
 
 
+def _spelled(names: DataFrame, spelling: str) -> DataFrame:
+    """Once per table and spelling: the ``first`` and the ``last`` header that has it."""
+    return names.groupBy("table_id", spelling).agg(
+        F.min(F.struct("position", "header")).alias("first"),
+        F.min(F.struct((-F.col("position")).alias("back"), "header")).alias("last"),
+    )
+
+
 def _named_matches(requests: DataFrame, names: DataFrame) -> DataFrame:
     """Candidates of tiers 1 to 4 with the order in which they are preferred."""
     terms = requests.select("table_id", "term", F.lower(F.trim("term")).alias("low"),
@@ -71,35 +88,34 @@ def _named_matches(requests: DataFrame, names: DataFrame) -> DataFrame:
         "table_id", "term", F.lit(3).alias("tier"), "prio", F.col("syn").alias("text")
     )
     columns = ["table_id", "term", "tier", "prio"]
-    place = F.col("position")
     exact = (
-        same.join(names, (same.table_id == names.table_id) & (same.text == names.low))
-        .select(*[same[c] for c in columns], none.alias("part"), place.alias("place"), "header")
+        same.withColumnRenamed("text", "low")
+        .join(_apart(_spelled(names, "low")), ["table_id", "low"])
+        .select(*columns, none.alias("part"), F.col("first.position").alias("place"), "first.header")
     )
+    filled = _spelled(names.filter("norm <> ''"), "norm")
     by_letters = letters.unionByName(synonyms)
     # of several names with the same letters the last one counts
     exact_letters = (
-        by_letters.join(
-            names, (by_letters.table_id == names.table_id) & (by_letters.text == names.norm)
-        ).select(*[by_letters[c] for c in columns], none.alias("part"), (-place).alias("place"),
-                 "header")
+        by_letters.withColumnRenamed("text", "norm")
+        .join(_apart(filled), ["table_id", "norm"])
+        .select(*columns, none.alias("part"), F.col("last.back").alias("place"), "last.header")
     )
     inside = synonyms.filter(F.length("text") >= MIN_SYNONYM).unionByName(
         letters.filter(F.length("text") >= MIN_TERM).withColumn("tier", F.lit(4))
     )
-    filled = names.filter("norm <> ''")
     # the wanted text inside the name: its first three letters are a piece of the name
     a = inside.withColumn("gram", F.substring("text", 1, 3))
     b = filled.withColumn("gram", F.explode(_grams("norm", 3)))
-    within = a.join(b, ["table_id", "gram"]).filter(F.contains("norm", "text"))
+    within = a.join(_apart(b), ["table_id", "gram"]).filter(F.contains("norm", "text"))
     # the name inside the wanted text: the other way round, names may be shorter
     a = inside.withColumn(
         "gram", F.explode(F.concat(_grams("text", 1), _grams("text", 2), _grams("text", 3)))
     )
     b = filled.withColumn("gram", F.substring("norm", 1, 3))
-    around = a.join(b, ["table_id", "gram"]).filter(F.contains("text", "norm"))
+    around = a.join(_apart(b), ["table_id", "gram"]).filter(F.contains("text", "norm"))
     partial = within.unionByName(around).select(
-        *columns, F.lit(1).alias("part"), place.alias("place"), "header"
+        *columns, F.lit(1).alias("part"), F.col("first.position").alias("place"), "first.header"
     )
     return exact.unionByName(exact_letters).unionByName(partial)
 

@@ -17,6 +17,42 @@ def match(spark, terms, names):
     return {r["term"]: r["header"] for r in matching.match_columns(req, headers(spark, names)).collect()}
 
 
+def sent_to_all(df):
+    """What stands below the broadcasts of a plan, line by line."""
+    found, below = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        if below is not None and depth > below:
+            found.append(line)
+            continue
+        below = depth if "BroadcastExchange" in line else None
+    return found
+
+
+def on_disk(df, path):
+    df.write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
+
+
+def test_names_never_pass_the_driver(spark, tmp_path):
+    names = on_disk(headers(spark, HEADERS), tmp_path / "h")
+    req = on_disk(spark.createDataFrame([("t", "revenue"), ("t", "units")], "table_id string, term string"), tmp_path / "r")
+    df = matching.match_columns(req, names, similar=False)
+    assert not [x for x in sent_to_all(df) if "table_id" in x]
+    assert {r["term"]: (r["header"], r["tier"]) for r in df.collect()} == {"revenue": ("Sales", 3), "units": ("Quantity", 3)}
+
+
+def test_places_of_equal_names(spark):
+    rows = [("t", None, "Net Sales"), ("t", 1, "sales"), ("t", 1, "Sales"), ("t", 2, "s-a-les"), ("t", 7, "sa_les"), ("t", 7, "sal_es"),
+            ("t", 9, "total_cost_a"), ("t", 4, "Total Cost A"), ("u", 1, None), (None, 1, "sales"), ("u", 2, "")]
+    names = spark.createDataFrame(rows, "table_id string, position long, header string")
+    terms = [("t", "SALES"), ("t", "sale.s"), ("t", "total cost"), ("u", "sales"), (None, "sales"), ("u", None), ("u", "")]
+    req = spark.createDataFrame(terms, "table_id string, term string")
+    got = {(r["table_id"], r["term"]): (r["header"], r["tier"]) for r in matching.match_columns(req, names, similar=False).collect()}
+    # same text: the first place; same letters: the last place, then by name; pieces: the first place
+    assert got == {("t", "SALES"): ("Sales", 1), ("t", "sale.s"): ("sa_les", 2), ("t", "total cost"): ("Total Cost A", 3), ("u", ""): ("", 1)}
+
+
 def test_cascade(spark):
     want = {"Sales": "Sales", "sales": "Sales", "revenue": "Sales", "turnover": "Sales", "customer id": "Customer_ID",
             "customer_id": "Customer_ID", "units": "Quantity", "items": "Quantity", "orderdate": "Order_Date",
