@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import squash
 from tallyframe.functions.vocabulary import SYNONYMS
+from tallyframe.session import staged
 
 CUTOFF = 0.60
 _RARE_FIRST = "9876543210zqxjkvbpygfwmucldrhsnioate"
@@ -152,7 +153,7 @@ def _alike(terms: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
     longer = F.greatest(F.length("norm"), F.length("other"))
     gap = F.abs(F.length("norm") - F.length("other"))
     return (
-        prefix(terms).join(prefix(names).withColumnRenamed("norm", "other"), ["table_id", "token"])
+        prefix(terms).join(_apart(prefix(names).withColumnRenamed("norm", "other")), ["table_id", "token"])
         .filter(1 - gap / longer >= cutoff)
         .select("table_id", "norm", "other")
         .distinct()
@@ -180,8 +181,9 @@ def match_columns(
     )
     if not similar:
         return best
+    best = staged(best)  # read twice
     open_terms = (
-        wanted.join(best.select("table_id", "term"), ["table_id", "term"], "left_anti")
+        wanted.join(_apart(best.select("table_id", "term")), ["table_id", "term"], "left_anti")
         .withColumn("norm", squash("term"))
         .filter(F.length("norm") >= MIN_TERM)
     )
@@ -191,12 +193,10 @@ def match_columns(
 
 def _nearest(terms: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
     """The most similar header per (table_id, term, norm); ties go to the earlier header."""
-    vocabulary = names.groupBy("table_id", F.col("norm").alias("other")).agg(
-        F.min(F.struct("position", "header")).alias("h")
-    )
+    vocabulary = _spelled(names, "norm").select("table_id", F.col("norm").alias("other"), F.col("first").alias("h"))
     return (
-        terms.join(_alike(terms, names, cutoff), ["table_id", "norm"])
-        .join(vocabulary, ["table_id", "other"])
+        terms.join(_apart(_alike(terms, names, cutoff)), ["table_id", "norm"])
+        .join(_apart(vocabulary), ["table_id", "other"])
         .groupBy("table_id", "term")
         .agg(F.min_by(F.struct("h.header", "likeness"), F.struct(-F.col("likeness"), "h.position")).alias("m"))
         .select("table_id", "term", "m.header", "m.likeness")

@@ -42,6 +42,15 @@ def test_names_never_pass_the_driver(spark, tmp_path):
     assert {r["term"]: (r["header"], r["tier"]) for r in df.collect()} == {"revenue": ("Sales", 3), "units": ("Quantity", 3)}
 
 
+def test_similar_names_never_pass_the_driver(spark, tmp_path):
+    names = on_disk(headers(spark, HEADERS), tmp_path / "h")
+    req = on_disk(spark.createDataFrame([("t", "prodcut"), ("t", "units"), ("t", "zzz")], "table_id string, term string"), tmp_path / "r")
+    both = matching.match_columns(req, names), matching.match_by_edits(req, names)
+    assert not [x for df in both for x in sent_to_all(df) if "table_id" in x]
+    assert {r["term"]: (r["header"], r["tier"]) for r in both[0].collect()} == {"prodcut": ("Product", 5), "units": ("Quantity", 3)}
+    assert [(r["term"], r["header"]) for r in both[1].collect()] == [("prodcut", "Product")]
+
+
 def test_places_of_equal_names(spark):
     rows = [("t", None, "Net Sales"), ("t", 1, "sales"), ("t", 1, "Sales"), ("t", 2, "s-a-les"), ("t", 7, "sa_les"), ("t", 7, "sal_es"),
             ("t", 9, "total_cost_a"), ("t", 4, "Total Cost A"), ("u", 1, None), (None, 1, "sales"), ("u", 2, "")]
