@@ -51,6 +51,13 @@ def test_similar_names_never_pass_the_driver(spark, tmp_path):
     assert [(r["term"], r["header"]) for r in both[1].collect()] == [("prodcut", "Product")]
 
 
+def test_concepts_never_pass_the_driver(spark, tmp_path):
+    names = on_disk(headers(spark, HEADERS), tmp_path / "h")
+    assert not [x for similar in (False, True) for x in sent_to_all(matching.concept_map(names, similar)) if "table_id" in x]
+    got = {(r["table_id"], r["concept"]): (r["header"], r["tier"]) for r in matching.concept_map(names).collect()}
+    assert got[("t", "sales")] == ("Sales", 1) and got[("t", "customer")] == ("Customer_ID", 3) and ("t", "salary") not in got
+
+
 def test_places_of_equal_names(spark):
     rows = [("t", None, "Net Sales"), ("t", 1, "sales"), ("t", 1, "Sales"), ("t", 2, "s-a-les"), ("t", 7, "sa_les"), ("t", 7, "sal_es"),
             ("t", 9, "total_cost_a"), ("t", 4, "Total Cost A"), ("u", 1, None), (None, 1, "sales"), ("u", 2, "")]
