@@ -19,6 +19,7 @@ from tallyframe.functions.vocabulary import (
     QUESTION_OPERATIONS,
 )
 from tallyframe.operators.matching import match_columns
+from tallyframe.session import staged
 
 # --- fixed values -----------------------------------------------------------
 # An operation and the words that call for it: one of each group must occur.
@@ -208,5 +209,7 @@ def missing_concepts(
     q = F.lower(col(text))
     hits = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(q, t))
     asked = log.select(*key, "table_id", F.explode(hits).alias("term"))
-    known = match_columns(asked.select("table_id", "term"), headers).select("table_id", "term")
+    # the matching reads its requests several times, the texts need not be
+    wanted = staged(asked.select("table_id", "term").distinct())
+    known = match_columns(wanted, headers).select("table_id", "term")
     return asked.join(known, ["table_id", "term"], "left_anti")

@@ -170,3 +170,12 @@ def test_missing_concepts(spark):
     got = questions.missing_concepts(log, headers(spark, ["Tax_Amount", "Sales"]), ["q"]).collect()
     assert [(r["q"], r["term"]) for r in got] == [(1, "churn")]
     assert re.match("churn", got[0]["term"])
+
+
+def test_missing_concepts_keep_names_from_the_driver(spark, tmp_path):
+    rows = [(1, "t", "tax and churn?"), (1, "t", "tax and churn?"), (2, None, "nps"), (3, "u", "NPS"), (4, "t", None)]
+    log = on_disk(spark.createDataFrame(rows, "q long, table_id string, text string"), tmp_path / "q")
+    got = questions.missing_concepts(log, on_disk(headers(spark, ["Tax_Amount", "Sales"]), tmp_path / "h"), ["q"])
+    assert not [x for x in sent_to_all(got) if "header" in x]
+    assert sorted((r["q"], r["table_id"] or "", r["term"]) for r in got.collect()) == [
+        (1, "t", "churn"), (1, "t", "churn"), (2, "", "nps"), (3, "u", "nps")]
