@@ -29,6 +29,11 @@ WIDE_CATEGORY = 30  # distinct values beyond which the audit calls a category wi
 # Relative error of the distinct sketch.  A sketch is 1 / SKETCH^2 registers of
 # aggregation buffer for each column; what it can't decide is counted exactly.
 SKETCH = 0.05
+# Kinds whose distinct values travel as 8 bytes; bytes of them that a task keeps
+# before it sends them on, and the most values of one row.
+_PACKED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+HELD = 1 << 27
+ROW_VALUES = 1024
 _ID_END = re.compile(rf"(^|[_\sa-z])({'|'.join(IDENTIFIER_ENDINGS)})s?$", re.IGNORECASE)
 
 
@@ -36,15 +41,23 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _is_number(kind: T.DataType) -> bool:
-    return isinstance(kind, T.NumericType)
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
 
+def _title(name: str) -> str:
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _missing(df: DataFrame, name: str) -> Column:
-    c = _q(name)
-    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()
+
+def _value_sql(df: DataFrame, name: str) -> str:
+    """The column as SQL text, NaN as null."""
+    c = _quoted(name)
+    fraction = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return f"nullif({c}, double('NaN'))" if fraction else c
+
+
+def _is_number(kind: T.DataType) -> bool:
+    return isinstance(kind, T.NumericType)
 
 
 def _hint(name: str, words: Sequence[str]) -> bool:
@@ -62,11 +75,9 @@ def _as_date(name: str) -> str:
 def _struct_sql(df: DataFrame, name: str, distinct: str) -> str:
     """Statistics of one column as SQL text: one parse per batch keeps wide tables fast."""
     field = df.schema[name]
-    c = "`" + name.replace("`", "``") + "`"
-    title = name.replace("\\", "\\\\").replace("'", "\\'")
+    c = _quoted(name)
     kind = field.dataType
-    fraction = isinstance(kind, (T.DoubleType, T.FloatType))
-    value = f"nullif({c}, double('NaN'))" if fraction else c
+    value = _value_sql(df, name)
     # With at most two distinct values, all of them lie in the set when the
     # least and the greatest do; the role test asks for both.
     if isinstance(kind, T.BooleanType):
@@ -81,7 +92,7 @@ def _struct_sql(df: DataFrame, name: str, distinct: str) -> str:
     dated = _may_hold_dates(df, name)
     signed = _is_number(kind) and _hint(name, NON_NEGATIVE_HINTS)
     parts = {
-        "column": f"'{title}'",
+        "column": _title(name),
         "dtype": f"'{kind.simpleString()}'",
         "n_rows": "count(1)",
         "n_null": f"count(1) - count({value})",
@@ -109,14 +120,16 @@ def column_stats(
     names = list(columns) if columns is not None else df.columns
     if not names:
         return df.sparkSession.createDataFrame([], "column string, n_rows long, n_null long")
-    df = df.withColumns(
-        {_as_date(n): parse_date(_q(n)) for n in names if _may_hold_dates(df, n)}
-    )
-    out = None
+    if dates := {_as_date(n): parse_date(_q(n)) for n in names if _may_hold_dates(df, n)}:
+        df = df.withColumns(dates)
+    parts = []
     for at in range(0, len(names), BATCH):
         structs = ", ".join(_struct_sql(df, n, distinct) for n in names[at : at + BATCH])
-        part = df.agg(F.expr(f"array({structs})").alias("s")).select(F.inline("s"))
-        out = part if out is None else out.unionAll(part)
+        parts.append(df.agg(F.expr(f"array({structs})").alias("s")).select(F.inline("s")))
+    while len(parts) > 1:  # by halves: each union is analysed with all that it holds
+        pairs = [a.unionAll(b) for a, b in zip(parts[::2], parts[1::2], strict=False)]
+        parts = pairs + parts[2 * len(pairs) :]
+    out = parts[0]
     if distinct == "exact":
         return out.drop("n_distinct").join(exact_distinct(df, names), "column", "left").withColumn(
             "n_distinct", F.coalesce("n_distinct", F.lit(0))
@@ -125,22 +138,129 @@ def column_stats(
 
 
 def exact_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact distinct count per column.
+    """Exact distinct count per column; a column without a value has no row.
 
     Each value is sent once per map task, keyed by column and value, so neither
-    a repeated value nor a wide table ends in one task.
+    a repeated value nor a wide table ends in one task.  Numbers travel packed,
+    many of a column in one row; all other kinds as texts.
     """
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.when(~_missing(df, c), _q(c).cast("string")).alias("v"),
-            )
-            for c in columns
-        ]
-    )
-    values = df.select(F.inline(pairs)).filter(F.col("v").isNotNull()).distinct()
-    return values.groupBy("column").agg(F.count("*").alias("n_distinct"))
+    numbers = [c for c in columns if isinstance(df.schema[c].dataType, _PACKED)]
+    texts = [c for c in columns if c not in set(numbers)]
+    out = _distinct_numbers(df, numbers) if numbers else None
+    if texts or out is None:
+        pairs = ", ".join(
+            f"named_struct('column', {_title(c)}, 'v', cast({_value_sql(df, c)} as string))" for c in texts
+        )
+        values = df.select(F.expr(f"inline(array({pairs}))")).filter("v is not null").distinct()
+        counts = values.groupBy("column").agg(F.count("*").alias("n_distinct"))
+        out = counts if out is None else out.unionAll(counts)
+    return out
+
+
+def _distinct_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """:func:`exact_distinct` of columns of numbers.
+
+    A task keeps the sorted distinct values of each column and sends them, 8 bytes
+    each, when they take over half of ``HELD``.  Their order is that of an
+    invertible mix of their bits, whose upper bits deal a column into buckets; each
+    bucket is counted by itself.
+    """
+    names, held_bytes, row_values = list(columns), HELD, ROW_VALUES
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(6, (4 * partitions // len(names)).bit_length())
+    whole = {True: "double", False: "bigint"}
+    kinds = [whole[isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))] for c in names]
+
+    def packed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, size = [[] for _ in names], 0
+        cuts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+        def merge():
+            for c, parts in enumerate(held):
+                if len(parts) > 1:
+                    held[c] = [np.unique(np.concatenate(parts))]
+            return sum(x.nbytes for parts in held for x in parts)
+
+        def rows(found):
+            at, bucket, lengths, data = (np.concatenate(x) for x in zip(*found, strict=True))
+            ends = np.concatenate([[0], np.cumsum(8 * lengths)]).astype(np.int32)
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(bucket), blobs], ["at", "bucket", "v"])
+
+        def sent():
+            found, n = [], 0
+            for c, parts in enumerate(held):
+                held[c] = []
+                for v in parts:
+                    starts = np.concatenate([np.searchsorted(v, cuts), np.arange(0, len(v), row_values)])
+                    starts = np.unique(starts[starts < len(v)])
+                    lengths = np.diff(np.append(starts, len(v)))
+                    bucket = (v[starts] >> np.uint64(64 - bits)).astype(np.int32)
+                    found.append((np.full(len(starts), c, np.int32), bucket, lengths, v))
+                    n += v.nbytes
+                if n > 1 << 22:
+                    yield rows(found)
+                    found, n = [], 0
+            if found:
+                yield rows(found)
+
+        for batch in batches:
+            for c in range(len(names)):
+                v = batch.column(c).drop_null().to_numpy(zero_copy_only=False)
+                if v.dtype.kind == "f":
+                    v = v[~np.isnan(v)]
+                if len(v):
+                    v = np.ascontiguousarray(v).view(np.uint64)
+                    v = np.unique((v ^ (v >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15))
+                    held[c].append(v)
+                    size += v.nbytes
+            if size > held_bytes:
+                size = merge()
+                if size > held_bytes // 2:
+                    yield from sent()
+                    size = 0
+        merge()
+        yield from sent()
+
+    def counted(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        totals, now, parts, size = {}, None, [], 0
+
+        def close():
+            if parts:
+                totals[now[0]] = totals.get(now[0], 0) + len(np.unique(np.concatenate(parts)))
+
+        for batch in batches:
+            at, bucket, v = batch.columns
+            if not len(at):
+                continue
+            at, bucket = at.to_numpy(), bucket.to_numpy()
+            ends = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1]
+            first = np.flatnonzero(np.append(True, (np.diff(at) != 0) | (np.diff(bucket) != 0)))
+            for lo, hi in zip(first, np.append(first[1:], len(at)), strict=True):
+                if (key := (int(at[lo]), int(bucket[lo]))) != now:
+                    close()
+                    now, parts, size = key, [], 0
+                n = int(ends[hi] - ends[lo])
+                parts.append(np.frombuffer(v.buffers()[2], np.uint64, n // 8, int(ends[lo])).copy())
+                size += n
+                if size > held_bytes:
+                    parts = [np.unique(np.concatenate(parts))]
+                    size = 0
+        close()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([names[c] for c in totals], pa.string()), pa.array(totals.values(), pa.int64())], ["column", "n"]
+        )
+
+    wide = df.selectExpr(*[f"cast({_quoted(c)} as {k}) as c{i}" for i, (c, k) in enumerate(zip(names, kinds))])
+    buckets = wide.mapInArrow(packed, "at int, bucket int, v binary").repartition("at", "bucket")
+    counts = buckets.sortWithinPartitions("at", "bucket").mapInArrow(counted, "column string, n long")
+    return counts.groupBy("column").agg(F.sum("n").alias("n_distinct"))
 
 
 @dataclass(frozen=True)

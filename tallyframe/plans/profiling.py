@@ -106,7 +106,11 @@ _WIDE_EXPR = "case when (c_custkey + {i}) % {m} = 0 then null else c_acctbal * {
 
 
 def _wide(spark, folder):
-    return table(spark, folder, "customer").select(
+    rows = table(spark, folder, "customer").select("c_custkey", "c_acctbal")
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # rows get 250 times as wide
+        rows = rows.repartition(cores)
+    return rows.select(
         F.col("c_custkey").alias("Record_ID"),
         *[F.expr(_WIDE_EXPR.format(i=i, m=i % 13 + 2)).alias(f"Col_{i}") for i in range(1, _WIDE + 1)],
     )

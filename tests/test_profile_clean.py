@@ -57,6 +57,37 @@ def test_wide_table_matches_narrow_statistics(spark):
     assert roles[0]["flag"] == roles[1]["flag"] == "boolean"
 
 
+def test_exact_distinct_of_all_kinds(spark, monkeypatch):
+    nan, n = float("nan"), 5000
+    rows = [(i % 7, i * 3, float(i % 1900) / 3 if i % 5 else None, [nan, 0.0, -0.0, 1.5][i % 4], None, i % 2 == 0,
+             f"x{i % 11}" if i % 3 else None, dt.date(2024, 1, 1 + i % 28)) for i in range(n)]
+    names = ["few", "it's `many`", "third", "zeros", "none", "flag", "text", "day"]
+    kinds = ["short", "long", "double", "float", "int", "boolean", "string", "date"]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds))).toDF(*names).repartition(5)
+    want = {c: len({str(r[i]) for r in rows if r[i] is not None and r[i] == r[i]}) for i, c in enumerate(names)}
+    assert want["zeros"] == 3 and want["none"] == 0
+    whole = profile.column_stats(df.toDF(*[c.replace("`", "") for c in names]), distinct="exact").collect()
+    assert {r["column"]: r["n_distinct"] for r in whole} == {c.replace("`", ""): k for c, k in want.items()}
+    # values that are sent on many times, in many rows, are counted once
+    monkeypatch.setattr(profile, "HELD", 4096)
+    monkeypatch.setattr(profile, "ROW_VALUES", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = profile.exact_distinct(df, names).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["column"]: r["n_distinct"] for r in got} == {c: k for c, k in want.items() if k}
+    assert profile.exact_distinct(df.limit(0), names).collect() == []
+
+
+def test_numbers_travel_packed(spark):
+    df = spark.range(1000).selectExpr("id", *[f"id * {i} * 1e0 as c{i}" for i in range(1, 61)])
+    plan = profile.exact_distinct(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate inline" not in plan  # no row for each value
+    rows = spark.createDataFrame([(1.0, "a"), (None, "a")], "x double, y string")
+    assert {r["column"]: r["n_distinct"] for r in profile.exact_distinct(rows, ["x", "y"]).collect()} == {"x": 1, "y": 1}
+
+
 def test_empty_inputs(spark):
     assert profile.profile(spark.createDataFrame([], "struct<>")).columns == []
     none = spark.createDataFrame([], "a long, b string")
