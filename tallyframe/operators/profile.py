@@ -120,6 +120,10 @@ def column_stats(
     names = list(columns) if columns is not None else df.columns
     if not names:
         return df.sparkSession.createDataFrame([], "column string, n_rows long, n_null long")
+    if distinct == "exact" and (numbers := [n for n in names if isinstance(df.schema[n].dataType, _PACKED)]):
+        out = _number_stats(df, numbers)
+        rest = [n for n in names if n not in set(numbers)]
+        return out.unionByName(column_stats(df, rest, "exact")) if rest else out
     if dates := {_as_date(n): parse_date(_q(n)) for n in names if _may_hold_dates(df, n)}:
         df = df.withColumns(dates)
     parts = []
@@ -146,7 +150,9 @@ def exact_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     numbers = [c for c in columns if isinstance(df.schema[c].dataType, _PACKED)]
     texts = [c for c in columns if c not in set(numbers)]
-    out = _distinct_numbers(df, numbers) if numbers else None
+    out = None
+    if numbers:
+        out = _number_stats(df, numbers).filter("n_distinct > 0").select("column", "n_distinct")
     if texts or out is None:
         pairs = ", ".join(
             f"named_struct('column', {_title(c)}, 'v', cast({_value_sql(df, c)} as string))" for c in texts
@@ -157,13 +163,14 @@ def exact_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
-def _distinct_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """:func:`exact_distinct` of columns of numbers.
+def _number_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """:func:`column_stats` with exact distinct counts of columns of numbers, in one pass.
 
     A task keeps the sorted distinct values of each column and sends them, 8 bytes
     each, when they take over half of ``HELD``.  Their order is that of an
     invertible mix of their bits, whose upper bits deal a column into buckets; each
-    bucket is counted by itself.
+    bucket is counted by itself.  Bucket -1 has a row for each column and task:
+    rows, values, negative values, the least and the greatest value.
     """
     names, held_bytes, row_values = list(columns), HELD, ROW_VALUES
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -175,7 +182,8 @@ def _distinct_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        held, size = [[] for _ in names], 0
+        held, size, n_rows = [[] for _ in names], 0, 0
+        seen = [[0, 0, None, None] for _ in names]
         cuts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
         def merge():
@@ -208,11 +216,15 @@ def _distinct_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 yield rows(found)
 
         for batch in batches:
+            n_rows += batch.num_rows
             for c in range(len(names)):
                 v = batch.column(c).drop_null().to_numpy(zero_copy_only=False)
                 if v.dtype.kind == "f":
                     v = v[~np.isnan(v)]
                 if len(v):
+                    lo, hi, s = v.min(), v.max(), seen[c]
+                    s[:2] = s[0] + len(v), s[1] + int(np.count_nonzero(v < 0)) if lo < 0 else s[1]
+                    s[2:] = (lo, hi) if s[2] is None else (min(lo, s[2]), max(hi, s[3]))
                     v = np.ascontiguousarray(v).view(np.uint64)
                     v = np.unique((v ^ (v >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15))
                     held[c].append(v)
@@ -224,6 +236,12 @@ def _distinct_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                     size = 0
         merge()
         yield from sent()
+        found = []
+        for c, (n, negative, lo, hi) in enumerate(seen):
+            ends = np.array([lo, hi]).view(np.uint64) if n else np.zeros(2, np.uint64)
+            row = np.concatenate([np.array([n_rows, n, negative], np.uint64), ends])
+            found.append((np.array([c], np.int32), np.array([-1], np.int32), np.array([5]), row))
+        yield rows(found)
 
     def counted(batches):
         import numpy as np
@@ -232,8 +250,18 @@ def _distinct_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         totals, now, parts, size = {}, None, [], 0
 
         def close():
-            if parts:
-                totals[now[0]] = totals.get(now[0], 0) + len(np.unique(np.concatenate(parts)))
+            if not parts:
+                return
+            t = totals.setdefault(now[0], [0, 0, 0, 0, False, False])
+            if now[1] >= 0:
+                t[0] += len(np.unique(np.concatenate(parts)))
+                return
+            x = np.concatenate(parts).reshape(-1, 5)
+            t[1:4] = (int(x[:, i].sum()) for i in range(3))
+            if t[2]:
+                ends = x[x[:, 1] > 0, 3:].copy().view(np.float64 if kinds[now[0]] == "double" else np.int64)
+                lo, hi = ends[:, 0].min(), ends[:, 1].max()
+                t[4:] = bool(lo == hi), bool(lo in (0, 1) and hi in (0, 1))
 
         for batch in batches:
             at, bucket, v = batch.columns
@@ -249,18 +277,38 @@ def _distinct_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 n = int(ends[hi] - ends[lo])
                 parts.append(np.frombuffer(v.buffers()[2], np.uint64, n // 8, int(ends[lo])).copy())
                 size += n
-                if size > held_bytes:
+                if size > held_bytes and key[1] >= 0:
                     parts = [np.unique(np.concatenate(parts))]
                     size = 0
         close()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([names[c] for c in totals], pa.string()), pa.array(totals.values(), pa.int64())], ["column", "n"]
-        )
+        found = list(zip(*totals.values(), strict=True)) or [[]] * 6
+        kind = [pa.int64()] * 4 + [pa.bool_()] * 2
+        arrays = [pa.array([names[c] for c in totals], pa.string())]
+        arrays += [pa.array(x, k) for x, k in zip(found, kind, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, ["column", "n", "n_rows", "n_values", "n_below", "same", "binary"])
 
     wide = df.selectExpr(*[f"cast({_quoted(c)} as {k}) as c{i}" for i, (c, k) in enumerate(zip(names, kinds))])
     buckets = wide.mapInArrow(packed, "at int, bucket int, v binary").repartition("at", "bucket")
-    counts = buckets.sortWithinPartitions("at", "bucket").mapInArrow(counted, "column string, n long")
-    return counts.groupBy("column").agg(F.sum("n").alias("n_distinct"))
+    parts = buckets.sortWithinPartitions("at", "bucket").mapInArrow(
+        counted, "column string, n long, n_rows long, n_values long, n_below long, same boolean, binary boolean"
+    )
+    sums = [F.sum(c).alias(c) for c in ("n", "n_rows", "n_values", "n_below")]
+    found = parts.groupBy("column").agg(*sums, F.max("same").alias("same"), F.max("binary").alias("binary"))
+    rows = [(c, df.schema[c].dataType.simpleString(), _hint(c, NON_NEGATIVE_HINTS)) for c in names]
+    # a table without partitions has its columns too
+    listed = df.sparkSession.createDataFrame(rows, "column string, dtype string, signed boolean")
+    zero = F.lit(0).cast("long")
+    return listed.join(found, "column", "left").select(
+        "column",
+        "dtype",
+        F.coalesce("n_rows", zero).alias("n_rows"),
+        F.coalesce(F.col("n_rows") - F.col("n_values"), zero).alias("n_null"),
+        F.coalesce("same", F.lit(False)).alias("constant"),
+        F.coalesce(F.col("binary") | (F.col("n_values") == 0), F.lit(True)).alias("boolean_like"),
+        F.when(F.col("signed"), F.coalesce("n_below", zero)).otherwise(zero).alias("n_negative"),
+        zero.alias("n_dates"),
+        F.coalesce("n", zero).alias("n_distinct"),
+    )
 
 
 @dataclass(frozen=True)

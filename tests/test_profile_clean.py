@@ -80,6 +80,17 @@ def test_exact_distinct_of_all_kinds(spark, monkeypatch):
     assert profile.exact_distinct(df.limit(0), names).collect() == []
 
 
+def test_numbers_in_one_pass_equal_aggregates(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0, 5.0, nan, None, -inf, 1.0), (None, 1, 5.0, -0.0, None, 2.0, nan), (-3, 0, None, 0.0, None, nan, 1.0)]
+    kinds = "sales_a long, flag byte, cost_b double, price float, age int, count_c double, one double"
+    for data in (rows * 9, rows[:1], []):
+        df = spark.createDataFrame(data, kinds).repartition(4)
+        exact, plain = ({r["column"]: r.asDict() for r in profile.column_stats(df, distinct=d).collect()} for d in ("exact", "none"))
+        assert all(r.pop("n_distinct") is not None for r in exact.values())
+        assert exact == {c: {k: v for k, v in r.items() if k != "n_distinct"} for c, r in plain.items()}
+
+
 def test_numbers_travel_packed(spark):
     df = spark.range(1000).selectExpr("id", *[f"id * {i} * 1e0 as c{i}" for i in range(1, 61)])
     plan = profile.exact_distinct(df, df.columns)._jdf.queryExecution().executedPlan().toString()
